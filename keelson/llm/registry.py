@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import survivors
+from keelson.llm import packing, spellings, survivors, tokens
 from keelson.sources import table
 
 
@@ -16,7 +16,31 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return survivors.records(table(spark, d, "findings"), table(spark, d, "evidence_tiers"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records}
+def _typed(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("findings", "source_rules", "algorithms", "aliases")]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return spellings.mapped(spark, *_typed(spark, d))
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return spellings.unmatched_values(spark, *_typed(spark, d))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"), table(spark, d, "capacities"))
+
+
+def p7_batches(spark: SparkSession, d: str) -> DataFrame:
+    return packing.batches(table(spark, d, "documents"), table(spark, d, "capacities"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_batches": p7_batches}
 
 _STANDINS = "('', 'unknown', '<unknown>', 'n/a', 'null', 'nil', 'none', 'undefined', 'not available', '(not set)', '-', '--', '?', '?:?', ':0', 'tbd', 'todo')"
 _REAL = "(lower(trim({0}, ' ' || chr(9))) NOT IN " + _STANDINS + " AND {0} IS NOT NULL)"
