@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import packing, spellings, survivors, tokens
+from keelson.llm import packing, sentences, spellings, survivors, tokens
 from keelson.sources import table
 
 
@@ -40,7 +40,11 @@ def p7_batches(spark: SparkSession, d: str) -> DataFrame:
     return packing.batches(table(spark, d, "documents"), table(spark, d, "capacities"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_batches": p7_batches}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_batches": p7_batches, "p8_found": p8_found}
 
 _STANDINS = "('', 'unknown', '<unknown>', 'n/a', 'null', 'nil', 'none', 'undefined', 'not available', '(not set)', '-', '--', '?', '?:?', ':0', 'tbd', 'todo')"
 _REAL = "(lower(trim({0}, ' ' || chr(9))) NOT IN " + _STANDINS + " AND {0} IS NOT NULL)"
