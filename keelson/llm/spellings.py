@@ -80,37 +80,55 @@ def reference_strings(spark: SparkSession, algorithms: DataFrame, aliases: DataF
     A table of the order of the list of entries, some dozens of spellings for each; the list is fixed.
     """
     extra = ", ".join(f"({_text(w)}, {_text(s)})" for w, ss in FAMILY_WORDS.items() for s in ss)
-    return spark.sql(
+    spec = spark.sql(
         f"""
         WITH entry AS (
           SELECT entry_id, name, family, primitive, CAST(key_size AS STRING) AS size, mode, curve, {_squash("name")} AS bare FROM {{algorithms}} WHERE entry_kind = 'algorithm'),
         cut1 AS (SELECT *, CASE WHEN mode IS NOT NULL AND endswith(bare, mode) THEN left(bare, length(bare) - length(mode)) ELSE bare END AS b1 FROM entry),
-        cut2 AS (SELECT *, CASE WHEN curve IS NOT NULL AND endswith(b1, {_squash("curve")}) THEN left(b1, length(b1) - length({_squash("curve")})) ELSE b1 END AS b2 FROM cut1),
-        spec AS (SELECT *, CASE WHEN size IS NOT NULL AND endswith(b2, size) THEN left(b2, length(b2) - length(size)) ELSE b2 END AS word FROM cut2),
-        curve_words AS (
+        cut2 AS (SELECT *, CASE WHEN curve IS NOT NULL AND endswith(b1, {_squash("curve")}) THEN left(b1, length(b1) - length({_squash("curve")})) ELSE b1 END AS b2 FROM cut1)
+        SELECT *, CASE WHEN size IS NOT NULL AND endswith(b2, size) THEN left(b2, length(b2) - length(size)) ELSE b2 END AS word, max(name = family) OVER (PARTITION BY family) AS headed FROM cut2
+        """,
+        algorithms=algorithms,
+    )
+    spec = materialised(spec.coalesce(1))  # one row for each entry
+    named = spark.sql(
+        f"""
+        SELECT s.*, {_squash("a.alias")} AS w, a.canonical = s.name AS whole, a.alias FROM (
+          SELECT *, key FROM {{spec}} LATERAL VIEW explode(array_distinct(array(family, name))) k AS key) s
+        JOIN {{aliases}} a ON a.entry_kind = 'algorithm' AND a.canonical = s.key
+        """,
+        spec=spec,
+        aliases=aliases,
+    )
+    named = materialised(named.coalesce(1))  # one row for each alias and entry it is about
+    return spark.sql(
+        f"""
+        WITH curve_words AS (
           SELECT name AS curve, {_squash("name")} AS w FROM {{algorithms}} WHERE entry_kind = 'curve'
           UNION SELECT canonical, {_squash("alias")} FROM {{aliases}} WHERE entry_kind = 'curve'),
         words AS (
-          SELECT DISTINCT word, word AS w FROM spec
-          UNION SELECT spec.word, {_squash("alias")} FROM {{aliases}} a JOIN spec ON a.entry_kind = 'algorithm' AND a.canonical = spec.family AND spec.size IS NULL AND spec.mode IS NULL AND spec.curve IS NULL AND a.canonical = spec.name
-          UNION SELECT spec.word, {_squash("alias")} FROM {{aliases}} a JOIN spec ON a.entry_kind = 'algorithm' AND a.canonical = spec.family AND spec.size IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {{algorithms}} x WHERE x.name = a.canonical)
-          UNION SELECT spec.word, left({_squash("alias")}, length({_squash("alias")}) - length(spec.size)) FROM {{aliases}} a JOIN spec ON a.entry_kind = 'algorithm' AND a.canonical = spec.name AND endswith(a.alias, spec.size)
-          UNION SELECT word, w FROM VALUES {extra} AS t(word, w)),
+          SELECT word, array_distinct(flatten(collect_list(ws))) AS ws FROM (
+            SELECT word, array(word) AS ws FROM {{spec}}
+            UNION ALL SELECT word, array(w) FROM {{named}} WHERE IF(whole, size IS NULL AND mode IS NULL AND curve IS NULL, size IS NOT NULL AND NOT headed)
+            UNION ALL SELECT word, array(left(w, length(w) - length(size))) FROM {{named}} WHERE whole AND endswith(alias, size)
+            UNION ALL SELECT word, array(w) FROM VALUES {extra} AS t(word, w)) GROUP BY word),
         parts AS (
           SELECT DISTINCT word, primitive, IF(ds, NULL, size) AS size, IF(dm, NULL, mode) AS mode, IF(dc, NULL, curve) AS curve
-          FROM spec LATERAL VIEW explode(array(true, false)) s AS ds LATERAL VIEW explode(array(true, false)) m AS dm LATERAL VIEW explode(array(true, false)) c AS dc
-          WHERE NOT (ds AND dm AND dc) OR size IS NOT NULL OR mode IS NOT NULL OR curve IS NOT NULL OR true),
+          FROM {{spec}} LATERAL VIEW explode(array(true, false)) s AS ds LATERAL VIEW explode(array(true, false)) m AS dm LATERAL VIEW explode(array(true, false)) c AS dc),
         spelled AS (
-          SELECT p.word, p.primitive, p.size, p.mode, p.curve, w.w AS f, coalesce(p.size, '') AS s, coalesce(p.mode, '') AS m, coalesce(c.w, '') AS k
-          FROM parts p JOIN words w ON p.word = w.word LEFT JOIN curve_words c ON p.curve = c.curve)
-        SELECT DISTINCT 'algorithm' AS kind, spelling, word, size, mode, curve, primitive FROM spelled
-          LATERAL VIEW explode(array(concat(f, s, m, k), concat(f, m, s, k), concat(m, f, s, k), concat(s, f, m, k), concat(s, m, f, k), concat(m, s, f, k), concat(k, f, s, m))) o AS spelling
-        UNION SELECT 'algorithm', {_squash("a.alias")}, s.word, s.size, s.mode, s.curve, s.primitive FROM {{aliases}} a JOIN spec s ON a.entry_kind = 'algorithm' AND a.canonical = s.name
-        UNION SELECT 'algorithm', concat('eddsa', s.bare), s.word, s.size, s.mode, s.curve, s.primitive FROM spec s WHERE s.family = 'EdDSA'
-        UNION SELECT 'curve', w, NULL, NULL, NULL, curve, NULL FROM curve_words
+          SELECT p.word, p.primitive, p.size, p.mode, p.curve, f, coalesce(p.size, '') AS s, coalesce(p.mode, '') AS m, coalesce(c.w, '') AS k
+          FROM parts p JOIN words w ON p.word = w.word LEFT JOIN curve_words c ON p.curve = c.curve LATERAL VIEW explode(w.ws) x AS f)
+        SELECT DISTINCT * FROM (
+          SELECT 'algorithm' AS kind, spelling, word, size, mode, curve, primitive FROM spelled
+            LATERAL VIEW explode(array(concat(f, s, m, k), concat(f, m, s, k), concat(m, f, s, k), concat(s, f, m, k), concat(s, m, f, k), concat(m, s, f, k), concat(k, f, s, m))) o AS spelling
+          UNION ALL SELECT 'algorithm', w, word, size, mode, curve, primitive FROM {{named}} WHERE whole
+          UNION ALL SELECT 'algorithm', concat('eddsa', bare), word, size, mode, curve, primitive FROM {{spec}} WHERE family = 'EdDSA'
+          UNION ALL SELECT 'curve', w, NULL, NULL, NULL, curve, NULL FROM curve_words)
         """,
         algorithms=algorithms,
         aliases=aliases,
+        spec=spec,
+        named=named,
     )
 
 
@@ -143,7 +161,7 @@ def match_values(spark: SparkSession, values: DataFrame, references: DataFrame)
         near AS (
           SELECT kind, bare, spelling, least(edits, 1) AS distance FROM verified
           WHERE edits <= 1 OR length(bare) = length(spelling) AND exists(sequence(1, length(bare) - 1), j -> concat(left(bare, j - 1), substr(bare, j + 1, 1), substr(bare, j, 1), substr(bare, j + 2)) = spelling))
-        SELECT n.kind, n.bare, n.spelling, n.distance FROM near n JOIN (SELECT kind, bare, min(distance) AS distance FROM near GROUP BY kind, bare) b ON n.kind = b.kind AND n.bare = b.bare AND n.distance = b.distance
+        SELECT kind, bare, spelling, distance FROM (SELECT *, min(distance) OVER (PARTITION BY kind, bare) AS least FROM near) WHERE distance = least
         """,
         values=values,
         segments=segments,
@@ -160,38 +178,34 @@ def map_values(spark: SparkSession, rows: DataFrame, algorithms: DataFrame, alia
     references = materialised(reference_strings(spark, algorithms, aliases))
     combos = spark.sql(
         f"""
-        SELECT *, {_bare("value")} AS bare, {_bare("curve")} AS bare_curve FROM (
+        SELECT monotonically_increasing_id() AS id, *, {_bare("value")} AS bare, {_bare("curve")} AS bare_curve FROM (
           SELECT DISTINCT kind, value, regexp_extract({_real("key_size")}, '^([0-9]+)$', 1) AS key_size, {_real("mode")} AS mode, curve, primitive FROM {{rows}})
         """,
         rows=rows.select("kind", "value", "key_size", "mode", "curve", "primitive"),
     )
     combos = materialised(combos)  # one row for each distinct value, used three times
     wanted = spark.sql("SELECT kind, bare FROM {combos} UNION SELECT 'curve', bare_curve FROM {combos} WHERE kind = 'algorithm' AND bare_curve <> ''", combos=combos)
-    near = match_values(spark, wanted, references)
+    near = materialised(match_values(spark, wanted, references))
     matched = spark.sql(
         """
         WITH curves AS (
-          SELECT n.bare, min_by(r.curve, struct(r.curve)) AS curve FROM {near} n JOIN {references} r ON n.kind = 'curve' AND r.kind = 'curve' AND n.spelling = r.spelling GROUP BY n.bare),
-        sized AS (
-          SELECT c.*, k.curve AS own_curve FROM {combos} c LEFT JOIN curves k ON c.bare_curve = k.bare),
-        read AS (
-          SELECT s.*, n.distance, r.word, r.size AS r_size, r.mode AS r_mode, r.curve AS r_curve, r.primitive AS r_primitive
-          FROM sized s JOIN {near} n ON s.kind = n.kind AND s.bare = n.bare JOIN {references} r ON r.kind = n.kind AND r.spelling = n.spelling),
+          SELECT n.bare, min(r.curve) AS curve FROM {near} n JOIN {references} r ON n.kind = 'curve' AND r.kind = 'curve' AND n.spelling = r.spelling GROUP BY n.bare),
         spec AS (
-          SELECT 'algorithm' AS kind, a.entry_id, r.word, r.size, r.mode, r.curve FROM {algorithms} a
-          JOIN (SELECT DISTINCT word, size, mode, curve, spelling FROM {references} WHERE kind = 'algorithm') r
-            ON regexp_replace(lower(a.name), '[^a-z0-9]', '') = r.spelling AND a.entry_kind = 'algorithm' AND CAST(a.key_size AS STRING) <=> r.size AND a.mode <=> r.mode AND a.curve <=> r.curve
-          UNION ALL SELECT 'curve', entry_id, NULL, NULL, NULL, name FROM {algorithms} WHERE entry_kind = 'curve'),
-        dims AS (SELECT word, count(size) > 0 AS has_size, count(mode) > 0 AS has_mode, count(curve) > 0 AS has_curve FROM spec WHERE kind = 'algorithm' GROUP BY word),
-        full AS (
-          SELECT r.*, coalesce(r.r_size, CASE WHEN d.has_size THEN nullif(r.key_size, '') END) AS f_size, coalesce(r.r_mode, CASE WHEN d.has_mode THEN r.mode END) AS f_mode,
-            coalesce(r.r_curve, CASE WHEN d.has_curve THEN r.own_curve END) AS f_curve FROM read r LEFT JOIN dims d ON r.word = d.word),
+          SELECT a.entry_id, r.word, r.size, r.mode, r.curve FROM {algorithms} a JOIN {references} r
+            ON r.kind = 'algorithm' AND a.entry_kind = 'algorithm' AND regexp_replace(lower(a.name), '[^a-z0-9]', '') = r.spelling AND CAST(a.key_size AS STRING) <=> r.size AND a.mode <=> r.mode AND a.curve <=> r.curve
+          UNION ALL SELECT entry_id, NULL, NULL, NULL, name FROM {algorithms} WHERE entry_kind = 'curve'),
+        families AS (SELECT word, count(size) > 0 AS has_size, count(mode) > 0 AS has_mode, count(curve) > 0 AS has_curve, collect_list(struct(size, mode, curve, entry_id)) AS entries FROM spec GROUP BY word),
+        read AS (
+          SELECT c.id, c.primitive, c.key_size, c.mode, k.curve AS own_curve, n.distance, r.size AS r_size, r.mode AS r_mode, r.curve AS r_curve, r.primitive AS r_primitive, d.entries,
+            coalesce(r.size, IF(d.has_size, nullif(c.key_size, ''), NULL)) AS f_size, coalesce(r.mode, IF(d.has_mode, c.mode, NULL)) AS f_mode, coalesce(r.curve, IF(d.has_curve AND c.kind = 'algorithm', k.curve, NULL)) AS f_curve
+          FROM {combos} c JOIN {near} n ON c.kind = n.kind AND c.bare = n.bare JOIN {references} r ON r.kind = n.kind AND r.spelling = n.spelling
+            JOIN families d ON r.word <=> d.word LEFT JOIN curves k ON c.bare_curve = k.bare),
         hit AS (
-          SELECT f.*, s.entry_id, CASE WHEN s.size <=> f.f_size AND s.mode <=> f.f_mode AND s.curve <=> f.f_curve THEN 0 ELSE 1 END AS less
-          FROM full f JOIN spec s ON f.kind = s.kind AND f.word <=> s.word AND (s.size <=> f.f_size OR s.size <=> f.r_size) AND (s.mode <=> f.f_mode OR s.mode <=> f.r_mode) AND (s.curve <=> f.f_curve OR s.curve <=> f.r_curve))
-        SELECT kind, value, key_size, mode, curve, primitive, min(distance) AS distance,
+          SELECT *, e.entry_id, IF(e.size <=> f_size AND e.mode <=> f_mode AND e.curve <=> f_curve, 0, 1) AS less FROM read LATERAL VIEW explode(entries) x AS e
+          WHERE (e.size <=> f_size OR e.size <=> r_size) AND (e.mode <=> f_mode OR e.mode <=> r_mode) AND (e.curve <=> f_curve OR e.curve <=> r_curve))
+        SELECT id, min(distance) AS distance,
           min_by(entry_id, struct(less, IF(primitive = r_primitive, 0, 1), IF(nullif(key_size, '') = r_size, 0, 1) + IF(mode = r_mode, 0, 1) + IF(own_curve = r_curve, 0, 1), entry_id)) AS entry_id
-        FROM hit GROUP BY kind, value, key_size, mode, curve, primitive
+        FROM hit GROUP BY id
         """,
         near=near,
         references=references,
@@ -199,11 +213,10 @@ def map_values(spark: SparkSession, rows: DataFrame, algorithms: DataFrame, alia
         algorithms=algorithms,
     )
     matched = materialised(matched)
-    on = " AND ".join(f"c.{k} <=> m.{k}" for k in ("kind", "value", "key_size", "mode", "curve", "primitive"))
     return spark.sql(
-        f"""
-        SELECT kind, value, key_size, mode, curve, primitive, entry_id, distance FROM {{matched}}
-        UNION ALL SELECT kind, value, key_size, mode, curve, primitive, -1, CAST(NULL AS INT) FROM {{combos}} c WHERE NOT EXISTS (SELECT 1 FROM {{matched}} m WHERE {on})
+        """
+        SELECT kind, value, key_size, mode, curve, primitive, entry_id, distance FROM {combos} c JOIN {matched} m ON c.id = m.id
+        UNION ALL SELECT kind, value, key_size, mode, curve, primitive, -1, CAST(NULL AS INT) FROM {combos} c LEFT ANTI JOIN {matched} m ON c.id = m.id
         """,
         matched=matched,
         combos=combos,
@@ -237,7 +250,7 @@ def mapped(spark: SparkSession, findings: DataFrame, source_rules: DataFrame, al
     mapping = map_values(spark, rows, algorithms, aliases)
     keys = ("kind", "value", "key_size", "mode", "curve", "primitive")
     plain = rows.select("table_name", "row_key", "field", "kind", "value", F.expr(f"regexp_extract({_real('key_size')}, '^([0-9]+)$', 1)").alias("key_size"), F.expr(_real("mode")).alias("mode"), "curve", "primitive", F.pmod("row_key", F.lit(SALT)).alias("salt"))
-    salted = mapping.select(*[F.col(k).alias(f"m_{k}") for k in keys], "entry_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("bigint").alias("m_salt"))
+    salted = mapping.select(*[F.col(k).alias(f"m_{k}") for k in keys], "entry_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("m_salt"))
     on = F.col("salt") == F.col("m_salt")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"m_{k}"))
