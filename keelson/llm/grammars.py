@@ -125,6 +125,7 @@ _CPP_ONLY = set(
     "bool wchar_t char8_t char16_t char32_t class namespace template typename using public private protected virtual explicit friend mutable constexpr consteval constinit operator new delete this throw try catch "
     "static_cast dynamic_cast const_cast reinterpret_cast nullptr true false noexcept decltype static_assert alignas alignof typeid thread_local concept requires co_await co_return co_yield and or not xor bitand bitor compl and_eq or_eq xor_eq not_eq".split()
 )
+_C_ATTRIBUTES = {"[", "__attribute__", "alignas", "_Alignas", "__declspec", "asm", "__asm__", "__asm"}
 _BINARY = {"||": 1, "&&": 2, "|": 3, "^": 4, "&": 5, "==": 6, "!=": 6, "<": 7, ">": 7, "<=": 7, ">=": 7, "<=>": 8, "<<": 9, ">>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, ".*": 12, "->*": 12, "or": 1, "and": 2, "bitor": 3, "xor": 4, "bitand": 5, "not_eq": 6}
 _ASSIGN = set("= += -= *= /= %= &= |= ^= <<= >>= and_eq or_eq xor_eq".split())
 
@@ -135,7 +136,7 @@ class C(Reader):
     # -- types
 
     def attributes(self) -> None:
-        while True:
+        while self.t[self.i] in _C_ATTRIBUTES:
             if self.tok == "[" and self.ahead() == "[":
                 self.balanced()
             elif self.tok in ("__attribute__", "alignas", "_Alignas", "__declspec"):
@@ -1151,13 +1152,15 @@ def preprocessed(lang: str, tokens: list[tuple[str, str]]) -> list[tuple[str, st
         out.extend(expand(run, macros) if macros else run)
         run.clear()
 
-    for kind, text in tokens:
-        live = all(s[0] for s in stack)
+    put = run.append
+    live = True
+    for token in tokens:
+        kind, text = token
         if kind != "d":
             if live:
-                if kind == "bad" or text in ("#", "##"):
+                if kind == "x":
                     raise Bad
-                run.append((kind, text))
+                put(token)
             continue
         word, rest = _DIRECTIVE.match(re.sub(r"\\\r?\n", " ", text)).groups()
         if word in ("if", "ifdef", "ifndef"):
@@ -1171,6 +1174,7 @@ def preprocessed(lang: str, tokens: list[tuple[str, str]]) -> list[tuple[str, st
                         raise Bad
                     value = (name.group() in macros) == (word == "ifdef")
             stack.append([value, value or not live, False])
+            live = live and value
         elif word in ("elif", "elifdef", "elifndef", "else"):
             if not stack or stack[-1][2]:
                 raise Bad
@@ -1183,17 +1187,19 @@ def preprocessed(lang: str, tokens: list[tuple[str, str]]) -> list[tuple[str, st
                 value = above and not top[1] and (truth(lang, rest, macros) if word == "elif" else (rest.split()[0] in macros if rest.split() else False) == (word == "elifdef"))
                 top[0] = value
             top[1] = top[1] or top[0]
+            live = above and top[0]
         elif word == "endif":
             if not stack:
                 raise Bad
             stack.pop()
+            live = all(x[0] for x in stack)
         elif live:
             if word == "define":
                 flush()
                 m = re.match(r"([^\W\d]\w*)(\(([^)]*)\))?", rest)
                 if not m:
                     raise Bad
-                body = [x for x in lex(lang, rest[m.end() :])[0] if x[0] != "d"]
+                body = lex(lang, rest[m.end() :], directives=False)[0]
                 names = None if m.group(2) is None else [p.strip() for p in m.group(3).split(",")] if m.group(3).strip() else []
                 macros[m.group(1)] = (names, body)
             elif word == "undef":
@@ -1212,7 +1218,7 @@ def truth(lang: str, text: str, macros: dict) -> bool:
     text = re.sub(r"/\*.*?\*/|//.*", " ", text, flags=re.DOTALL)
     text = re.sub(r"\bdefined\s*(?:\(\s*(\w+)\s*\)|(\w+))", lambda m: "1" if (m.group(1) or m.group(2)) in macros else "0", text)
     text = re.sub(r"\b__has_\w+\s*\([^)]*\)", "0", text)
-    tokens = expand(lex(lang, text)[0], macros)
+    tokens = expand(lex(lang, text, directives=False)[0], macros)
     if not tokens:
         raise Bad
     out = []
@@ -1222,7 +1228,7 @@ def truth(lang: str, text: str, macros: dict) -> bool:
         elif kind == "n":
             m = re.match(r"0[xX][0-9a-fA-F']+|0[bB][01']+|[0-9']+", t)
             out.append(str(int(m.group().replace("'", ""), 0)) if m and not re.match(r"0\d", m.group()) else str(int(m.group(), 8)) if m and re.fullmatch("[0-7]+", m.group()) else "0")
-        elif kind == "ch":
+        elif kind == "h":
             out.append("1")
         else:
             out.append({"&&": " and ", "||": " or ", "!": " not ", "/": "//", "?": " and ", ":": " or "}.get(t, t))
@@ -1319,20 +1325,15 @@ def _pasted(tokens: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 def _classes(tokens: list[tuple[str, str]], words: set[str]) -> list[str]:
     """The class of each token; a token that fits nothing makes the file bad."""
-    kinds = {"n": "0", "s": "s", "ch": "c"}
-    out = []
-    for kind, t in tokens:
-        if kind == "i":
-            out.append(t if t in words else "i")
-        elif kind == "o":
-            out.append(t)
-        elif kind == "bad":
-            raise Bad
-        else:
-            out.append(kinds[kind])
+    out = [t if kind == "o" or (kind == "i" and t in words) else _CLASS[kind] for kind, t in tokens]
+    if "" in out:
+        raise Bad
     return out
 
 
+_CLASS = {"i": "i", "n": "0", "s": "s", "h": "c", "x": "", "d": "", "l": ""}
+
+
 def _c_family(lang: str, tokens: list[tuple[str, str]]) -> None:
     words = _C_WORDS | (_CPP_ONLY if lang == "cpp" else set())
     (Cpp if lang == "cpp" else C)(_classes(preprocessed(lang, tokens), words)).unit()
@@ -2725,21 +2726,23 @@ class Go(Reader):
 
 
 def _go(tokens: list[tuple[str, str]]) -> None:
-    kinds = {"n": "0", "s": "s", "ch": "c"}
     out: list[str] = []
+    last = ""
     for kind, t in tokens:
-        if kind == "nl":
-            if out and out[-1] in _GO_ENDS:
-                out.append(";")
-        elif kind == "i":
-            out.append(t if t in _GO_WORDS else "i")
+        if kind == "l":
+            if last not in _GO_ENDS:
+                continue
+            last = ";"
         elif kind == "o":
-            out.append(t)
-        elif kind == "bad":
+            last = t
+        elif kind == "i":
+            last = t if t in _GO_WORDS else "i"
+        elif kind == "x":
             raise Bad
         else:
-            out.append(kinds[kind])
-    if out and out[-1] in _GO_ENDS:
+            last = _CLASS[kind]
+        out.append(last)
+    if last in _GO_ENDS:
         out.append(";")
     Go(out).unit()
 

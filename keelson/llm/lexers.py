@@ -21,18 +21,29 @@ _ID = r"[^\W\d]\w*"
 
 
 @functools.cache
-def pattern(lang: str) -> re.Pattern:
-    """The master pattern of a language's code state. Groups: w white space, c comment, s string, ch character, n number, i name, o operator, open_* what is open at the end."""
+def pattern(lang: str, directives: bool = True) -> re.Pattern:
+    """The master pattern of a language's code state: white space, then one token, so that its matches follow each other without gaps.
+
+    Groups: i name, o operator, n number, s string, h character, l line break, d directive, c comment, t string over lines, x what
+    fits nothing; within c and t, open_* is what is open at the end. White space at the end is no group.
+    """
+    comment = r"(?P<c>//[^\n\r]*|/\*(?:[^*]++|\*(?!/))*(?:\*/|(?P<open_comment>\Z)))"
     if lang in ("c", "cpp"):
-        raw = r"|(?P<raw>(?:u8|[uUL])?R\"(?P<delim>[^()\\\s\"]{0,16})\((?:(?!\)(?P=delim)\").)*?(?:\)(?P=delim)\"|(?P<open_raw>\Z)))" if lang == "cpp" else ""
+        comment = r"(?P<c>//(?:[^\n\r\\]++|\\\r?\n|\\.|\\)*|/\*(?:[^*]++|\*(?!/))*(?:\*/|(?P<open_comment>\Z)))"
+        raw = r"|(?P<t>(?:u8|[uUL])?R\"(?P<delim>[^()\\\s\"]{0,16})\((?:(?!\)(?P=delim)\").)*?(?:\)(?P=delim)\"|(?P<open_raw>\Z)))" if lang == "cpp" else ""
         # a directive reaches to the end of its line, over continued lines and comments
-        directive = r"(?P<d>^[ \t\f\v]*(?:\#|%:)(?:[^\n\r\\/\"']|\\\r?\n|\\.|/\*(?:[^*]|\*(?!/))*\*/|//[^\n\r]*|/(?![/*])|\"(?:[^\"\\\n\r]|\\.|\\\r?\n)*\"|'(?:[^'\\\n\r]|\\.)*'|[\"'])*)"
-        body = rf"(?P<w>\s+|\\\r?\n){'|' + directive}|(?P<c>//(?:[^\n\r\\]|\\\r?\n|\\.|\\)*|/\*(?:[^*]|\*(?!/))*(?:\*/|(?P<open_comment>\Z))){raw}|(?P<s>(?:u8|[uUL])?\"(?:[^\"\\\n\r]|\\\r?\n|\\.)*\"\w*)|(?P<ch>(?:u8|[uUL])?'(?:[^'\\\n\r]|\\\r?\n|\\.)+')|(?P<n>{_NUMBER})|(?P<i>(?:\\u[0-9a-fA-F]{{4}}|[^\W\d]|\$)(?:\w|\\u[0-9a-fA-F]{{4}}|\$)*)|(?P<o>{_C_OPS})"
+        directive = r"|(?P<d>(?:\#|%:)(?:[^\n\r\\/\"']++|\\\r?\n|\\.|/\*(?:[^*]|\*(?!/))*\*/|//[^\n\r]*|/(?![/*])|\"(?:[^\"\\\n\r]|\\.|\\\r?\n)*\"|'(?:[^'\\\n\r]|\\.)*'|[\"'])*)" if directives else ""
+        space = r"(?:\s++|\\\r?\n)*"
+        name = r"(?P<i>(?:\\u[0-9a-fA-F]{4}|[^\W\d]|\$)(?:\w++|\\u[0-9a-fA-F]{4}|\$)*)"
+        body = rf"{raw[1:] + '|' if raw else ''}(?P<s>(?:u8|[uUL])?\"(?:[^\"\\\n\r]++|\\\r?\n|\\.)*\"\w*)|(?P<h>(?:u8|[uUL])?'(?:[^'\\\n\r]|\\\r?\n|\\.)+')|{name}|(?P<n>{_NUMBER})|{comment}{directive}|(?P<o>{_C_OPS})"
     elif lang == "java":
-        body = rf"(?P<w>[ \t\f\r\n\x1a]+)|(?P<c>//[^\n\r]*|/\*(?:[^*]|\*(?!/))*(?:\*/|(?P<open_comment>\Z)))|(?P<t>\"\"\"[ \t\f]*(?:\r\n|\n|\r)(?:[^\"\\]|\\.|\"(?!\"\"))*(?:\"\"\"|(?P<open_text>\Z)))|(?P<s>\"(?:[^\"\\\n\r]|\\(?:[btnfrs0-7\"'\\]|u+[0-9a-fA-F]{{4}}))*\")|(?P<ch>'(?:[^'\\\n\r]|\\(?:[btnfrs\"'\\]|[0-3]?[0-7]{{1,2}}|u+[0-9a-fA-F]{{4}}))')|(?P<n>{_NUMBER})|(?P<i>(?:[^\W\d]|\$)(?:\w|\$)*)|(?P<o>>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|<<|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^~!<>=?:;,.(){{}}\[\]@])"
+        space = r"[ \t\f\r\n\x1a]*"
+        body = rf"(?P<i>(?:[^\W\d]|\$)(?:\w++|\$)*)|(?P<n>{_NUMBER})|{comment}|(?P<t>\"\"\"[ \t\f]*(?:\r\n|\n|\r)(?:[^\"\\]++|\\.|\"(?!\"\"))*(?:\"\"\"|(?P<open_text>\Z)))|(?P<s>\"(?:[^\"\\\n\r]++|\\(?:[btnfrs0-7\"'\\]|u+[0-9a-fA-F]{{4}}))*\")|(?P<h>'(?:[^'\\\n\r]|\\(?:[btnfrs\"'\\]|[0-3]?[0-7]{{1,2}}|u+[0-9a-fA-F]{{4}}))')|(?P<o>>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|<<|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^~!<>=?:;,.(){{}}\[\]@])"
     else:
-        body = rf"(?P<nl>\r?\n)|(?P<w>[ \t\r]+)|(?P<c>//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|(?P<open_comment>\Z)))|(?P<t>`[^`]*(?:`|(?P<open_raw>\Z)))|(?P<s>\"(?:[^\"\\\n]|\\(?:[abfnrtv\\\"]|[0-7]{{3}}|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}))*\")|(?P<ch>'(?:[^'\\\n]|\\(?:[abfnrtv\\']|[0-7]{{3}}|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}))')|(?P<n>{_NUMBER})|(?P<i>{_ID})|(?P<o><<=|>>=|&\^=|\.\.\.|&\^|<-|\+\+|--|<<|>>|<=|>=|==|!=|:=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^~!<>=:;,.(){{}}\[\]])"
-    return re.compile(body, re.DOTALL | re.MULTILINE)
+        space = r"[ \t\r]*"
+        comment = comment.replace("[^\\n\\r]*", "[^\\n]*", 1)
+        body = rf"(?P<l>\n)|(?P<i>{_ID})|(?P<n>{_NUMBER})|{comment}|(?P<t>`[^`]*(?:`|(?P<open_raw>\Z)))|(?P<s>\"(?:[^\"\\\n]++|\\(?:[abfnrtv\\\"]|[0-7]{{3}}|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}))*\")|(?P<h>'(?:[^'\\\n]|\\(?:[abfnrtv\\']|[0-7]{{3}}|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}))')|(?P<o><<=|>>=|&\^=|\.\.\.|&\^|<-|\+\+|--|<<|>>|<=|>=|==|!=|:=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^~!<>=:;,.(){{}}\[\]])"
+    return re.compile(rf"{space}(?:{body}|(?P<x>.)|\Z)", re.DOTALL)
 
 
 _ENDS = {"comment": "*/", "raw": "`"}
@@ -48,10 +59,10 @@ def _leave(text: str, state: str) -> int:
     return at + len(end) if at >= 0 else -1
 
 
-def lex(lang: str, text: str, state: str = "code") -> tuple[list[tuple[str, str]], str]:
-    """Tokens (kind, text) of a chunk entered in state, and the state it leaves. What fits nothing is of kind bad.
+def lex(lang: str, text: str, state: str = "code", directives: bool = True) -> tuple[list[tuple[str, str]], str]:
+    """Tokens (kind, text) of a chunk entered in state, and the state it leaves; kinds are the groups of pattern.
 
-    Comments and spaces are left out, in Go a line break is a token, as is in C a directive.
+    Comments and spaces are left out, in Go a line break is a token, as is in C a directive. A string over lines is of kind s.
     """
     at = 0
     if state != "code":
@@ -59,38 +70,60 @@ def lex(lang: str, text: str, state: str = "code") -> tuple[list[tuple[str, str]
         if at < 0:
             return [], state
     out: list[tuple[str, str]] = []
-    find, n = pattern(lang).match, len(text)
     put = out.append
     if state not in ("code", "comment"):
         put(("s", '"long"'))  # the string that ended here is a token of this chunk
     elif state == "comment" and lang == "go":
-        put(("nl", "\n"))
+        put(("l", "\n"))
+    find, special, known = pattern(lang, directives).finditer, _SPECIAL[lang], _lines[lang, directives]
+    n = len(text)
     while at < n:
-        m = find(text, at)
-        if m is None:
-            put(("bad", text[at]))
-            at += 1
-            continue
-        kind = m.lastgroup
-        if kind == "w":
-            at = m.end()
+        end = text.find("\n", at) + 1 or n
+        line = text[at:end]
+        same = known.get(line)
+        if same is not None:
+            out += same
+            at = end
             continue
-        at = m.end()
-        if kind in ("i", "o", "n", "s", "ch", "nl", "d"):
-            put((kind, m.group()))
-            continue
-        groups = m.groupdict()
-        for name, left in (("open_comment", "comment"), ("open_text", "text"), ("open_raw", f"raw:{groups['delim']}" if lang == "cpp" else "raw")):
-            if groups.get(name) is not None:
-                return out, left
-        if groups.get("c") is not None:
-            if lang == "go" and "\n" in m.group():
-                put(("nl", "\n"))
-        else:
-            put(("s", m.group() if len(m.group()) < 200 else '"long"'))
+        before = len(out)
+        for m in find(text, at):
+            kind = m.lastgroup
+            if kind is None or m.start(kind) >= end:
+                break
+            if kind in _PLAIN:
+                put((kind, m[kind]))
+            elif kind == "d":
+                here = m.start("d")
+                put(("d", m["d"]) if not text[text.rfind("\n", 0, here) + 1 : here].strip() else ("x", "#"))
+            elif kind == "c":
+                if m["open_comment"] is not None:
+                    return out, "comment"
+                if lang == "go" and "\n" in m["c"]:
+                    put(("l", "\n"))
+            elif lang == "java":
+                if m["open_text"] is not None:
+                    return out, "text"
+                put(("s", '"long"'))
+            else:
+                if m["open_raw"] is not None:
+                    return out, f"raw:{m['delim']}" if lang == "cpp" else "raw"
+                put(("s", '"long"'))
+            if m.end() > end:  # it went on over line ends
+                end = m.end() if text[m.end() - 1] == "\n" else text.find("\n", m.end()) + 1 or n
+        if end - at == len(line) <= 200 and not special(line):
+            if len(known) >= 50_000:
+                known.clear()
+            known[line] = out[before:]
+        at = end
     return out, "code"
 
 
+#: What a line must not have for its tokens to be a function of the line alone, and the tokens of such lines met before.
+_SPECIAL = {lang: re.compile(r"/\*|\\\s*$" + more).search for lang, more in (("c", "|#|%:"), ("cpp", '|#|%:|R"'), ("java", '|"""'), ("go", "|`"))}
+_lines: dict = {(lang, d): {} for lang in STATES for d in (True, False)}
+_PLAIN = frozenset("ionshlx")
+
+
 #: Brackets.
 PAIRS = {")": "(", "]": "[", "}": "{"}
 

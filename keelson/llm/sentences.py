@@ -66,11 +66,15 @@ def _compiled():
         "letter": c(r"[^\S\n\r]*\(?(?P<n>[a-z])\)[^\S\n\r]+(?=\S)"),
         "heading": c(r"[^\S\n\r]*#{1,6}[^\S\n\r]+\S"),
         "mark": c(r"[" + regex.escape(_ENDS) + r"]+|[()\[\]{}（）［］「」『』【】《》〈〉«»“”„‹›\"]"),
-        "word": c(r"[\p{L}\p{M}\p{N}.'’°º-]*$"),
+        "word": c(r"(?<![\p{L}\p{M}\p{N}.'’°º-])[\p{L}\p{M}\p{N}.'’°º-]*+$"),
         "next": c(r"[^\S]*[\"'“„«‹‘(\[「『《（¿¡]*\s*(\S[^\s]*)"),
         "thai": c(r"(?:(?<=\p{Thai})|(?<=\p{Thai}\s?[\p{Extended_Pictographic}\p{Emoji_Modifier}\u200d\ufe0f\U0001F1E6-\U0001F1FF\u2640\u2642]{1,12}))\s+(?=\p{Thai})"),
         "cjk": c(f"[{_CJK}]"),
-        "letters": c(r"\p{L}"),
+        "spaced": c(r"(?<![\p{L}\p{N}])(\p{L}{1,3}(?:\.\s+\p{L}{1,3})+)$"),
+        "before": c(r"(\p{L}+)\s+$"),
+        "ja joins": c(_JA_JOINS),
+        "zh joins": c(_ZH_JOINS),
+        "zh says": c(_ZH_JOINS + "|" + _ZH_SAYS),
         "prose": c(r"[" + regex.escape(_ENDS) + r"][\"'”’»)\]」』）]*\s*\Z"),
     }
 
@@ -138,8 +142,7 @@ def _one_unit(line: str) -> bool:
         return True
     if c["bullet"].match(line):
         return False
-    letters = len(c["letters"].findall(s))
-    if letters * 3 < len(s.replace(" ", "")) * 1 and not c["prose"].search(s):
+    if sum(map(str.isalpha, s)) * 3 < len(s) - s.count(" ") and not c["prose"].search(s):
         return True
     return bool(_log().match(s))
 
@@ -287,14 +290,13 @@ _JA_JOINS = r"(?:と|という|って|の|は|が|を|に|で|も|や|など|か
 
 
 def _cjk_goes_on(text: str, at: int, hi: int, lead: str) -> bool:
-    import regex
-
+    c = _compiled()
     rest = text[at : at + 12]
-    if regex.match(_JA_JOINS, rest):
+    if c["ja joins"].match(rest):
         return True
     if lead.endswith(("：", ":", "，")):
-        return bool(regex.match(_ZH_JOINS, rest))
-    return bool(regex.match(_ZH_JOINS + "|" + _ZH_SAYS, rest))
+        return bool(c["zh joins"].match(rest))
+    return bool(c["zh says"].match(rest))
 
 
 def _abbreviated(inner: str) -> bool:
@@ -309,6 +311,8 @@ def _ends(text: str, m, first: int, lo: int, hi: int) -> int:
     """The end of the sentence if the marks of m end one, else 0."""
     c = _compiled()
     marks, end = m.group(), m.end()
+    if marks == "." and end < hi and text[end].isalnum():
+        return 0
     if m.start() <= first and not any(x in _STRONG for x in marks):
         return 0
     end = _closed(text, end, hi)
@@ -346,7 +350,7 @@ def _ends(text: str, m, first: int, lo: int, hi: int) -> int:
         return 0 if word[0].islower() and not _named(word) else end
     if word[0] in ",;:—–،؛)":
         return 0
-    before = c["word"].search(text, first, m.start()).group() if m.start() > first else ""
+    before = c["word"].search(text, max(first, m.start() - 40), m.start()).group() if m.start() > first else ""
     bare = before.lower().lstrip("'’-")
     if end > m.end() and before.isdigit() and text[m.end()] == ")":
         return 0  # 1.) in a line
@@ -389,10 +393,8 @@ def _closed(text: str, at: int, hi: int) -> int:
 
 def _spaced(text: str, first: int, at: int) -> str:
     """Letters with stops and spaces between, as d. M. or т. е., before at: without the spaces, in lower case."""
-    import regex
-
-    m = regex.search(r"(?<![\p{L}\p{N}])(\p{L}{1,3}(?:\.\s+\p{L}{1,3})+)$", text[max(first, at - 16) : at])
-    return regex.sub(r"\s+", "", m.group(1)).lower() if m else ""
+    m = _compiled()["spaced"].search(text[max(first, at - 16) : at])
+    return "".join(m.group(1).split()).lower() if m else ""
 
 
 def _begins(word: str) -> bool:
@@ -401,9 +403,7 @@ def _begins(word: str) -> bool:
 
 
 def _ordinal(text: str, first: int, at: int, word: str) -> bool:
-    import regex
-
-    prev = regex.search(r"(\p{L}+)\s+$", text[first:at])
+    prev = _compiled()["before"].search(text[max(first, at - 40) : at])
     if word[0].islower() or word.strip(".,;:").lower() in MONTHS:
         return word.strip(".,;:").lower() in MONTHS or prev is not None and (prev.group(1).lower() in BEFORE_ORDINAL or not _named(word))
     return prev is not None and prev.group(1).lower() in BEFORE_ORDINAL
