@@ -24,7 +24,7 @@ _memo: dict = {}
 
 def remembered(name: str, tokens: list[str], check) -> None:
     """Run check over tokens, or raise or pass as it did the last time on the same ones."""
-    key = (name, " ".join(tokens))
+    key = name + " ".join(tokens)
     known = _memo.get(key)
     if known is None:
         if len(_memo) > 200_000:
@@ -39,6 +39,10 @@ def remembered(name: str, tokens: list[str], check) -> None:
         raise Bad
 
 
+_PAIRS = {"(": ")", "[": "]", "{": "}"}
+_OPENING, _CLOSING = {"(", "[", "{"}, {")", "]", "}"}
+
+
 class Reader:
     """Tokens with a place; an empty string is the end."""
 
@@ -80,37 +84,36 @@ class Reader:
 
     def balanced(self) -> None:
         """Skip a bracketed group."""
-        pairs = {"(": ")", "[": "]", "{": "}"}
+        pairs = _PAIRS
         if self.tok not in pairs:
             raise Bad
         stack = []
-        while self.i < self.n:
-            t = self.t[self.i]
-            self.i += 1
+        for at in range(self.i, self.n):
+            t = self.t[at]
             if t in pairs:
                 stack.append(pairs[t])
-            elif t in ")]}" and t:
-                if not stack or stack.pop() != t:
+            elif t in _CLOSING:
+                if stack.pop() != t:
                     raise Bad
                 if not stack:
+                    self.i = at + 1
                     return
         raise Bad
 
     def simple(self) -> list[str]:
         """The tokens up to a semicolon outside brackets, without it; the place moves behind it."""
-        depth, start = 0, self.i
-        while self.i < self.n:
-            t = self.t[self.i]
-            if t in ("(", "[", "{"):
+        depth, start, tokens = 0, self.i, self.t
+        for at in range(start, self.n):
+            t = tokens[at]
+            if t in _OPENING:
                 depth += 1
-            elif t in (")", "]", "}"):
+            elif t in _CLOSING:
                 depth -= 1
                 if depth < 0:
                     raise Bad
             elif t == ";" and not depth:
-                self.i += 1
-                return self.t[start : self.i - 1]
-            self.i += 1
+                self.i = at + 1
+                return tokens[start:at]
         raise Bad
 
 
@@ -772,8 +775,11 @@ class C(Reader):
             self.statement()
 
     def statement(self) -> None:
+        t = self.t[self.i]
+        if t == "i" and self.t[self.i + 1] != ":":
+            return self.checked(type(self).plain)
         self.attributes()
-        t = self.tok
+        t = self.t[self.i]
         if t == "{":
             return self.block()
         if t == "if":
@@ -1657,7 +1663,9 @@ class Java(Reader):
         own.done()
 
     def statement(self, local: bool = False) -> None:
-        t = self.tok
+        t = self.t[self.i]
+        if t == "i" and self.t[self.i + 1] != ":":
+            return remembered("Java.local" if local else "Java.plain", self.simple(), self.local if local else self.expression_statement)
         if t == "{":
             return self.block()
         if self.take(";"):
@@ -1726,10 +1734,7 @@ class Java(Reader):
             self.i = at
         elif t in ("class", "interface", "enum"):
             raise Bad
-        start = self.i
-        tokens = self.simple()
-        remembered("Java.local" if local else "Java.plain", tokens, self.local if local else self.expression_statement)
-        return None if start >= 0 else None
+        return remembered("Java.local" if local else "Java.plain", self.simple(), self.local if local else self.expression_statement)
 
     def to_semicolon(self) -> None:
         remembered("Java.expression", self.simple(), self.whole_expression)
@@ -2393,7 +2398,9 @@ class Go(Reader):
         self.level = level
 
     def statement(self) -> None:
-        t = self.tok
+        t = self.t[self.i]
+        if t == "i" and self.t[self.i + 1] != ":":
+            return self.quick()
         if t in (";", "}"):
             return None
         if t == "{":
