@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.operators import hotkeys, snapshots
+from keelson.plans import inventory
 from keelson.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +33,7 @@ def p5_changes(spark: SparkSession, d: str) -> DataFrame:
     return c.select("snapshot_no", "bom_ref", "change_kind", F.explode("changes").alias("c")).select("snapshot_no", "bom_ref", "change_kind", F.col("c.key").alias("property"), F.col("c.before").alias("before_value"), F.col("c.after").alias("after_value"))
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_key_totals": p3_key_totals, "p5_found": p5_found, "p5_changes": p5_changes}
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_key_totals": p3_key_totals, "p5_found": p5_found, "p5_changes": p5_changes, **inventory.QUERIES}
 
 _KEYED = """SELECT 'name' AS field, name AS key_value, run_id, bom_ref, observed_at FROM findings WHERE name IS NOT NULL
 UNION ALL SELECT 'target_id', target_id, run_id, bom_ref, observed_at FROM findings WHERE target_id IS NOT NULL"""
@@ -54,8 +55,10 @@ j AS (SELECT coalesce(n.snapshot_no, o.snapshot_no) AS snapshot_no, coalesce(n.b
 _DIFFERS = " OR ".join(f"(n.{c} IS DISTINCT FROM o.{c})" for c in ("confidence", "surfaces", "collectors", "quantum_status", "classical_status", "corroborated"))
 
 ORACLE: dict[str, str] = {
+    **inventory.ORACLE,
     "p3_found": f"SELECT field, key_value FROM ({_KEYED}) GROUP BY ALL HAVING count(*) * 100 >= 4 * (SELECT count(*) FROM findings)",
     "p3_key_totals": f"SELECT field, key_value, count(*) AS sightings, count(DISTINCT (run_id, bom_ref)) FILTER (WHERE bom_ref IS NOT NULL) AS assets, max(observed_at) AS latest FROM ({_KEYED}) GROUP BY field, key_value",
     "p5_found": f"{_SNAPSHOTS} SELECT snapshot_no, bom_ref, change_kind FROM j WHERE change_kind <> 'changed' OR {_DIFFERS}",
     "p5_changes": f"{_SNAPSHOTS} " + " UNION ALL ".join(f"SELECT snapshot_no, bom_ref, change_kind, '{c.replace('_', '-')}' AS property, o.{c} AS before_value, n.{c} AS after_value FROM j WHERE n.{c} IS DISTINCT FROM o.{c}" for c in ("confidence", "surfaces", "collectors", "quantum_status", "classical_status", "corroborated")),
 }
+ORACLE["agg_property_changes"] = f"SELECT snapshot_no, change_kind, count(*) AS assets FROM ({ORACLE['p5_found']}) GROUP BY ALL"
