@@ -165,5 +165,6 @@ def compose(a: dict[str, list], b: dict[str, list]) -> dict[str, list]:
         left, c2, o2, bad2 = then
         k = min(len(o1), len(c2))
         wrong = any(PAIRS[c] != o for c, o in zip(c2[:k], reversed(o1[len(o1) - k :])))
-        out[state] = [left, c1 + c2[k:], o1[: len(o1) - k] + o2, bad1 or bad2 or wrong]
+        bad = bad1 or bad2 or wrong
+        out[state] = [left, "", "", True] if bad else [left, c1 + c2[k:], o1[: len(o1) - k] + o2, False]
     return out

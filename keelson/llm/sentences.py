@@ -352,7 +352,7 @@ def _ends(text: str, m, first: int, lo: int, hi: int) -> int:
         return 0
     before = c["word"].search(text, max(first, m.start() - 40), m.start()).group() if m.start() > first else ""
     bare = before.lower().lstrip("'’-")
-    if end > m.end() and before.isdigit() and text[m.end()] == ")":
+    if end > m.end() and before.isdigit() and text[m.end()] == ")" and text.count("(", first, m.start()) <= text.count(")", first, m.start()):
         return 0  # 1.) in a line
     if not before:
         return end
