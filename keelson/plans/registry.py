@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keelson.operators import hotkeys, snapshots
 from keelson.plans import inventory
 from keelson.sources import table
+from keelson.streaming import confidence
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +34,11 @@ def p5_changes(spark: SparkSession, d: str) -> DataFrame:
     return c.select("snapshot_no", "bom_ref", "change_kind", F.explode("changes").alias("c")).select("snapshot_no", "bom_ref", "change_kind", F.col("c.key").alias("property"), F.col("c.before").alias("before_value"), F.col("c.after").alias("after_value"))
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_key_totals": p3_key_totals, "p5_found": p5_found, "p5_changes": p5_changes, **inventory.QUERIES}
+def str_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    return confidence.arrivals(table(spark, d, "events"))
+
+
+QUERIES: dict[str, Query] = {"str_arrivals": str_arrivals, "p3_found": p3_found, "p3_key_totals": p3_key_totals, "p5_found": p5_found, "p5_changes": p5_changes, **inventory.QUERIES}
 
 _KEYED = """SELECT 'name' AS field, name AS key_value, run_id, bom_ref, observed_at FROM findings WHERE name IS NOT NULL
 UNION ALL SELECT 'target_id', target_id, run_id, bom_ref, observed_at FROM findings WHERE target_id IS NOT NULL"""
@@ -62,3 +67,4 @@ ORACLE: dict[str, str] = {
     "p5_changes": f"{_SNAPSHOTS} " + " UNION ALL ".join(f"SELECT snapshot_no, bom_ref, change_kind, '{c.replace('_', '-')}' AS property, o.{c} AS before_value, n.{c} AS after_value FROM j WHERE n.{c} IS DISTINCT FROM o.{c}" for c in ("confidence", "surfaces", "collectors", "quantum_status", "classical_status", "corroborated")),
 }
 ORACLE["agg_property_changes"] = f"SELECT snapshot_no, change_kind, count(*) AS assets FROM ({ORACLE['p5_found']}) GROUP BY ALL"
+ORACLE["str_arrivals"] = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
