@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.verb == "bom":
         outputs.bill_of_materials(merged, a.run, a.out)
     else:
-        outputs.report(risk.queue(risk.assessed(merged, table(spark, a.tables, "targets"))), table(spark, a.tables, "errors"), a.out)
+        outputs.report(risk.queue(risk.assessed(merged, table(spark, a.tables, "targets")), assets.reach(table(spark, a.tables, "findings").filter("asset_kind <> 'library'"))), table(spark, a.tables, "errors"), a.out)
     return 0
 
 

@@ -8,19 +8,14 @@ from pyspark.sql import functions as F
 from keelson.functions import dims
 
 
-def significant(parameters: Column) -> Column:
-    """The (name, value) pairs of the parameters that enter identity, by name; without nulls."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.try_element_at(parameters, F.lit(k)).alias("v")) for k in dims.SIGNIFICANT])
-    return F.filter(pairs, lambda p: p["v"].isNotNull())
-
-
 def _hex4(n: Column) -> Column:
     return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
 
 
-def json_text(c: Column) -> Column:
-    """c as a JSON string in ASCII, as is usual for identifiers; null is null."""
-    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), "\t", r"\\t"), "\r", r"\\r"), F.lit('"'))
+def escaped(c: Column) -> Column:
+    """The inside of a JSON string in ASCII, as is usual for identifiers."""
+    for raw, to in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(raw), F.lit(to))
 
     def ascii_only(ch: Column) -> Column:
         n = F.ascii(ch)
@@ -28,14 +23,23 @@ def json_text(c: Column) -> Column:
         pair = F.concat(_hex4(F.lit(0xD800) + F.shiftright(low, 10)), _hex4(F.lit(0xDC00) + low.bitwiseAND(F.lit(0x3FF))))
         return F.when(n < 128, ch).when(n > 0xFFFF, pair).otherwise(_hex4(n))
 
-    plain = F.when(quoted.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(quoted, ""), ascii_only), "")).otherwise(quoted)
-    return F.coalesce(plain, F.lit("null"))
+    return F.array_join(F.transform(F.split(c, ""), ascii_only), "")
+
+
+def json_text(c: Column) -> Column:
+    """c as a JSON string; null is null. Hardly any value needs escapes, and only those that do pay for them."""
+    return F.when(c.isNull(), "null").otherwise(F.concat(F.lit('"'), F.when(c.rlike(r"[^ !#-\[\]-~]"), escaped(c)).otherwise(c), F.lit('"')))
+
+
+def significant(parameters: Column) -> Column:
+    """The parameters that enter identity as JSON pairs, by name, without those that are null."""
+    values = [F.try_element_at(parameters, F.lit(k)) for k in dims.SIGNIFICANT]
+    return F.concat_ws(",", *[F.when(v.isNotNull(), F.concat(F.lit(f'["{k}",'), json_text(v), F.lit("]"))) for k, v in zip(dims.SIGNIFICANT, values)])
 
 
 def canonical_key(target: Column, kind: Column, name: Column, parameters: Column) -> Column:
-    """The key as compact JSON: target, kind, name, significant parameters."""
-    pairs = F.array_join(F.transform(significant(parameters), lambda p: F.concat(F.lit("["), json_text(p["k"]), F.lit(","), json_text(p["v"]), F.lit("]"))), ",")
-    return F.concat(F.lit("["), F.concat_ws(",", json_text(target), json_text(kind), json_text(name)), F.lit(",["), F.coalesce(pairs, F.lit("")), F.lit("]]"))
+    """The key as compact JSON: target, kind, name, and the significant parameters that aren't null, by name."""
+    return F.concat(F.lit("["), F.concat_ws(",", json_text(target), json_text(kind), json_text(name)), F.lit(",["), significant(parameters), F.lit("]]"))
 
 
 def bom_ref(target: Column, kind: Column, name: Column, parameters: Column) -> Column:

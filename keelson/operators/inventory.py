@@ -12,7 +12,8 @@ from keelson.operators import canonical
 def components(assets: DataFrame, include_low: bool = False) -> DataFrame:
     """run_id, bom_ref, type, name, properties of the assets above the confidence floor; the statuses are the family's own."""
     df = assets if include_low else assets.filter(F.col("confidence") >= dims.FLOOR)
-    fam = canonical.family(F.col("name"))
+    df = df.withColumn("__family", canonical.family(F.col("name")))  # a column of its own, or it is evaluated for each property
+    fam = F.col("__family")
     bag = {
         "confidence": F.format_string("%.4f", "confidence"), "collectors": F.col("collectors"), "surfaces": F.col("surfaces"), "corroborated": F.col("corroborated").cast("string"), "target": F.col("target_id"),
         "evidence-tiers": F.col("tiers"), "location.0": F.col("primary_location"), "family": fam, "quantum-status": dims.lookup(dims.of("quantum"), fam), "classical-status": dims.lookup(dims.of("classical"), fam),

@@ -53,14 +53,18 @@ def replacement() -> Column:
     return F.when(~safe & (canonical.squash(target) != canonical.squash(F.col("canonical_name"))), target)
 
 
-def queue(assessments: DataFrame) -> DataFrame:
-    """assessments with recommended, byte deltas by field, cost_bytes and targets, the reach of the name."""
+def queue(assessments: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """assessments with recommended, byte deltas by field, cost_bytes and targets, the reach of the name.
+
+    names: run_id, name, targets; as the assets' names and targets are those of their sightings, it can come from these, which saves
+    merging them twice.
+    """
     df = assessments.withColumn("recommended", replacement())
     now, then = canonical.squash(F.col("canonical_name")), canonical.squash(F.col("recommended"))
     deltas = {f"delta_{f}": dims.lookup(dims.size_table(i), then) - dims.lookup(dims.size_table(i), now) for i, f in enumerate(dims.SIZE_FIELDS)}
     df = df.withColumns(deltas)
     cost = sum((F.coalesce(F.greatest(F.lit(0), F.col(c)), F.lit(0)) for c in deltas), F.lit(0))
-    names = reach(assessments).withColumnsRenamed({"run_id": "r_run", "name": "r_name"})
+    names = (reach(assessments) if names is None else names).withColumnsRenamed({"run_id": "r_run", "name": "r_name"})
     df = df.withColumns({"cost_bytes": cost.cast("bigint"), "tier_order": dims.lookup(dims.RISK_ORDER, F.col("tier"))})
     return df.join(names, F.col("run_id").eqNullSafe(F.col("r_run")) & F.col("name").eqNullSafe(F.col("r_name")), "left").drop("r_run", "r_name").withColumn("targets", F.coalesce("targets", F.lit(1)))
 

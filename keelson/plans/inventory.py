@@ -22,7 +22,7 @@ def _assessed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _queue(spark: SparkSession, d: str) -> DataFrame:
-    return risk.queue(_assessed(spark, d))
+    return risk.queue(_assessed(spark, d), assets.reach(table(spark, d, "findings").filter("asset_kind <> 'library'")))
 
 
 QUEUE = [*KEYS, "target_id", "name", "tier", "tier_order", "targets", "recommended", "cost_bytes"]
