@@ -104,27 +104,28 @@ def _block(text: str, lines: list[tuple[int, int]], out: list) -> None:
         _put(text, *lines[0], out)
         return
     start, body = lines[0][0], lines[0][0]
-    listed, number = False, None
-    for i, (lo, hi) in enumerate(lines):
+    listed, number, fresh = False, None, True  # fresh: nothing but a heading stands before in the block
+    for lo, hi in lines:
         line = text[lo:hi]
         if c["heading"].match(line):
             if lo > start:
                 _unit(text, start, body, lo, out)
             _put(text, lo, hi, out)
             start = body = hi
-            listed, number = False, None
+            listed, number, fresh = False, None, True
             continue
         mark = c["bullet"].match(line) or c["number"].match(line) or c["letter"].match(line)
+        first, fresh = fresh, False
         if not mark:
             continue
         n = mark.groupdict().get("n")
         before = text[start:lo].rstrip()
         if n is None:
-            starts = i == 0 or listed or before.endswith((":", "："))
+            starts = first or listed or before.endswith((":", "："))
         elif n.isdigit():
-            starts = i == 0 or (number is not None and int(n) == number + 1) or (before.endswith((":", "：")) and int(n) <= 1)
+            starts = first or (number is not None and int(n) == number + 1) or (before.endswith((":", "：")) and int(n) <= 1)
         else:
-            starts = i == 0 or (number is not None and ord(n) == number + 1)
+            starts = first or (number is not None and ord(n) == number + 1)
         if starts:
             if lo > start:
                 _unit(text, start, body, lo, out)
