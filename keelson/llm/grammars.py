@@ -135,6 +135,7 @@ _ASSIGN = set("= += -= *= /= %= &= |= ^= <<= >>= and_eq or_eq xor_eq".split())
 
 class C(Reader):
     cpp = False
+    tag = "C."
 
     # -- types
 
@@ -771,8 +772,10 @@ class C(Reader):
 
     def block(self) -> None:
         self.need("{")
-        while not self.take("}"):
+        t = self.t
+        while t[self.i] != "}":
             self.statement()
+        self.i += 1
 
     def statement(self) -> None:
         t = self.t[self.i]
@@ -875,7 +878,7 @@ class C(Reader):
         start = self.i
         self.balanced()
         inner = self.t[start + 1 : self.i - 1]
-        remembered(f"{type(self).__name__}.{rule.__name__}", inner, lambda x: self.over(x, rule))
+        remembered(f"{self.tag}{rule.__name__} ", inner, lambda x: self.over(x, rule))
 
     def over(self, tokens: list[str], rule) -> None:
         own = type(self)(tokens)
@@ -885,7 +888,8 @@ class C(Reader):
     def checked(self, rule) -> None:
         """A statement up to its semicolon whose content follows rule."""
         tokens = self.simple()
-        remembered(f"{type(self).__name__}.{rule.__name__}", tokens, lambda x: self.over(x, rule))
+        if not _memo.get(f"{self.tag}{rule.__name__} {' '.join(tokens)}"):
+            remembered(f"{self.tag}{rule.__name__} ", tokens, lambda x: self.over(x, rule))
 
     def condition(self) -> None:
         self.head(type(self).condition_content)
@@ -1142,6 +1146,7 @@ class C(Reader):
 
 class Cpp(C):
     cpp = True
+    tag = "Cpp."
 
 
 _DIRECTIVE = re.compile(r"[ \t\f\v]*(?:#|%:)\s*([a-z_]*)\s*(.*)", re.DOTALL)
@@ -1155,19 +1160,18 @@ def preprocessed(lang: str, tokens: list[tuple[str, str]]) -> list[tuple[str, st
     run: list[tuple[str, str]] = []
 
     def flush() -> None:
-        out.extend(expand(run, macros) if macros else run)
+        out.extend(expand(run, macros) if macros and not macros.keys().isdisjoint([t for _, t in run]) else run)
         run.clear()
 
-    put = run.append
     live = True
-    for token in tokens:
-        kind, text = token
-        if kind != "d":
-            if live:
-                if kind == "x":
-                    raise Bad
-                put(token)
-            continue
+    at = 0
+    for here in [*[i for i, token in enumerate(tokens) if token[0] == "d"], len(tokens)]:
+        if live and here > at:
+            run += tokens[at:here]
+        if here == len(tokens):
+            break
+        at = here + 1
+        text = tokens[here][1]
         word, rest = _DIRECTIVE.match(re.sub(r"\\\r?\n", " ", text)).groups()
         if word in ("if", "ifdef", "ifndef"):
             value = False
@@ -1647,8 +1651,10 @@ class Java(Reader):
 
     def block(self) -> None:
         self.need("{")
-        while not self.take("}"):
+        t = self.t
+        while t[self.i] != "}":
             self.statement(True)
+        self.i += 1
 
     def parenthesised(self) -> None:
         start = self.i

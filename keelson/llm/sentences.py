@@ -452,6 +452,8 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", chunk: int
 
     schema = f"k {kind}, start_pos int, end_pos int"
     whole = rows.filter(F.length("t") <= chunk).withColumn("base", F.lit(0)).mapInPandas(cut, schema)
+    if rows.filter(F.length("t") > chunk).isEmpty():  # one scan, and no branch over nothing
+        return whole.select(F.col("k").alias(key), "start_pos", "end_pos")
     chunks = rows.filter(F.length("t") > chunk).select("k", "t", F.posexplode(F.sequence(F.lit(0), F.length("t") - 1, F.lit(chunk))).alias("part", "base"))
     # a line break of two characters stays in one chunk
     chunks = chunks.select("k", "part", F.expr(f"CASE WHEN base > 0 AND substring(t, base, 2) = '\\r\\n' THEN base + 1 ELSE base END").alias("base"), F.expr(f"CASE WHEN substring(t, base + {chunk}, 2) = '\\r\\n' THEN base + {chunk} + 1 ELSE base + {chunk} END").alias("stop"), "t")

@@ -67,6 +67,8 @@ def verdicts(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
             yield pd.DataFrame({"file_id": pdf["file_id"], "target_id": pdf["target_id"], "lang": pdf["lang"], "rejected": pd.Series(bad, dtype=bool, index=pdf.index)})
 
     small = rows.filter(~big).mapInPandas(whole, schema)
+    if rows.filter(big).isEmpty():  # one scan, and no branch over nothing
+        return small
     return small.unionByName(_in_chunks(rows.filter(big), chunk, schema, kinds["file_id"], whole))
 
 
