@@ -318,4 +318,8 @@ SELECT seq, p[1] AS algorithm, lower(nullif(p[2], '')) AS mode, CASE WHEN nullif
     "agg_surface_facet": f"WITH {_Q}, s AS (SELECT unnest(string_split(surfaces, ',')) AS surface FROM q) SELECT surface, count(*) AS assets FROM s WHERE surface <> '' GROUP BY ALL",
     "lim_errors100": "SELECT error_id, target_id, phase, reason FROM errors ORDER BY reported_at DESC, error_id LIMIT 100",
     "src_packages": "SELECT * FROM (VALUES ('image-1', 'openssl', '3.0.2-0ubuntu1'), ('image-1', 'libssl3', '3:1.2'), ('image-1', 'libcrypto3', '3.1.4-r1')) t(target_id, package, version)",
+    "det_suites": """SELECT * FROM (VALUES ('TLS_AES_256_GCM_SHA384', 0, 'AES-256-GCM'), ('TLS_AES_256_GCM_SHA384', 1, 'SHA-384'), ('TLS_AES_128_GCM_SHA256', 0, 'AES-128-GCM'), ('TLS_AES_128_GCM_SHA256', 1, 'SHA-256'),
+ ('ECDHE-RSA-AES256-GCM-SHA384', 0, 'ECDH'), ('ECDHE-RSA-AES256-GCM-SHA384', 1, 'AES-256-GCM'), ('ECDHE-RSA-AES256-GCM-SHA384', 2, 'SHA-384'), ('ECDHE-RSA-AES256-SHA384', 0, 'ECDH'), ('ECDHE-RSA-AES256-SHA384', 1, 'AES-256-CBC'),
+ ('DHE-RSA-AES128-SHA', 0, 'DH'), ('DHE-RSA-AES128-SHA', 1, 'AES-128-CBC'), ('DES-CBC3-SHA', 0, '3DES'), ('TLS_RSA_WITH_AES_128_CBC_SHA', 0, 'AES-128-CBC'), ('TLS_RSA_WITH_AES_128_CBC_SHA', 1, 'SHA-1'),
+ ('ECDHE-ECDSA-CHACHA20-POLY1305', 0, 'ECDH'), ('ECDHE-ECDSA-CHACHA20-POLY1305', 1, 'ChaCha20'), ('RC4-MD5', 0, 'RC4')) t(suite, place, algorithm)""",
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,22 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
     return spark
 
 
+_sent: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Give the session's workers this package, unless they find it by PYTHONPATH or by the folder they were started in."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if sc.applicationId in _sent or not root.is_dir() or Path.cwd() == root or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    path = Path(tempfile.mkdtemp(prefix="keelson-")) / "keelson.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "keelson").rglob("*.py")):
+            z.write(f, f.relative_to(root).as_posix())
+    sc.addPyFile(str(path))  # Spark serves it to the executors
+    _sent.add(sc.applicationId)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df with its lineage cut, kept in the session's reliable checkpoint folder.
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keelson.session import shipped
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
