@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.session import materialised
+
 #: The properties that a comparison of two inventories tracks.
 TRACKED = ("confidence", "surfaces", "collectors", "quantum-status", "classical-status", "corroborated")
 PREFIX = "qdarpan:"
@@ -60,7 +62,7 @@ def snapshot_changes(components: DataFrame, tracked: Sequence[str] = TRACKED) ->
     which no row has a plain reference is no snapshot.
     """
     names = [_column(t) for t in tracked]
-    rows = valid_rows(components, tracked)
+    rows = materialised(valid_rows(components, tracked))  # compared with itself four times
     numbers = rows.select("snapshot_no").distinct()
     compared = numbers.join(numbers.select((F.col("snapshot_no") + 1).alias("snapshot_no")), "snapshot_no", "left_semi")
     now = rows.join(compared, "snapshot_no", "left_semi")

@@ -282,6 +282,12 @@ _REF = "regexp_replace(lower(trim(bom_ref)), '^urn:cbom:', '')"
 _REFS = f"r AS (SELECT DISTINCT snapshot_no, {_REF} AS bom_ref FROM components WHERE regexp_full_match({_REF}, '[0-9a-f]{{16}}'))"
 _BAG = {"confidence": "printf('%.4f', confidence)", "collectors": "collectors", "surfaces": "surfaces", "corroborated": "corroborated::VARCHAR", "target": "target_id", "evidence-tiers": "tiers", "location.0": "primary_location", "family": "fam", "quantum-status": dims.sql_lookup(dims.of("quantum"), "fam"), "classical-status": dims.sql_lookup(dims.of("classical"), "fam")}
 _COMP = f"cc AS (SELECT *, CASE WHEN asset_kind = 'library' THEN 'library' ELSE 'cryptographic-asset' END AS type, {_family('name')} AS fam FROM m WHERE confidence >= {dims.FLOOR})"
+_BYTES = "content::VARCHAR"
+for _code in (0x0A, 0x0D, 0x09, 0x0C, 0x22, 0x27, 0x5C):  # bytes come as text with some of them as \\xHH
+    _BYTES = f"replace({_BYTES}, '\\x{_code:02X}', chr({_code}))"
+_SUFFIX = "lower(regexp_extract(path, '(\\.[A-Za-z]+)$', 1))"
+_SOURCE = f"s AS (SELECT file_id, target_id, path, {dims.sql_lookup(detection.SUFFIXES, _SUFFIX)} AS lang, {_BYTES} AS text FROM source_files WHERE {dims.sql_lookup(detection.SUFFIXES, _SUFFIX)} IS NOT NULL AND octet_length(content) <= {detection.SOURCE_CAP})"
+_RULES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in (lang, call, *rule)) + ")" for lang, rules in detection.CALLS.items() for call, rule in rules.items())
 _queue_cols = ", ".join(QUEUE)
 
 ORACLE = {
@@ -322,4 +328,9 @@ SELECT seq, p[1] AS algorithm, lower(nullif(p[2], '')) AS mode, CASE WHEN nullif
  ('ECDHE-RSA-AES256-GCM-SHA384', 0, 'ECDH'), ('ECDHE-RSA-AES256-GCM-SHA384', 1, 'AES-256-GCM'), ('ECDHE-RSA-AES256-GCM-SHA384', 2, 'SHA-384'), ('ECDHE-RSA-AES256-SHA384', 0, 'ECDH'), ('ECDHE-RSA-AES256-SHA384', 1, 'AES-256-CBC'),
  ('DHE-RSA-AES128-SHA', 0, 'DH'), ('DHE-RSA-AES128-SHA', 1, 'AES-128-CBC'), ('DES-CBC3-SHA', 0, '3DES'), ('TLS_RSA_WITH_AES_128_CBC_SHA', 0, 'AES-128-CBC'), ('TLS_RSA_WITH_AES_128_CBC_SHA', 1, 'SHA-1'),
  ('ECDHE-ECDSA-CHACHA20-POLY1305', 0, 'ECDH'), ('ECDHE-ECDSA-CHACHA20-POLY1305', 1, 'ChaCha20'), ('RC4-MD5', 0, 'RC4')) t(suite, place, algorithm)""",
+    "det_calls": f"""WITH {_SOURCE}, r AS (SELECT * FROM (VALUES {_RULES}) r(lang, call, algorithm, key_size, mode)),
+c AS (SELECT file_id, target_id, path, lang, unnest(regexp_extract_all(regexp_replace(text, $re${detection.NOISE}$re$, ' ', 'g'), $re${detection.CALL}$re$, 1)) AS call FROM s)
+SELECT file_id, target_id, path, c.call, algorithm, key_size, mode, count(*) AS hits FROM c JOIN r ON c.lang = r.lang AND c.call = r.call GROUP BY ALL""",
+    "det_includes": f"""WITH {_SOURCE}, l AS (SELECT file_id, unnest(regexp_extract_all(text, $re$(?m)^[ \t]*(?:#[ \t]*include|import)?[ \t]*(?:static )?([<"][^\n]*[>"]|[a-z][A-Za-z0-9_.]*[*]?;)[ \t\r]*$$re$, 1)) AS line FROM s)
+SELECT DISTINCT file_id, library FROM (SELECT file_id, CASE {" ".join(f"WHEN contains(line, '{n}') THEN '{lib}'" for n, lib in detection.INCLUDES.items())} END AS library FROM l) WHERE library IS NOT NULL""",
 }
