@@ -32,6 +32,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rejected(table(spark, d, "source_files"))
 
 
+def p4_flags(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.verdicts(table(spark, d, "source_files"))
+
+
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(table(spark, d, "source_files"))
 
@@ -52,7 +56,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_rates": p4_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_batches": p7_batches, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_flags": p4_flags, "p4_rates": p4_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_batches": p7_batches, "p8_found": p8_found}
 
 _STANDINS = "('', 'unknown', '<unknown>', 'n/a', 'null', 'nil', 'none', 'undefined', 'not available', '(not set)', '-', '--', '?', '?:?', ':0', 'tbd', 'todo')"
 _REAL = "(lower(trim({0}, ' ' || chr(9))) NOT IN " + _STANDINS + " AND {0} IS NOT NULL)"
