@@ -53,6 +53,8 @@ CURVES = {
 # Names that families are shown with; {p} is the parameter.
 TEMPLATES = {"SHA-2": "SHA-{p}", "SHA-3": "SHA3-{p}", "TLS": "TLS{p}", "X25519": "X25519", "HMAC": "HMAC", "PBKDF2": "PBKDF2", "HKDF": "HKDF", "RC4": "RC4", "DES": "DES", "3DES": "3DES", "MD5": "MD5", "SHA-1": "SHA-1", "ChaCha20": "ChaCha20", "Blowfish": "Blowfish"}
 MODE_BEARING = ("block-cipher", "stream-cipher", "ae")
+# Fixed value: the prefix that the data's property names have.
+PREFIX = "qdarpan:"
 # Parameters that enter an asset's identity.
 SIGNIFICANT = ("curve", "hash", "key_size", "mode", "padding", "version")
 # Evidence tiers from the strongest, with the confidence each gives.

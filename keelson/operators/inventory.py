@@ -18,7 +18,7 @@ def components(assets: DataFrame, include_low: bool = False) -> DataFrame:
         "confidence": F.format_string("%.4f", "confidence"), "collectors": F.col("collectors"), "surfaces": F.col("surfaces"), "corroborated": F.col("corroborated").cast("string"), "target": F.col("target_id"),
         "evidence-tiers": F.col("tiers"), "location.0": F.col("primary_location"), "family": fam, "quantum-status": dims.lookup(dims.of("quantum"), fam), "classical-status": dims.lookup(dims.of("classical"), fam),
     }
-    entries = F.filter(F.array(*[F.struct(F.lit(f"qdarpan:{k}").alias("name"), v.alias("value")) for k, v in bag.items()]), lambda p: p["value"].isNotNull())
+    entries = F.filter(F.array(*[F.struct(F.lit(dims.PREFIX + k).alias("name"), v.alias("value")) for k, v in bag.items()]), lambda p: p["value"].isNotNull())
     return df.select("run_id", F.col("asset_ref").alias("bom_ref"), F.when(F.col("asset_kind") == "library", "library").otherwise("cryptographic-asset").alias("type"), "name", entries.alias("properties"))
 
 

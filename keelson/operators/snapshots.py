@@ -11,11 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.functions.dims import PREFIX
 from keelson.session import materialised
 
 #: The properties that a comparison of two inventories tracks.
 TRACKED = ("confidence", "surfaces", "collectors", "quantum-status", "classical-status", "corroborated")
-PREFIX = "qdarpan:"
 
 
 def plain_ref(c: Column) -> Column:

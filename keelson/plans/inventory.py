@@ -309,7 +309,7 @@ ORACLE = {
     "lim_top40": f"WITH {_Q} SELECT {_queue_cols} FROM q {_ORDER} LIMIT 40",
     "agg_cost_summary": f"WITH {_Q} SELECT target_id, count(*) AS actionable, CAST(sum(cost_bytes) AS BIGINT) AS cost_bytes FROM q WHERE recommended IS NOT NULL GROUP BY target_id",
     "flt_confidence_floor": f"WITH {_M} SELECT run_id, asset_ref, confidence FROM m WHERE confidence >= {dims.FLOOR}",
-    "cbom_properties": f"WITH {_M}, {_COMP} " + " UNION ALL ".join(f"SELECT run_id, asset_ref AS bom_ref, type, name, 'qdarpan:{k}' AS property, {v} AS value FROM cc WHERE ({v}) IS NOT NULL" for k, v in _BAG.items()),
+    "cbom_properties": f"WITH {_M}, {_COMP} " + " UNION ALL ".join(f"SELECT run_id, asset_ref AS bom_ref, type, name, '{dims.PREFIX}{k}' AS property, {v} AS value FROM cc WHERE ({v}) IS NOT NULL" for k, v in _BAG.items()),
     "cbom_serial": f"""WITH {_M}, {_COMP}, bl AS (SELECT run_id, substr(asset_ref, 1, 3) AS block, sha256(array_to_string(list_sort(list(DISTINCT asset_ref)), '')) AS h FROM cc GROUP BY ALL), w AS (SELECT run_id, sha256(string_agg(h, '' ORDER BY block)) AS h FROM bl GROUP BY run_id)
 SELECT run_id, 'urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS serial FROM w""",
     "set_common": f"WITH {_REFS} SELECT snapshot_no, bom_ref FROM r INTERSECT SELECT snapshot_no + 1, bom_ref FROM r",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.functions import dims
 from keelson.operators import hotkeys, snapshots
 from keelson.plans import inventory
 from keelson.sources import table
@@ -43,7 +44,7 @@ QUERIES: dict[str, Query] = {"str_arrivals": str_arrivals, "p3_found": p3_found,
 _KEYED = """SELECT 'name' AS field, name AS key_value, run_id, bom_ref, observed_at FROM findings WHERE name IS NOT NULL
 UNION ALL SELECT 'target_id', target_id, run_id, bom_ref, observed_at FROM findings WHERE target_id IS NOT NULL"""
 
-_WORD = "nullif(lower(regexp_replace(p['qdarpan:{0}'], '^\\s+|\\s+$', '', 'g')), '')"
+_WORD = "nullif(lower(regexp_replace(p['" + dims.PREFIX + "{0}'], '^\\s+|\\s+$', '', 'g')), '')"
 _SET = "nullif(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(" + _WORD + ", '[,;|/\\s]+'), lambda x: x <> ''))), ','), '')"
 _SNAPSHOTS = f"""WITH r AS (SELECT snapshot_no, delivered_at, regexp_replace(lower(trim(bom_ref)), '^urn:cbom:', '') AS bom_ref, properties AS p FROM components),
 v AS (SELECT snapshot_no, bom_ref, delivered_at, coalesce(round(try_cast({_WORD.format("confidence")} AS DOUBLE), 9)::VARCHAR, {_WORD.format("confidence")}) AS confidence,

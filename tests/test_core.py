@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.operators import assets, canonical, detection, hotkeys, identity, inventory, risk, snapshots
+from keelson.functions.dims import PREFIX as P
 from keelson.plans import outputs
 from keelson.sources import binaries, journal
 from keelson.streaming import confidence
@@ -89,8 +90,8 @@ def test_hot_keys(spark):
 def test_snapshots(spark):
     day = datetime(2026, 1, 1)
     rows = [
-        (1, day, "aaaaaaaaaaaaaaaa", {"qdarpan:confidence": "0.9", "qdarpan:surfaces": "tls,elf"}), (1, day, "bbbbbbbbbbbbbbbb", None), (1, day, "cccccccccccccccc", {"qdarpan:quantum-status": "safe"}),
-        (2, day, " AAAAAAAAAAAAAAAA", {"qdarpan:confidence": "9.0e-1", "qdarpan:surfaces": "elf; tls", "qdarpan:location": "x"}), (2, day, "urn:cbom:cccccccccccccccc", {"qdarpan:quantum-status": "safe"}),
+        (1, day, "aaaaaaaaaaaaaaaa", {P + "confidence": "0.9", P + "surfaces": "tls,elf"}), (1, day, "bbbbbbbbbbbbbbbb", None), (1, day, "cccccccccccccccc", {P + "quantum-status": "safe"}),
+        (2, day, " AAAAAAAAAAAAAAAA", {P + "confidence": "9.0e-1", P + "surfaces": "elf; tls", P + "location": "x"}), (2, day, "urn:cbom:cccccccccccccccc", {P + "quantum-status": "safe"}),
         (2, datetime(2026, 2, 1), "cccccccccccccccc", {}), (2, day, "dddddddddddddddd", {}), (2, day, None, {}), (2, day, "short", {}), (4, day, "eeeeeeeeeeeeeeee", {}),
     ]
     df = spark.createDataFrame([(*r, "clash") for r in rows * 2], "snapshot_no int, delivered_at timestamp, bom_ref string, properties map<string,string>, confidence string")
@@ -170,7 +171,7 @@ def test_outputs(spark, tmp_path):
     assert (tmp_path / "b1.json").read_bytes() == (tmp_path / "b2.json").read_bytes()
     doc = json.loads((tmp_path / "b1.json").read_text())
     assert doc["specVersion"] == "1.7" and [c["name"] for c in doc["components"]] == ["AES"]
-    assert outputs.load_components(spark, str(tmp_path / "b1.json")).first()["properties"]["qdarpan:quantum-status"] == "weakened"
+    assert outputs.load_components(spark, str(tmp_path / "b1.json")).first()["properties"][P + "quantum-status"] == "weakened"
     errors = spark.createDataFrame([(1, "t", "parse", "bad", None)], "error_id long, target_id string, phase string, reason string, reported_at timestamp")
     outputs.report(risk.queue(risk.assessed(a)), errors, str(tmp_path / "r.md"))
     assert "| 1 |" in (tmp_path / "r.md").read_text()
