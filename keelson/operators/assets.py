@@ -27,14 +27,14 @@ def noisy_or(counts: dict[str, Column]) -> Column:
 
 
 def confidence(rows: DataFrame) -> DataFrame:
-    """run_id, asset_ref, confidence, n_evidence, tiers, of keyed rows. The same tier, matcher and snippet is one witness, unknown tiers are none.
+    """run_id, asset_ref, confidence, n_evidence, tiers, matchers, of keyed rows. The same tier, matcher and snippet is one witness, unknown tiers are none.
 
-    Witnesses are made distinct by a shuffle on all they consist of; what is gathered for an asset is one number for each tier.
+    Witnesses are made distinct by a shuffle on all they consist of; what is gathered for an asset is one number for each tier, and its rules' names.
     """
     seen = rows.select(*KEYS, F.explode("evidence").alias("e")).filter(F.col("e.tier").isin(*dims.TIERS)).select(*KEYS, "e.tier", "e.matcher_id", "e.snippet").distinct()
-    counts = seen.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_evidence"), *[F.count_if(F.col("tier") == t).alias(t) for t in dims.TIERS])
+    counts = seen.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_evidence"), *[F.count_if(F.col("tier") == t).alias(t) for t in dims.TIERS], F.array_join(F.array_sort(F.collect_set("matcher_id")), ",").alias("matchers"))
     tiers = F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(F.col(t) > 0, t) for t in dims.TIERS]))), ",")
-    return counts.select(*KEYS, noisy_or({t: F.col(t) for t in dims.TIERS}).alias("confidence"), "n_evidence", tiers.alias("tiers"))
+    return counts.select(*KEYS, noisy_or({t: F.col(t) for t in dims.TIERS}).alias("confidence"), "n_evidence", tiers.alias("tiers"), "matchers")
 
 
 def merged_parameters(rows: DataFrame) -> DataFrame:
@@ -47,7 +47,8 @@ def merged_parameters(rows: DataFrame) -> DataFrame:
 def merged(findings: DataFrame) -> DataFrame:
     """One row for each asset of a run. Ties go to the lowest seq; the result doesn't depend on the order of the rows.
 
-    Nulls in target, kind or name are values of their own; an asset without evidence has confidence 0.
+    Nulls in target, kind or name are values of their own; an asset without evidence has confidence 0. locations has every distinct
+    location in words, by surface and words; n_locations counts those that differ in surface or words.
     """
     rows = keyed(findings)
     place = identity.describe(F.col("location"))
@@ -60,12 +61,15 @@ def merged(findings: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("functions")))), ",").alias("functions"),
         first("library").alias("library"), first("oid").alias("oid"), F.max("observed_at").alias("last_observed"),
     )
-    spots = rows.filter("location IS NOT NULL").select(*KEYS, "location.surface", place.alias("place")).distinct().groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_locations"))
+    alike = rows.filter("location IS NOT NULL").select(*KEYS, "location", "location.surface", place.alias("place")).groupBy(*KEYS, "surface", "place").agg(F.count_distinct("location").cast("int").alias("n"))
+    every = F.array_sort(F.collect_list(F.struct(F.coalesce("surface", F.lit("")).alias("surface"), "place", "n")))
+    spots = alike.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_locations"), F.flatten(F.transform(every, lambda s: F.array_repeat(s["place"], s["n"]))).alias("locations"))
     out = base.join(confidence(rows), KEYS, "left").join(spots, KEYS, "left").join(merged_parameters(rows), KEYS, "left")
     return out.select(
         *KEYS, "p.target_id", "p.asset_kind", "p.name", "p.primitive", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "sightings", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"),
         F.coalesce("n_locations", F.lit(0)).alias("n_locations"), F.coalesce("tiers", F.lit("")).alias("tiers"), "surfaces", "collectors", "functions", "library", "oid", F.col("p.place").alias("primary_location"),
         F.contains("surfaces", F.lit(",")).alias("corroborated"), "last_observed", F.coalesce("parameters", F.create_map().cast("map<string,string>")).alias("parameters"),
+        F.coalesce("locations", F.array().cast("array<string>")).alias("locations"), F.coalesce("matchers", F.lit("")).alias("matchers"),
     )
 
 

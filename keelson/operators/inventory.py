@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions import dims
 from keelson.operators import canonical
 
 
-def components(assets: DataFrame, include_low: bool = False) -> DataFrame:
-    """run_id, bom_ref, type, name, properties of the assets above the confidence floor; the statuses are the family's own."""
+def components(assets: DataFrame, include_low: bool = False, brief: bool = False) -> DataFrame:
+    """run_id, bom_ref, type, name, description, properties of the assets above the confidence floor; the statuses are the family's own.
+
+    The description is the primary location; the properties have every location by its number, and every matcher. If brief, they have
+    the primary location only, as location.0, and no matchers: what the SQL of cbom_properties has.
+    """
     df = assets if include_low else assets.filter(F.col("confidence") >= dims.FLOOR)
     df = df.withColumn("__family", canonical.family(F.col("name")))  # a column of its own, or it is evaluated for each property
     fam = F.col("__family")
-    bag = {
-        "confidence": F.format_string("%.4f", "confidence"), "collectors": F.col("collectors"), "surfaces": F.col("surfaces"), "corroborated": F.col("corroborated").cast("string"), "target": F.col("target_id"),
-        "evidence-tiers": F.col("tiers"), "location.0": F.col("primary_location"), "family": fam, "quantum-status": dims.lookup(dims.of("quantum"), fam), "classical-status": dims.lookup(dims.of("classical"), fam),
-    }
-    entries = F.filter(F.array(*[F.struct(F.lit(dims.PREFIX + k).alias("name"), v.alias("value")) for k, v in bag.items()]), lambda p: p["value"].isNotNull())
-    return df.select("run_id", F.col("asset_ref").alias("bom_ref"), F.when(F.col("asset_kind") == "library", "library").otherwise("cryptographic-asset").alias("type"), "name", entries.alias("properties"))
+    entry = lambda k, v: F.struct((F.concat(F.lit(dims.PREFIX), k) if isinstance(k, Column) else F.lit(dims.PREFIX + k)).alias("name"), v.alias("value"))
+    head = {"confidence": F.format_string("%.4f", "confidence"), "collectors": F.col("collectors"), "surfaces": F.col("surfaces"), "corroborated": F.col("corroborated").cast("string"), "target": F.col("target_id"), "evidence-tiers": F.col("tiers")}
+    tail = {"family": fam, "quantum-status": dims.lookup(dims.of("quantum"), fam), "classical-status": dims.lookup(dims.of("classical"), fam)}
+    if brief:
+        bag = F.array(*[entry(k, v) for k, v in {**head, "location.0": F.col("primary_location"), **tail}.items()])
+    else:
+        places = F.transform("locations", lambda x, i: entry(F.concat(F.lit("location."), i.cast("string")), x))
+        bag = F.concat(F.array(*[entry(k, v) for k, v in {**head, "matchers": F.col("matchers")}.items()]), places, F.array(*[entry(k, v) for k, v in tail.items()]))
+    entries = F.filter(bag, lambda p: p["value"].isNotNull())
+    kind = F.when(F.col("asset_kind") == "library", "library").otherwise("cryptographic-asset")
+    return df.select("run_id", F.col("asset_ref").alias("bom_ref"), kind.alias("type"), "name", F.col("primary_location").alias("description"), entries.alias("properties"))
 
 
 def serial(comps: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def fn_canonicalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_noisy_or(spark: SparkSession, d: str) -> DataFrame:
-    return assets.confidence(assets.keyed(table(spark, d, "findings")))
+    return assets.confidence(assets.keyed(table(spark, d, "findings"))).drop("matchers")
 
 
 def agg_parameters(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def agg_parameters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_merge(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(spark, d).drop("parameters")
+    return _merged(spark, d).drop("parameters", "locations", "matchers")
 
 
 def agg_blast_radius(spark: SparkSession, d: str) -> DataFrame:
@@ -112,9 +112,16 @@ def flt_confidence_floor(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d).filter(F.col("confidence") >= dims.FLOOR).select(*KEYS, "confidence")
 
 
+def _bags(components: DataFrame) -> DataFrame:
+    return components.select("run_id", "bom_ref", "type", "name", F.explode("properties").alias("p")).select("run_id", "bom_ref", "type", "name", F.col("p.name").alias("property"), F.col("p.value").alias("value"))
+
+
 def cbom_properties(spark: SparkSession, d: str) -> DataFrame:
-    c = inventory.components(_merged(spark, d))
-    return c.select("run_id", "bom_ref", "type", "name", F.explode("properties").alias("p")).select("run_id", "bom_ref", "type", "name", F.col("p.name").alias("property"), F.col("p.value").alias("value"))
+    return _bags(inventory.components(_merged(spark, d), brief=True))
+
+
+def cbom_bag(spark: SparkSession, d: str) -> DataFrame:
+    return _bags(inventory.components(_merged(spark, d)))
 
 
 def cbom_serial(spark: SparkSession, d: str) -> DataFrame:
@@ -282,6 +289,8 @@ _REF = "regexp_replace(lower(trim(bom_ref)), '^urn:cbom:', '')"
 _REFS = f"r AS (SELECT DISTINCT snapshot_no, {_REF} AS bom_ref FROM components WHERE regexp_full_match({_REF}, '[0-9a-f]{{16}}'))"
 _BAG = {"confidence": "printf('%.4f', confidence)", "collectors": "collectors", "surfaces": "surfaces", "corroborated": "corroborated::VARCHAR", "target": "target_id", "evidence-tiers": "tiers", "location.0": "primary_location", "family": "fam", "quantum-status": dims.sql_lookup(dims.of("quantum"), "fam"), "classical-status": dims.sql_lookup(dims.of("classical"), "fam")}
 _COMP = f"cc AS (SELECT *, CASE WHEN asset_kind = 'library' THEN 'library' ELSE 'cryptographic-asset' END AS type, {_family('name')} AS fam FROM m WHERE confidence >= {dims.FLOOR})"
+_WHOLE = """mt AS (SELECT run_id, asset_ref, array_to_string(list_sort(list(DISTINCT matcher_id) FILTER (WHERE matcher_id IS NOT NULL)), ',') AS matchers FROM e GROUP BY ALL),
+l AS (SELECT run_id, asset_ref, place, row_number() OVER (PARTITION BY run_id, asset_ref ORDER BY surface, place) - 1 AS n FROM (SELECT DISTINCT run_id, asset_ref, location, coalesce(location.surface, '') AS surface, place FROM k WHERE location IS NOT NULL))"""
 _BYTES = "content::VARCHAR"
 for _code in (0x0A, 0x0D, 0x09, 0x0C, 0x22, 0x27, 0x5C):  # bytes come as text with some of them as \\xHH
     _BYTES = f"replace({_BYTES}, '\\x{_code:02X}', chr({_code}))"
@@ -310,6 +319,9 @@ ORACLE = {
     "agg_cost_summary": f"WITH {_Q} SELECT target_id, count(*) AS actionable, CAST(sum(cost_bytes) AS BIGINT) AS cost_bytes FROM q WHERE recommended IS NOT NULL GROUP BY target_id",
     "flt_confidence_floor": f"WITH {_M} SELECT run_id, asset_ref, confidence FROM m WHERE confidence >= {dims.FLOOR}",
     "cbom_properties": f"WITH {_M}, {_COMP} " + " UNION ALL ".join(f"SELECT run_id, asset_ref AS bom_ref, type, name, '{dims.PREFIX}{k}' AS property, {v} AS value FROM cc WHERE ({v}) IS NOT NULL" for k, v in _BAG.items()),
+    "cbom_bag": f"WITH {_M}, {_COMP}, {_WHOLE} " + " UNION ALL ".join(f"SELECT run_id, asset_ref AS bom_ref, type, name, '{dims.PREFIX}{k}' AS property, {v} AS value FROM cc WHERE ({v}) IS NOT NULL" for k, v in _BAG.items() if k != "location.0")
+    + f""" UNION ALL SELECT run_id, asset_ref, type, name, '{dims.PREFIX}matchers', coalesce(matchers, '') FROM cc LEFT JOIN mt USING (run_id, asset_ref)
+ UNION ALL SELECT run_id, asset_ref, type, name, '{dims.PREFIX}location.' || n, place FROM cc JOIN l USING (run_id, asset_ref)""",
     "cbom_serial": f"""WITH {_M}, {_COMP}, bl AS (SELECT run_id, substr(asset_ref, 1, 3) AS block, sha256(array_to_string(list_sort(list(DISTINCT asset_ref)), '')) AS h FROM cc GROUP BY ALL), w AS (SELECT run_id, sha256(string_agg(h, '' ORDER BY block)) AS h FROM bl GROUP BY run_id)
 SELECT run_id, 'urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS serial FROM w""",
     "set_common": f"WITH {_REFS} SELECT snapshot_no, bom_ref FROM r INTERSECT SELECT snapshot_no + 1, bom_ref FROM r",

@@ -25,7 +25,7 @@ def bill_of_materials(assets: DataFrame, run_id: str, path: str, include_low: bo
     comps = inventory.components(assets.filter(F.col("run_id") == run_id), include_low)
     serials = inventory.serial(comps).limit(1).collect()
     head = {"$schema": "http://cyclonedx.org/schema/bom-1.7.schema.json", "bomFormat": "CycloneDX", "specVersion": "1.7", "serialNumber": serials[0]["serial"] if serials else None, "version": 1, "metadata": {"timestamp": "1970-01-01T00:00:00Z"}}
-    row = comps.orderBy("bom_ref").select(F.to_json(F.struct(F.col("bom_ref").alias("bom-ref"), "type", "name", "properties"))).toLocalIterator()
+    row = comps.orderBy("bom_ref").select(F.to_json(F.struct(F.col("bom_ref").alias("bom-ref"), "type", "name", "description", "properties"))).toLocalIterator()
     with open(path, "w", encoding="utf-8", newline="\n") as out:
         out.write(json.dumps(head)[:-1] + ', "components": [')
         for i, r in enumerate(row):

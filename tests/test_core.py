@@ -179,6 +179,34 @@ def test_outputs(spark, tmp_path):
     assert inventory.components(a, include_low=True).count() == 3
 
 
+def test_bill_has_every_location_and_matcher(spark, tmp_path):
+    at = lambda *x: ("source", *x, None, None)
+    rows = [sighting(1, "string_literal", "z", location=at("b.c", 1, None)), sighting(2, "direct_api_call", "m", location=at("c.c", 1, None)), sighting(3, "nonsense", "x", location=("elf", "z", None, 16, None, None)), sighting(4, location=at("b.c", 1, None))]
+    rows += [sighting(5, location=at("b.c", 1, 7)), sighting(6, location=None)]  # 5 differs from 1 in its offset only
+    outputs.bill_of_materials(assets.merged(frame(spark, rows)), "r", str(tmp_path / "b.json"))
+    (c,) = json.loads((tmp_path / "b.json").read_text())["components"]
+    p = {x["name"].removeprefix(P): x["value"] for x in c["properties"]}
+    assert {k: v for k, v in p.items() if k.startswith("location")} == {"location.0": "z@0x10", "location.1": "b.c:1", "location.2": "b.c:1", "location.3": "c.c:1"}
+    assert p["matchers"] == "m,z" and c["description"] == "<unknown>" and len(p) == len(c["properties"])
+
+
+def test_whole_bags_equal_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from pathlib import Path
+
+    from keelson.plans import registry
+
+    d = Path("/root/testdata/sf0.001")
+    if not d.exists():
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW findings AS SELECT * FROM read_parquet('{d}/findings.parquet')")
+    want = con.execute(registry.ORACLE["cbom_bag"])
+    cols = [c[0] for c in want.description]
+    got = [tuple(r) for r in registry.QUERIES["cbom_bag"](spark, str(d)).select(*cols).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want.fetchall())) and any(r[4].endswith("location.1") for r in got)
+
+
 def test_queries_equal_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from pathlib import Path
