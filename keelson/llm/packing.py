@@ -173,6 +173,19 @@ def containers(documents: DataFrame, capacities: DataFrame, folder: str = FOLDER
     return out
 
 
+def ranked(parts: DataFrame, along: DataFrame | None = None) -> DataFrame:
+    """parts with rank, from 0 among the items of a kind and length. along has further columns for each container_kind and length."""
+    by = ["container_kind", "length", "h"]
+    spread = parts.withColumn("h", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(PARTS)))
+    counts = spread.groupBy(*by).count()
+    offsets = counts.withColumn("offset", F.sum("count").over(Window.partitionBy("container_kind", "length").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
+    if along is not None:
+        offsets = offsets.join(along, ["container_kind", "length"])
+    own = spread.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "part_no")) - 1).join(offsets, by)
+    more = [c for c in along.columns if c not in by] if along is not None else []
+    return own.select("container_kind", "doc_id", "part_no", "start_token", "length", (F.col("r") + F.coalesce("offset", F.lit(0))).alias("rank"), *more)
+
+
 def place(parts: DataFrame, plans: dict[str, list[tuple[dict[int, int], int]]]) -> DataFrame:
     """The items of parts in the containers that plans have for their lengths."""
     tables: dict[str, dict[int, tuple]] = {}
@@ -189,12 +202,7 @@ def place(parts: DataFrame, plans: dict[str, list[tuple[dict[int, int], int]]])
             base += times
         totals[kind] = base
         tables[kind] = {s: tuple(np.array(x, np.int64) for x in own) for s, own in slots.items()}
-    by = ["container_kind", "length", "h"]
-    spread = parts.withColumn("h", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(PARTS)))
-    counts = spread.groupBy(*by).count()
-    offsets = counts.withColumn("offset", F.sum("count").over(Window.partitionBy("container_kind", "length").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
-    ranked = spread.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "part_no")) - 1).join(offsets, by)
-    ranked = ranked.select("container_kind", "doc_id", "part_no", "start_token", "length", (F.col("r") + F.coalesce("offset", F.lit(0))).alias("rank"))
+    placed = ranked(parts)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -209,13 +217,14 @@ def place(parts: DataFrame, plans: dict[str, list[tuple[dict[int, int], int]]])
                 ids[at] = base[j] + (rank[at] - begins[j]) // each[j]
             yield pd.DataFrame({"container_kind": pdf["container_kind"], "container_id": ids, "doc_id": pdf["doc_id"], "part_no": pdf["part_no"], "start_token": pdf["start_token"], "end_token": pdf["start_token"] + pdf["length"]})
 
-    return ranked.mapInPandas(assign, "container_kind string, container_id bigint, doc_id bigint, part_no int, start_token int, end_token int")
+    return placed.mapInPandas(assign, "container_kind string, container_id bigint, doc_id bigint, part_no int, start_token int, end_token int")
 
 
-def batches(documents: DataFrame, capacities: DataFrame, buckets: int = 16, folder: str = FOLDER) -> DataFrame:
-    """container_kind, bucket_no, bound, items, batches, tokens, padding: token-budget batches inside optimal length buckets.
+def batched(documents: DataFrame, capacities: DataFrame, buckets: int = 16, folder: str = FOLDER) -> DataFrame:
+    """container_kind, bucket_no, bound, batch_no, doc_id, part_no, start_token, end_token: token-budget batches inside optimal length buckets.
 
-    A batch holds as many items of its bucket, padded to the bucket's bound, as the capacity takes. Empty texts are in no batch.
+    A batch holds as many items of its bucket, padded to the bucket's bound, as the capacity takes, by length; batches of a bucket are
+    numbered from 0 without gaps, and only the last one isn't full. Empty texts are in no batch.
     """
     out = None
     for tokenizer, kinds in _kinds(capacities).items():
@@ -224,12 +233,23 @@ def batches(documents: DataFrame, capacities: DataFrame, buckets: int = 16, fold
         for kind, h in _histograms(parts).items():
             lengths = np.array(sorted(h))
             bounds = bucket_bounds(lengths, np.array([h[s] for s in lengths.tolist()]), buckets)
-            rows += [(kind, i, b, dict(kinds)[kind] // b, lo) for i, (b, lo) in enumerate(zip(bounds, [0, *bounds]))]
-        spark = documents.sparkSession
-        table = spark.createDataFrame(rows, "container_kind string, bucket_no int, bound int, fit int, above int")
-        got = parts.groupBy("container_kind", "length").agg(F.count(F.lit(1)).alias("c")).join(table, "container_kind").filter("length > above AND length <= bound")
-        got = got.groupBy("container_kind", "bucket_no", "bound").agg(F.sum("c").alias("items"), F.expr("CAST(ceil(sum(c) / max(fit)) AS BIGINT)").alias("batches"), F.sum(F.col("c") * F.col("length")).alias("tokens"), F.sum(F.col("c") * (F.col("bound") - F.col("length"))).alias("padding"))
+            last, before = -1, 0
+            for s in lengths.tolist():
+                i = int(np.searchsorted(bounds, s))
+                last, before = i, before if i == last else 0
+                rows.append((kind, s, i, bounds[i], dict(kinds)[kind] // bounds[i], before))
+                before += h[s]
+        table = documents.sparkSession.createDataFrame(rows, "container_kind string, length int, bucket_no int, bound int, fit int, before bigint")
+        got = ranked(parts, table).select("container_kind", "bucket_no", "bound", F.expr("(before + rank) DIV fit").alias("batch_no"), "doc_id", "part_no", "start_token", (F.col("start_token") + F.col("length")).alias("end_token"))
         out = got if out is None else out.unionByName(got)
     if out is None:
         raise ValueError("there is no container kind")
     return out
+
+
+def batches(documents: DataFrame, capacities: DataFrame, buckets: int = 16, folder: str = FOLDER) -> DataFrame:
+    """container_kind, bucket_no, bound, items, batches, tokens, padding: what batched formed, by bucket."""
+    length = F.col("end_token") - F.col("start_token")
+    by = ["container_kind", "bucket_no", "bound"]
+    each = batched(documents, capacities, buckets, folder).groupBy(*by, "batch_no").agg(F.count(F.lit(1)).alias("items"), F.sum(length).alias("tokens"), F.sum(F.col("bound") - length).alias("padding"))
+    return each.groupBy(*by).agg(F.sum("items").alias("items"), F.count(F.lit(1)).alias("batches"), F.sum("tokens").alias("tokens"), F.sum("padding").alias("padding"))

@@ -52,11 +52,15 @@ def p7_batches(spark: SparkSession, d: str) -> DataFrame:
     return packing.batches(table(spark, d, "documents"), table(spark, d, "capacities"))
 
 
+def p7_batch_items(spark: SparkSession, d: str) -> DataFrame:
+    return packing.batched(table(spark, d, "documents"), table(spark, d, "capacities"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_flags": p4_flags, "p4_rates": p4_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_batches": p7_batches, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_flags": p4_flags, "p4_rates": p4_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_batches": p7_batches, "p7_batch_items": p7_batch_items, "p8_found": p8_found}
 
 _STANDINS = "('', 'unknown', '<unknown>', 'n/a', 'null', 'nil', 'none', 'undefined', 'not available', '(not set)', '-', '--', '?', '?:?', ':0', 'tbd', 'todo')"
 _REAL = "(lower(trim({0}, ' ' || chr(9))) NOT IN " + _STANDINS + " AND {0} IS NOT NULL)"

@@ -227,6 +227,29 @@ def test_containers(spark):
     assert b[b.container_kind == "big"]["items"].sum() == sum(-(-s // 300) for s in sizes)
 
 
+def test_batches_hold_every_item_once(spark):
+    rng = random.Random(3)
+    texts = [None, "", *["w " * rng.randint(1, 60) for _ in range(200)], "w " * 500] + ["same text"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    caps = spark.createDataFrame([("small", "byte_bpe_50k", 64), ("big", "byte_bpe_50k", 300)], "container_kind string, tokenizer string, capacity int")
+    sizes = [len(x) for x in tokens.encoder("byte_bpe_50k")([t or "" for t in texts])]
+    got = packing.batched(docs, caps, buckets=4).toPandas()
+    got["length"] = got.end_token - got.start_token
+    sums = packing.batches(docs, caps, buckets=4).toPandas().set_index(["container_kind", "bucket_no"])
+    for kind, cap in (("small", 64), ("big", 300)):
+        g = got[got.container_kind == kind]
+        want = sorted((d, p, p * cap, min(n, (p + 1) * cap)) for d, n in enumerate(sizes) for p in range(-(-n // cap)))
+        assert sorted(zip(g.doc_id, g.part_no, g.start_token, g.end_token)) == want
+        bounds = packing.bucket_bounds(*np.unique(g.length, return_counts=True), 4)
+        assert [bounds[i] for i in g.bucket_no] == list(g.bound) and all(np.searchsorted(bounds, g.length) == g.bucket_no)
+        for (i, bound), own in g.groupby(["bucket_no", "bound"]):
+            n = own.batch_no.value_counts().sort_index()
+            fit = cap // bound
+            assert list(n.index) == list(range(len(n))) and all(n[:-1] == fit) and 0 < n.iloc[-1] <= fit
+            s = sums.loc[(kind, i)]
+            assert (s["items"], s.batches, s.tokens, s.padding) == (len(own), len(n), own.length.sum(), (bound - own.length).sum())
+
+
 TEXTS = {
     'He left at 9 p.m. She stayed, e.g. with Dr. Moe. Why? "We will." That was it.': ["He left at 9 p.m.", "She stayed, e.g. with Dr. Moe.", "Why?", '"We will."', "That was it."],
     "Both name libssl.so.2. openssl 3.2 does not. Wait... what? (See Tab. 3.) Done: 1.) AES 2.) DES. Ok": ["Both name libssl.so.2.", "openssl 3.2 does not.", "Wait... what?", "(See Tab. 3.)", "Done: 1.) AES 2.) DES.", "Ok"],
