@@ -1251,12 +1251,18 @@ def truth(lang: str, text: str, macros: dict) -> bool:
         raise Bad from None
 
 
-def expand(tokens: list[tuple[str, str]], macros: dict, hidden: frozenset = frozenset(), depth: int = 0) -> list[tuple[str, str]]:
-    if depth > 40:
-        return tokens
+def expand(tokens: list[tuple[str, str]], macros: dict) -> list[tuple[str, str]]:
+    """tokens with macros replaced. What a macro gives is read with its name hidden, so there are at most as many levels as macros."""
     out: list[tuple[str, str]] = []
+    hidden: frozenset = frozenset()
     i, n = 0, len(tokens)
-    while i < n:
+    above = []  # what is left of the tokens around
+    while True:
+        if i >= n:
+            if not above:
+                return out
+            tokens, i, n, hidden = above.pop()
+            continue
         kind, t = tokens[i]
         own = macros.get(t) if kind == "i" and t not in hidden else None
         i += 1
@@ -1265,7 +1271,9 @@ def expand(tokens: list[tuple[str, str]], macros: dict, hidden: frozenset = froz
             continue
         names, body = own
         if names is None:
-            out.extend(expand(_pasted(body), macros, hidden | {t}, depth + 1))
+            above.append((tokens, i, n, hidden))
+            tokens, i, hidden = _pasted(body), 0, hidden | {t}
+            n = len(tokens)
             continue
         if i >= n or tokens[i][1] != "(" or tokens[i][0] != "o":
             out.append((kind, t))
@@ -1311,8 +1319,9 @@ def expand(tokens: list[tuple[str, str]], macros: dict, hidden: frozenset = froz
             else:
                 filled.append((k, x))
             j += 1
-        out.extend(expand(_pasted(filled), macros, hidden | {t}, depth + 1))
-    return out
+        above.append((tokens, i, n, hidden))
+        tokens, i, hidden = _pasted(filled), 0, hidden | {t}
+        n = len(tokens)
 
 
 def _pasted(tokens: list[tuple[str, str]]) -> list[tuple[str, str]]:

@@ -173,6 +173,19 @@ def test_files(spark):
     assert syntax.verdicts(df.limit(0)).count() == 0
 
 
+def test_macros_expand_to_any_level():
+    family = ["#define E_1(f, x) f(x)", *[f"#define E_{i}(f, x, ...) f(x) E_{i - 1}(f, __VA_ARGS__)" for i in range(2, 65)]]
+    call = f"E_64(D, {', '.join(f'a{i}' for i in range(64))})"
+    text = "\n".join([*family, "#define D(x) int x;", call, ""])
+    left = grammars.preprocessed("c", lexers.lex("c", text)[0])
+    assert [t for _, t in left if t != ";"] == [x for i in range(64) for x in ("int", f"a{i}")]
+    assert grammars.accepts("c", text.encode())
+    chain = "\n".join(["#define M0 int x;", *[f"#define M{i} M{i - 1}" for i in range(1, 3000)], "M2999", ""])
+    assert [t for _, t in grammars.preprocessed("c", lexers.lex("c", chain)[0])] == ["int", "x", ";"]
+    loop = "#define A B A\n#define B A B\nint A;\n"
+    assert [t for _, t in grammars.preprocessed("c", lexers.lex("c", loop)[0])] == ["int", "A", "B", "A", ";"]
+
+
 def test_chunk_maps_are_associative():
     text = 'a ] { /* x\n } */ ( "}" \n """\n ) } \n""" ) { [\n'
     lines = text.splitlines(keepends=True)
