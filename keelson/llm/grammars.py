@@ -8,9 +8,12 @@ c. Types, scopes and what a file includes are not looked at. Names that may be t
 from __future__ import annotations
 
 import ast
+import contextlib
 import json
 import re
+import sys
 import warnings
+from collections.abc import Iterator
 
 from keelson.llm.lexers import lex
 
@@ -1247,7 +1250,7 @@ def truth(lang: str, text: str, macros: dict) -> bool:
         if any(not isinstance(x, (ast.Expression, ast.BoolOp, ast.UnaryOp, ast.BinOp, ast.Compare, ast.Constant, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)) for x in ast.walk(tree)):
             raise Bad
         return bool(eval(compile(tree, "", "eval"), {}))  # only numbers and operators
-    except (SyntaxError, ZeroDivisionError, ValueError, OverflowError, MemoryError):
+    except (SyntaxError, ZeroDivisionError, ValueError, OverflowError, MemoryError, RecursionError):
         raise Bad from None
 
 
@@ -2788,17 +2791,36 @@ def accepts_tokens(lang: str, tokens: list[tuple[str, str]], state: str = "code"
     if state != "code":
         return False
     try:
-        if lang == "java":
-            _java(tokens)
-        elif lang == "go":
-            _go(tokens)
-        else:
-            _c_family(lang, tokens)
-    except (Bad, IndexError, RecursionError):
+        try:
+            _file(lang, tokens)
+        except RecursionError:
+            with _deeper(len(tokens)):
+                _file(lang, tokens)
+    except (Bad, IndexError):
         return False
     return True
 
 
+def _file(lang: str, tokens: list[tuple[str, str]]) -> None:
+    if lang == "java":
+        _java(tokens)
+    elif lang == "go":
+        _go(tokens)
+    else:
+        _c_family(lang, tokens)
+
+
+@contextlib.contextmanager
+def _deeper(n: int) -> Iterator[None]:
+    """Room for nesting as deep as n tokens can be. Calls between functions of Python take heap and no stack, and only as they are made."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, min(4000 + 200 * n, (1 << 31) - 1)))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(limit)
+
+
 def _no_constant(name: str) -> None:
     raise ValueError(name)
 
@@ -2818,8 +2840,14 @@ def accepts(lang: str, content: bytes) -> bool:
         return False
     if lang == "json":
         try:
-            json.loads(text, parse_constant=_no_constant)
-        except (ValueError, RecursionError):
+            try:
+                json.loads(text, parse_constant=_no_constant)
+            except RecursionError:  # the scanner in C has a depth of its own; the one in Python is the same otherwise
+                reader = json.JSONDecoder(parse_constant=_no_constant)
+                reader.scan_once = json.scanner.py_make_scanner(reader)
+                with _deeper(len(text)):
+                    reader.decode(text)
+        except ValueError:
             return False
         return True
     return accepts_tokens(lang, *lex(lang, text))

@@ -173,6 +173,18 @@ def test_files(spark):
     assert syntax.verdicts(df.limit(0)).count() == 0
 
 
+def test_nesting_of_any_depth(spark):
+    n = 20_000
+    deep = {
+        "a.c": f"int f(int a) {{ return {'(' * n}a{')' * n}; }}", "b.cpp": f"void f(int a) {{ {'if (a) b(); else ' * n}c(); }}", "c.java": f"class A {{ void f(int a) {{ {'if (a) b(); else ' * n}c(); }} }}",
+        "d.go": f"package a\nfunc f() {{ {'if a {} else ' * n}{{}} }}\n", "e.json": "[" * n + '{"a": ' * n + "1" + "}" * n + "]" * n,
+    }
+    bad = {"f.c": deep["a.c"].replace("); }", "; }"), "g.java": deep["c.java"].replace("c()", "c("), "h.json": deep["e.json"].replace("1", "NaN"), "i.json": deep["e.json"][:-1]}
+    df = spark.createDataFrame([(i, "t", p, t.encode()) for i, (p, t) in enumerate({**deep, **bad}.items())], "file_id bigint, target_id string, path string, content binary")
+    for chunk in (1 << 18, 1000):
+        assert {r["file_id"] for r in syntax.verdicts(df, chunk).filter("rejected").collect()} == {5, 6, 7, 8}
+
+
 def test_macros_expand_to_any_level():
     family = ["#define E_1(f, x) f(x)", *[f"#define E_{i}(f, x, ...) f(x) E_{i - 1}(f, __VA_ARGS__)" for i in range(2, 65)]]
     call = f"E_64(D, {', '.join(f'a{i}' for i in range(64))})"
