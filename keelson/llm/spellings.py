@@ -249,7 +249,7 @@ def mapped(spark: SparkSession, findings: DataFrame, source_rules: DataFrame, al
     rows = typed_values(spark, findings, source_rules, algorithms)
     mapping = map_values(spark, rows, algorithms, aliases)
     keys = ("kind", "value", "key_size", "mode", "curve", "primitive")
-    plain = rows.select("table_name", "row_key", "field", "kind", "value", F.expr(f"regexp_extract({_real('key_size')}, '^([0-9]+)$', 1)").alias("key_size"), F.expr(_real("mode")).alias("mode"), "curve", "primitive", F.pmod("row_key", F.lit(SALT)).alias("salt"))
+    plain = rows.select("table_name", "row_key", "field", "kind", "value", F.expr(f"regexp_extract({_real('key_size')}, '^([0-9]+)$', 1)").alias("key_size"), F.expr(_real("mode")).alias("mode"), "curve", "primitive", F.pmod(F.xxhash64("row_key"), F.lit(SALT)).alias("salt"))
     salted = mapping.select(*[F.col(k).alias(f"m_{k}") for k in keys], "entry_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("m_salt"))
     on = F.col("salt") == F.col("m_salt")
     for k in keys:

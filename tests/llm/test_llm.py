@@ -103,6 +103,14 @@ def test_spellings(spark):
     assert spellings.mapped(spark, f.limit(0), rules.limit(0), a, b).count() == 0
 
 
+def test_spellings_of_rows_without_a_key(spark):
+    a, b = listed(spark)
+    f = spark.createDataFrame([(None, "algorithm", "aes_256_gcm", {}, None), (-1, "algorithm", "aes_256_gcm", {}, None)], "seq bigint, asset_kind string, name string, parameters map<string,string>, primitive string")
+    rules = spark.createDataFrame([(None, "aes 256", {})], "rule_id bigint, algorithm string, parameters map<string,string>")
+    got = spellings.mapped(spark, f, rules, a, b).collect()
+    assert {tuple(r) for r in got} == {("findings", None, "name", 3), ("findings", -1, "name", 3), ("source_rules", None, "algorithm", 2)} and len(got) == 3
+
+
 def distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
