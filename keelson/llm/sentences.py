@@ -62,8 +62,8 @@ def _compiled():
     return {
         "line": c(r"[^\n\r\x0b\x0c\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]|\Z)"),
         "bullet": c(r"[^\S\n\r]*(?:[-*+•‣◦▪·○●–—]|☐|☑|✓|✔)[^\S\n\r]+(?=\S)"),
-        "number": c(r"[^\S\n\r]*\(?(?P<n>\d{1,3})[.)][^\S\n\r]+(?=\S)"),
-        "letter": c(r"[^\S\n\r]*\(?(?P<n>[a-z])\)[^\S\n\r]+(?=\S)"),
+        "number": c(r"[^\S\n\r]*\(?(?P<n>\d+)[.)][^\S\n\r]+(?=\S)"),
+        "letter": c(r"[^\S\n\r]*\(?(?P<n>[A-Za-z])\)[^\S\n\r]+(?=\S)"),
         "heading": c(r"[^\S\n\r]*#{1,6}[^\S\n\r]+\S"),
         "mark": c(r"[" + regex.escape(_ENDS) + r"]+|[()\[\]{}（）［］「」『』【】《》〈〉«»“”„‹›\"]"),
         "word": c(r"(?<![\p{L}\p{M}\p{N}.'’°º-])[\p{L}\p{M}\p{N}.'’°º-]*+$"),
@@ -123,7 +123,9 @@ def _block(text: str, lines: list[tuple[int, int]], out: list) -> None:
         if n is None:
             starts = first or listed or before.endswith((":", "："))
         elif n.isdigit():
-            starts = first or (number is not None and int(n) == number + 1) or (before.endswith((":", "：")) and int(n) <= 1)
+            value = int(n) if len(n) < 1000 else -1  # int() takes no more than some thousand digits; no list is that long
+            begins = first or (before.endswith((":", "：")) and value <= 1)
+            starts = (begins and len(n) <= 3) or (number is not None and value == number + 1)  # a longer number with none before it may be a year
         else:
             starts = first or (number is not None and ord(n) == number + 1)
         if starts:

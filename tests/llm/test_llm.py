@@ -295,6 +295,16 @@ TEXTS = {
 }
 
 
+def test_long_lists():
+    cut = lambda t: [t[a:b] for a, b in sentences.segment(t)]
+    lines = [f"{i}. item of the list" for i in range(1, 1205)]
+    assert cut("\n".join(lines)) == lines
+    letters = ["A) one", "B) two", "(C) three"]
+    assert cut("\n".join(letters)) == letters
+    assert cut("It was made in\n2004. Nobody knew of it then.")[0] == "It was made in\n2004."
+    assert cut("a) one\nB) two") == ["a) one\nB) two"]  # a list goes on in its own case
+
+
 def test_sentences(spark):
     for t, want in TEXTS.items():
         assert [t[a:b] for a, b in sentences.segment(t)] == want
