@@ -182,6 +182,10 @@ def det_suites(spark: SparkSession, d: str) -> DataFrame:
     return s.select("suite", F.posexplode(detection.suite_parts(F.col("suite"))).alias("place", "algorithm"))
 
 
+def det_suite_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "findings").select("seq", F.posexplode(detection.suite_parts(F.col("name"))).alias("place", "algorithm"))
+
+
 _STATUS = "Package: openssl\r\nVersion: 3.0.2-0ubuntu1\r\nDescription: tool\r\n a: b\r\n\r\nPackage: coreutils\r\nVersion: 9.1\r\n\r\nPackage: libssl3\nVersion: 3:1.2\n\nP:libcrypto3\nV:3.1.4-r1\n\nPackage: openssl\nVersion: 3.0.2-0ubuntu1\n"
 
 
@@ -189,6 +193,10 @@ def src_packages(spark: SparkSession, d: str) -> DataFrame:
     return detection.packages(spark.createDataFrame([("image-1", _STATUS)], "target_id string, status string"), "status", ["target_id"])
 
 
+def src_package_texts(spark: SparkSession, d: str) -> DataFrame:
+    return detection.packages(table(spark, d, "documents"), "text", ["doc_id"])
+
+
 def agg_surface_facet(spark: SparkSession, d: str) -> DataFrame:
     s = _queue(spark, d).select(F.explode(F.split("surfaces", ",")).alias("surface")).filter("surface <> ''")
     return s.groupBy("surface").agg(F.count(F.lit(1)).alias("assets"))
@@ -296,6 +304,10 @@ for _code in (0x0A, 0x0D, 0x09, 0x0C, 0x22, 0x27, 0x5C):  # bytes come as text w
     _BYTES = f"replace({_BYTES}, '\\x{_code:02X}', chr({_code}))"
 _SUFFIX = "lower(regexp_extract(path, '(\\.[A-Za-z]+)$', 1))"
 _SOURCE = f"s AS (SELECT file_id, target_id, path, {dims.sql_lookup(detection.SUFFIXES, _SUFFIX)} AS lang, {_BYTES} AS text FROM source_files WHERE {dims.sql_lookup(detection.SUFFIXES, _SUFFIX)} IS NOT NULL AND octet_length(content) <= {detection.SOURCE_CAP})"
+_TAKEN = "".join(
+    f", t{i} AS (SELECT seq, CASE WHEN strpos(rest, '{t}') > 0 THEN left(rest, strpos(rest, '{t}') - 1) || substr(rest, strpos(rest, '{t}') + {len(t)}) ELSE rest END AS rest, CASE WHEN strpos(rest, '{t}') > 0 THEN list_append(hits, '{a}') ELSE hits END AS hits FROM t{i - 1})"
+    for i, (t, a) in enumerate(detection.SUITE_TOKENS.items(), 1)
+)
 _RULES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in (lang, call, *rule)) + ")" for lang, rules in detection.CALLS.items() for call, rule in rules.items())
 _queue_cols = ", ".join(QUEUE)
 
@@ -340,6 +352,11 @@ SELECT seq, p[1] AS algorithm, lower(nullif(p[2], '')) AS mode, CASE WHEN nullif
  ('ECDHE-RSA-AES256-GCM-SHA384', 0, 'ECDH'), ('ECDHE-RSA-AES256-GCM-SHA384', 1, 'AES-256-GCM'), ('ECDHE-RSA-AES256-GCM-SHA384', 2, 'SHA-384'), ('ECDHE-RSA-AES256-SHA384', 0, 'ECDH'), ('ECDHE-RSA-AES256-SHA384', 1, 'AES-256-CBC'),
  ('DHE-RSA-AES128-SHA', 0, 'DH'), ('DHE-RSA-AES128-SHA', 1, 'AES-128-CBC'), ('DES-CBC3-SHA', 0, '3DES'), ('TLS_RSA_WITH_AES_128_CBC_SHA', 0, 'AES-128-CBC'), ('TLS_RSA_WITH_AES_128_CBC_SHA', 1, 'SHA-1'),
  ('ECDHE-ECDSA-CHACHA20-POLY1305', 0, 'ECDH'), ('ECDHE-ECDSA-CHACHA20-POLY1305', 1, 'ChaCha20'), ('RC4-MD5', 0, 'RC4')) t(suite, place, algorithm)""",
+    "det_suite_names": f"""WITH t0 AS (SELECT seq, upper(name) AS rest, []::VARCHAR[] AS hits FROM findings WHERE name IS NOT NULL){_TAKEN}
+SELECT seq, CAST(unnest(range(len(hits))) AS INT) AS place, unnest(hits) AS algorithm FROM t{len(detection.SUITE_TOKENS)}""",
+    "src_package_texts": f"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n\\n+')) AS s FROM documents),
+f AS (SELECT doc_id, {", ".join("coalesce(" + ", ".join(f"nullif(trim(regexp_extract(s, '(?m)^{n}:[ \\t]*(.*)$', 1)), '')" for n in names) + f") AS {c}" for c, names in (("package", ("Package", "P")), ("version", ("Version", "V"))))} FROM s)
+SELECT DISTINCT doc_id, package, version FROM f WHERE regexp_matches(package, '^(?:{"|".join(detection.PACKAGES)})')""",
     "det_calls": f"""WITH {_SOURCE}, r AS (SELECT * FROM (VALUES {_RULES}) r(lang, call, algorithm, key_size, mode)),
 c AS (SELECT file_id, target_id, path, lang, unnest(regexp_extract_all(regexp_replace(text, $re${detection.NOISE}$re$, ' ', 'g'), $re${detection.CALL}$re$, 1)) AS call FROM s)
 SELECT file_id, target_id, path, c.call, algorithm, key_size, mode, count(*) AS hits FROM c JOIN r ON c.lang = r.lang AND c.call = r.call GROUP BY ALL""",

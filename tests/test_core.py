@@ -207,6 +207,28 @@ def test_whole_bags_equal_sql(spark):
     assert sorted(map(str, got)) == sorted(map(str, want.fetchall())) and any(r[4].endswith("location.1") for r in got)
 
 
+def test_suites_and_packages_of_tables_equal_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from keelson.plans import inventory as plans
+    from keelson.plans import registry
+
+    names = [*plans._SUITES, None, "", "tls_rsa_with_aes_128_cbc_sha", "AES-128"]
+    spark.createDataFrame(list(enumerate(names)), "seq bigint, name string").write.parquet(str(tmp_path / "findings.parquet"))
+    spark.createDataFrame([(1, plans._STATUS), (2, None), (3, "no package"), (4, "V:1\nP:openssl-dev\n\n\nPackage:  openssl \nVersion:\n")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    for t in ("findings", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = {}
+    for name in ("det_suite_names", "src_package_texts"):
+        want = con.execute(registry.ORACLE[name])
+        cols = [c[0] for c in want.description]
+        got[name] = [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select(*cols).collect()]
+        assert sorted(map(str, got[name])) == sorted(map(str, want.fetchall())), name
+    fixed = [(names[i], p, a) for i, p, a in got["det_suite_names"] if i < len(plans._SUITES)]
+    assert sorted(fixed) == sorted(con.execute(registry.ORACLE["det_suites"]).fetchall())
+    assert {x for x in got["src_package_texts"] if x[0] != 1} == {(4, "openssl-dev", "1"), (4, "openssl", None)} and sum(x[0] == 1 for x in got["src_package_texts"]) == 3
+
+
 def test_queries_equal_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from pathlib import Path
