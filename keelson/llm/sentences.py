@@ -1,27 +1,35 @@
 """Sentences of texts in any language, script and layout.
 
-Boundary rules are compiled into automata. The line automaton reads code points and knows whether a line has content and whether a
-block is open; it ends blocks at blank lines. A block is cut into units, which are its list items or its paragraph, and the sentence
-transducer reads a unit's marks, quotes and brackets with the words around them.
-
-A long document is cut into chunks, each a row of its own. A chunk doesn't know in which state of the line automaton it begins, so it
-gives its whole transition function, one exit state and one first block end for each entry state. Composed by a prefix scan over the
-chunks these give each chunk its entry state, and the document falls into pieces at ends of blocks, which are segmented in parallel.
+The boundary rules are compiled into a finite transducer. Its input are a text's lines, each of a class (blank, heading, line of log or
+data that stands alone, list item, plain), and within them marks, quotes and brackets, each of which has a decision that only depends on
+the code points near it and on whether a sentence has just begun. Its state is that of the layout (no unit is open, or one is: plain, in
+a list, at a number or letter of a list) and that of the sentence (whether one has begun and where, and up to where a group is passed
+over). Its output are the sentences. Reading takes time in proportion to the text.
+
+A text is cut into chunks, each a row of its own with the context that decisions look at. The first chunk begins in the start state. A
+later one doesn't know the state it begins in, so it gives its whole transition function as a table; tables are composed associatively
+by a prefix scan in blocks over the chunks, which gives each chunk its entry state and so its sentences.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Code points above which a document is cut into chunks of that many.
-CHUNK = 65_536
-#: States of the line automaton: no block is open; a block is open and its line has content; a block is open and its line is blank so far.
-CLOSED, CONTENT, BLANK = 0, 1, 2
+#: Code points of a chunk; it goes on to the end of its line, or to twice as many where that is too far.
+CHUNK = 4096
+#: Code points within which a bracket or quotation closes. One that doesn't is no group, and its marks are like any others.
+GROUP = 1024
+#: Code points that a chunk has as context on its sides, beyond the white space there.
+SIDE = GROUP + 128
+#: Chunks whose tables are composed in one step of the scan; with two levels a text has up to FAN * FAN chunks.
+FAN = 512
 
 #: Abbreviations after which a sentence goes on. Written without the last full stop, in lower case.
 ALWAYS = set(
@@ -61,14 +69,14 @@ def _compiled():
     c = regex.compile
     return {
         "line": c(r"[^\n\r\x0b\x0c\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]|\Z)"),
-        "bullet": c(r"[^\S\n\r]*(?:[-*+•‣◦▪·○●–—]|☐|☑|✓|✔)[^\S\n\r]+(?=\S)"),
-        "number": c(r"[^\S\n\r]*\(?(?P<n>\d+)[.)][^\S\n\r]+(?=\S)"),
-        "letter": c(r"[^\S\n\r]*\(?(?P<n>[A-Za-z])\)[^\S\n\r]+(?=\S)"),
-        "heading": c(r"[^\S\n\r]*#{1,6}[^\S\n\r]+\S"),
-        "mark": c(r"[" + regex.escape(_ENDS) + r"]+|[()\[\]{}（）［］「」『』【】《》〈〉«»“”„‹›\"]"),
+        "break": c(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"),
+        "class": c(r"[^\S\n\r]*+(?:(?P<h>#{1,6}[^\S\n\r]+\S)|(?P<b>[-*+•‣◦▪·○●–—☐☑✓✔])[^\S\n\r]+(?=\S)|\(?(?P<n>\d++)[.)][^\S\n\r]+(?=\S)|\(?(?P<l>[A-Za-z])\)[^\S\n\r]+(?=\S))"),
+        "mark": c(r"[" + regex.escape(_ENDS) + r"]+|[(\[{（［「『【《〈«»“„‹\"]"),
+        "pairs": c(r"[()\[\]{}（）［］「」『』【】《》〈〉«»“”„‹›]"),
         "word": c(r"(?<![\p{L}\p{M}\p{N}.'’°º-])[\p{L}\p{M}\p{N}.'’°º-]*+$"),
-        "next": c(r"[^\S]*[\"'“„«‹‘(\[「『《（¿¡]*\s*(\S[^\s]*)"),
+        "next": c(r"[^\S]*[\"'“„«‹‘(\[「『《（¿¡]*\s*(\S\S{0,40})"),
         "thai": c(r"(?:(?<=\p{Thai})|(?<=\p{Thai}\s?[\p{Extended_Pictographic}\p{Emoji_Modifier}\u200d\ufe0f\U0001F1E6-\U0001F1FF\u2640\u2642]{1,12}))\s+(?=\p{Thai})"),
+        "any thai": c(r"\p{Thai}"),
         "cjk": c(f"[{_CJK}]"),
         "spaced": c(r"(?<![\p{L}\p{N}])(\p{L}{1,3}(?:\.\s+\p{L}{1,3})+)$"),
         "before": c(r"(\p{L}+)\s+$"),
@@ -79,72 +87,144 @@ def _compiled():
     }
 
 
-def segment(text: str) -> list[tuple[int, int]]:
-    """Start and end of each sentence of text, without white space around it, in order."""
-    out: list[tuple[int, int]] = []
-    lines = []
-    for m in _compiled()["line"].finditer(text):
-        if m.start() == m.end():
-            continue
-        if text[m.start() : m.end()].isspace():
-            _block(text, lines, out)
-            lines = []
-        else:
-            lines.append((m.start(), m.end()))
-    _block(text, lines, out)
-    return out
+# ---- layout: lines and units
 
+#: Classes of lines; CONT is the rest of a line whose beginning is in another chunk.
+BLANK, OWN, BULLET, NUMBER, LETTER, TEXT, CONT = range(7)
 
-def _block(text: str, lines: list[tuple[int, int]], out: list) -> None:
-    """Cut the lines between two blank lines into units, and each unit into sentences."""
-    if not lines:
-        return
-    c = _compiled()
-    if len(lines) == 1 and _one_unit(text[lines[0][0] : lines[0][1]]):
-        _put(text, *lines[0], out)
-        return
-    start, body = lines[0][0], lines[0][0]
-    listed, number, fresh = False, None, True  # fresh: nothing but a heading stands before in the block
-    for lo, hi in lines:
-        line = text[lo:hi]
-        if c["heading"].match(line):
-            if lo > start:
-                _unit(text, start, body, lo, out)
-            _put(text, lo, hi, out)
-            start = body = hi
-            listed, number, fresh = False, None, True
-            continue
-        mark = c["bullet"].match(line) or c["number"].match(line) or c["letter"].match(line)
-        first, fresh = fresh, False
-        if not mark:
-            continue
-        n = mark.groupdict().get("n")
-        before = text[start:lo].rstrip()
-        if n is None:
-            starts = first or listed or before.endswith((":", "："))
-        elif n.isdigit():
-            value = int(n) if len(n) < 1000 else -1  # int() takes no more than some thousand digits; no list is that long
-            begins = first or (before.endswith((":", "：")) and value <= 1)
-            starts = (begins and len(n) <= 3) or (number is not None and value == number + 1)  # a longer number with none before it may be a year
-        else:
-            starts = first or (number is not None and ord(n) == number + 1)
-        if starts:
-            if lo > start:
-                _unit(text, start, body, lo, out)
-            start, body = lo, lo + mark.end()
-            listed, number = True, None if n is None else int(n) if n.isdigit() else ord(n)
-    if start < lines[-1][1]:
-        _unit(text, start, body, lines[-1][1], out)
+
+class Chunk:
+    """A chunk with its context: what of it does not depend on the state it is entered in.
+
+    t: context, chunk from a up to b, context. off: the position of t in the text. first, last: nothing is before t, behind t. mid: the
+    chunk begins within a line. solid, tail: the line cut at the chunk's beginning, at its end, is one unit.
+    """
+
+    def __init__(self, t: str, off: int, a: int, b: int, last: bool, mid: bool = False, solid: bool = False, tail: bool = False):
+        self.t, self.off, self.a, self.b, self.last, self.mid, self.solid = t, off, a, b, last, mid, solid
+        c = _compiled()
+        self.thai = c["any thai"].search(t) is not None
+        head = t[:a]
+        gap = head[len(head.rstrip()) :]
+        alone = not mid and ((len(gap) == a and off == 0) or sum(1 for _ in c["break"].finditer(gap)) > 1)
+        rows: list[tuple[int, int, int, int, int, bool]] = []
+        blank = alone  # whether the line before is blank
+        spans = [m.span() for m in c["line"].finditer(t, a) if m.end() > m.start()]
+        for i, (lo, hi) in enumerate(spans):
+            if i == 0 and mid:
+                rows.append((lo, hi, CONT, 0, lo, False))
+                blank = False
+                continue
+            line = t[lo:hi]
+            if line.isspace():
+                rows.append((lo, hi, BLANK, 0, lo, False))
+                blank = True
+                continue
+            m = c["class"].match(line)
+            kind, value, body = TEXT, 0, lo
+            if m is None:
+                pass
+            elif m["h"]:
+                kind = OWN
+            elif m["b"]:
+                kind, body = BULLET, lo + m.end()
+            elif m["n"]:
+                n = m["n"]
+                kind, value, body = NUMBER, int(n) if len(n) < 1000 else -1, lo + m.end()
+            else:
+                kind, value, body = LETTER, ord(m["l"]), lo + m.end()
+            if blank and kind != OWN:
+                if hi == len(t) and not last:
+                    if tail and lo < b:
+                        kind = OWN
+                elif (i + 1 == len(spans) or t[spans[i + 1][0] : spans[i + 1][1]].isspace()) and _one_unit(line):
+                    kind = OWN
+            colon = kind in (BULLET, NUMBER) and t[max(0, lo - SIDE) : lo].rstrip().endswith((":", "："))
+            rows.append((lo, hi, kind, value, body, colon))
+            blank = False
+        self.lines = rows
+
+    def units(self, state: str) -> tuple[list[tuple[int, int, int, bool, bool]], str]:
+        """Units (start, start without a list mark, end, one sentence, goes on beyond the chunk) and the exit state, entered in state.
+
+        States: F no unit is open; T a plain one; L a bullet; N12 and A98 number 12 and letter b of a list; N and A any other number and
+        letter. A unit that is open at the beginning starts at a.
+        """
+        out = []
+        a, b, s = self.a, self.b, state
+        lo0 = body0 = -1
+        single = False
+        if state != "F" or self.mid:
+            lo0 = body0 = a
+            single = self.mid and self.solid
+        left = None
+        for lo, hi, kind, value, body, colon in self.lines:
+            if lo >= b:
+                if left is None:
+                    left = s
+                if lo0 < 0:
+                    break
+            if kind == TEXT:
+                if s == "F":
+                    s, starts = "T", True
+                else:
+                    continue
+            elif kind == CONT:
+                if single:
+                    out.append((lo0, body0, hi, True, hi > b or (hi == len(self.t) and not self.last)))
+                    lo0, single, s = -1, False, "F"
+                continue
+            elif kind == BLANK or kind == OWN:
+                if lo0 >= 0:
+                    out.append((lo0, body0, lo, False, lo > b))
+                    lo0 = -1
+                if kind == OWN and lo < b:
+                    out.append((lo, lo, hi, True, hi > b))
+                s = "F"
+                continue
+            else:
+                s, starts = _step(s, kind, value, colon)
+                if not starts and lo0 >= 0:
+                    continue
+                if not starts:
+                    body = lo
+            if lo0 >= 0:
+                out.append((lo0, body0, lo, False, lo > b))
+                lo0 = -1
+            if lo >= b:
+                break
+            lo0, body0 = lo, body
+        if lo0 >= 0:
+            end = len(self.t)
+            out.append((lo0, body0, end, False, end > b or not self.last))
+        return out, s if left is None else left
+
+
+def _step(s: str, kind: int, value: int, colon: bool) -> tuple[str, bool]:
+    """The layout's state after a list mark, and whether the mark begins a unit; otherwise it is text."""
+    fresh, listed = s == "F", s[0] in "LNA"
+    if kind == BULLET:
+        starts, to = fresh or listed or colon, "L"
+    elif kind == NUMBER:
+        # a number of four digits with none before it may be a year
+        starts, to = ((fresh or (colon and value <= 1)) and 0 <= value < 1000) or s == f"N{value - 1}", f"N{value}"
+    else:
+        starts, to = fresh or s == f"A{value - 1}", f"A{value}"
+    return (to if starts else "T" if fresh else s), starts
+
+
+def segment(text: str) -> list[tuple[int, int]]:
+    """Start and end of each sentence of text, without white space around it, in order."""
+    return read(Chunk(text, 0, 0, len(text), True), START)
 
 
 def _one_unit(line: str) -> bool:
     """Whether a line that stands alone is a heading or a line of log, data or code."""
     s = line.strip()
     c = _compiled()
-    if c["heading"].match(line):
-        return True
-    if c["bullet"].match(line):
-        return False
+    m = c["class"].match(line)
+    if m and (m["h"] or m["b"]):
+        return bool(m["h"])
     if sum(map(str.isalpha, s)) * 3 < len(s) - s.count(" ") and not c["prose"].search(s):
         return True
     return bool(_log().match(s))
@@ -160,67 +240,7 @@ def _log():
     )
 
 
-def _put(text: str, lo: int, hi: int, out: list) -> None:
-    while lo < hi and text[lo].isspace():
-        lo += 1
-    while hi > lo and text[hi - 1].isspace():
-        hi -= 1
-    if hi > lo:
-        out.append((lo, hi))
-
-
-def _close_of(text: str, at: int, hi: int) -> int:
-    """Where the quote or bracket opened at at is closed before hi, or -1."""
-    o = text[at]
-    if o == '"':
-        return text.find('"', at + 1, hi)
-    closers = {"„": "“”", "‚": "‘’", "»": "«", "“": "”", "”": "”", "›": "‹"}.get(o) or _OPEN.get(o, "")
-    depth = 0
-    for i in range(at + 1, hi):
-        ch = text[i]
-        if ch in closers and depth == 0:
-            return i
-        if ch == o and o not in closers:
-            depth += 1
-        elif ch in closers:
-            depth -= 1
-    return -1
-
-
-def _unit(text: str, lo: int, body: int, hi: int, out: list) -> None:
-    """Cut text[lo:hi], a paragraph or a list item whose mark ends at body, into sentences."""
-    c = _compiled()
-    start, at = lo, body
-    first = body  # where the sentence begins, without a list mark
-    while first < hi and text[first].isspace():
-        first += 1
-    thai = iter([m.span() for m in c["thai"].finditer(text, body, hi)])
-    gap = next(thai, None)
-    for_search = at
-    while True:
-        m = c["mark"].search(text, for_search, hi)
-        while gap and (m is None or gap[0] < m.start()):
-            if gap[0] >= for_search and gap[0] > start:
-                _put(text, start, gap[0], out)
-                start = first = gap[1]
-            gap = next(thai, None)
-        if m is None:
-            break
-        ch = text[m.start()]
-        if ch not in _ENDS:
-            for_search = _pair(text, m.start(), first, hi)
-            if for_search < 0:  # the group ended a sentence
-                for_search = -for_search
-                _put(text, start, for_search, out)
-                start = first = _skip(text, for_search, hi)
-            continue
-        end = _ends(text, m, first, lo, hi)
-        for_search = m.end()
-        if end:
-            for_search = end
-            _put(text, start, end, out)
-            start = first = _skip(text, end, hi)
-    _put(text, start, hi, out)
+# ---- sentences within units
 
 
 def _skip(text: str, at: int, hi: int) -> int:
@@ -229,36 +249,56 @@ def _skip(text: str, at: int, hi: int) -> int:
     return at
 
 
-def _pair(text: str, at: int, first: int, hi: int) -> int:
-    """Where to go on after an opening quote or bracket; the negative end if the sentence ends with the group."""
+_CLOSES: dict[str, str] = {}
+for _o, _c in [*_OPEN.items(), ("„", "“"), ("„", "”"), ("»", "«")]:
+    _CLOSES[_c] = _CLOSES.get(_c, "") + _o
+
+
+def _matches(t: str, lo: int, hi: int) -> dict[int, int]:
+    """Opening marks in t[lo:hi] with what closes them there, by one stack for each kind of mark."""
+    stacks: dict[str, list[int]] = {}
+    out = {}
+    for m in _compiled()["pairs"].finditer(t, lo, hi):
+        ch, at = m[0], m.start()
+        for o in _CLOSES.get(ch, ""):
+            if stacks.get(o):
+                p = stacks[o].pop()
+                if at - p <= GROUP:
+                    out[p] = at
+        if ch in _OPEN or ch in "„»":
+            stacks.setdefault(ch, []).append(at)
+    return out
+
+
+def _pair(text: str, at: int, fresh: bool, hi: int, matches: dict[int, int]) -> tuple[int, bool]:
+    """Where to go on after an opening quote or bracket, and whether a sentence ends there; fresh: one has just begun."""
     o = text[at]
-    if o not in _OPEN and o not in '"„»':
-        return at + 1
-    if o == '"' and not (at == first or not text[at - 1].isalnum()):
-        return at + 1
-    if o == "»" and not (at == first or text[at - 1].isspace()):
-        return at + 1
-    close = _close_of(text, at, hi)
+    if o == '"':
+        if not fresh and text[at - 1].isalnum():
+            return at + 1, False
+        close = text.find('"', at + 1, min(hi, at + 1 + GROUP))
+    elif o == "»" and not fresh and not text[at - 1].isspace():
+        return at + 1, False
+    else:
+        close = matches.get(at, -1)
     if close < 0:
-        return at + 1
+        return at + 1, False
     inner = text[at + 1 : close].rstrip()
     after = _after(text, close + 1, hi, bool(inner) and ord(inner[-1]) > 0x2FFF)
     ended = bool(inner) and inner[-1] in _ENDS and not _abbreviated(inner)
     if o in "([{（［":
-        if at == first and ended:
-            return at + 1  # sentences inside count by themselves
-        return close + 1
+        return (at + 1 if fresh and ended else close + 1), False  # sentences inside count by themselves
     if not ended:
-        return close + 1
+        return close + 1, False
     end = _closed(text, close + 1, hi)
-    lead = text[first:at].rstrip()
+    lead = "" if fresh else text[max(0, at - 64) : at].rstrip()
     if after == "goes on" or (after == "cjk" and _cjk_goes_on(text, end, hi, lead)):
-        return close + 1
-    if at == first:
-        return at + 1  # a quotation of its own: what is inside counts by itself
+        return close + 1, False
+    if fresh:
+        return at + 1, False  # a quotation of its own: what is inside counts by itself
     if after in ("ends", "new", "cjk"):
-        return -end
-    return close + 1
+        return end, True
+    return close + 1, False
 
 
 def _after(text: str, at: int, hi: int, wide: bool) -> str:
@@ -306,21 +346,23 @@ def _abbreviated(inner: str) -> bool:
     """Whether the full stop at the end of inner is that of an abbreviation."""
     if inner[-1] != ".":
         return False
-    word = _compiled()["word"].search(inner[:-1]).group().lower()
+    word = _compiled()["word"].search(inner[-41:-1]).group().lower()
     return word in ALWAYS or word in SOMETIMES
 
 
-def _ends(text: str, m, first: int, lo: int, hi: int) -> int:
-    """The end of the sentence if the marks of m end one, else 0."""
+def _ends(text: str, start: int, end: int, fresh: bool, hi: int) -> int:
+    """The end of the sentence if the marks at start end one, else 0; fresh: a sentence has just begun."""
     c = _compiled()
-    marks, end = m.group(), m.end()
+    marks, stop = text[start:end], end
     if marks == "." and end < hi and text[end].isalnum():
         return 0
-    if m.start() <= first and not any(x in _STRONG for x in marks):
+    if fresh and not any(x in _STRONG for x in marks):
         return 0
     end = _closed(text, end, hi)
-    if end < hi and text[end] in " \u00a0\u202f" and text[end + 1 : end + 2] in ("»", "›") and text.rfind("«", first, end) > text.rfind("»", first, end):
-        end += 2
+    if end < hi and text[end] in " \u00a0\u202f" and text[end + 1 : end + 2] in ("»", "›"):
+        near = max(0, end - GROUP)
+        if text.rfind("«", near, end) > text.rfind("»", near, end):
+            end += 2
     if end < hi and text[end] in _ENDS:
         return 0  # the last of them decides
     nxt = c["next"].match(text, end, hi)
@@ -353,14 +395,16 @@ def _ends(text: str, m, first: int, lo: int, hi: int) -> int:
         return 0 if word[0].islower() and not _named(word) else end
     if word[0] in ",;:—–،؛)":
         return 0
-    before = c["word"].search(text, max(first, m.start() - 40), m.start()).group() if m.start() > first else ""
+    before = c["word"].search(text[max(0, start - 40) : start]).group()
     bare = before.lower().lstrip("'’-")
-    if end > m.end() and before.isdigit() and text[m.end()] == ")" and text.count("(", first, m.start()) <= text.count(")", first, m.start()):
-        return 0  # 1.) in a line
+    if end > stop and before.isdigit() and text[stop] == ")":
+        near = max(0, start - GROUP)
+        if text.count("(", near, start) <= text.count(")", near, start):
+            return 0  # 1.) in a line
     if not before:
         return end
-    spaced_abbreviation = _spaced(text, first, m.start())
-    if bare in ALWAYS and not (len(bare) > 1 and end > m.end()):
+    spaced_abbreviation = _spaced(text, start)
+    if bare in ALWAYS and not (len(bare) > 1 and end > stop):
         return 0
     if len(before) == 1 and before.islower() and len(word) == 2 and word[0].isalpha() and word[1] == ".":
         return 0  # the first of letters with stops and spaces between
@@ -368,8 +412,8 @@ def _ends(text: str, m, first: int, lo: int, hi: int) -> int:
         return end if _begins(word) else 0
     if spaced_abbreviation in ALWAYS:
         return 0
-    if len(before) == 1 and before.isalpha() and before.isupper() and end == m.end():
-        prev = text[first : m.start() - 1].split()
+    if len(before) == 1 and before.isalpha() and before.isupper() and end == stop:
+        prev = text[max(0, start - 65) : start - 1].split()
         return 0 if word[0].isupper() and not (prev and prev[-1].lower() in LABELLED) else end
     if len(before) == 1 and before.islower() and word[0].islower():
         return 0
@@ -377,7 +421,7 @@ def _ends(text: str, m, first: int, lo: int, hi: int) -> int:
         return end if _begins(word) else 0  # letters with stops
     if bare in ("no", "nos") and word[0].isdigit():
         return 0
-    if before.isdigit() and len(before) <= 2 and _ordinal(text, first, m.start() - len(before), word):
+    if before.isdigit() and len(before) <= 2 and _ordinal(text, start - len(before), word):
         return 0
     return end
 
@@ -394,10 +438,20 @@ def _closed(text: str, at: int, hi: int) -> int:
     return at
 
 
-def _spaced(text: str, first: int, at: int) -> str:
-    """Letters with stops and spaces between, as d. M. or т. е., before at: without the spaces, in lower case."""
-    m = _compiled()["spaced"].search(text[max(first, at - 16) : at])
-    return "".join(m.group(1).split()).lower() if m else ""
+def _spaced(text: str, at: int) -> str:
+    """Letters with stops and spaces between, as d. M. or т. е., before at: without the spaces, in lower case.
+
+    A capital letter after a word it labels, as in plan B., is none of them.
+    """
+    m = _compiled()["spaced"].search(text[max(0, at - 16) : at])
+    if not m:
+        return ""
+    letters = m.group(1).split()
+    begin = max(0, at - 16) + m.start()
+    label = text[max(0, begin - 40) : begin].split()[-1:]
+    if len(letters[0]) == 2 and letters[0][0].isupper() and label and label[0].lower() in LABELLED:
+        letters = letters[1:]
+    return "".join(letters).lower() if len(letters) > 1 else ""
 
 
 def _begins(word: str) -> bool:
@@ -405,79 +459,348 @@ def _begins(word: str) -> bool:
     return word[0].isupper() or word[0] in "¿¡#\"“«„(" or (word[0].isalpha() and not word[0].islower())
 
 
-def _ordinal(text: str, first: int, at: int, word: str) -> bool:
-    prev = _compiled()["before"].search(text[max(first, at - 40) : at])
+def _ordinal(text: str, at: int, word: str) -> bool:
+    prev = _compiled()["before"].search(text[max(0, at - 40) : at])
     if word[0].islower() or word.strip(".,;:").lower() in MONTHS:
         return word.strip(".,;:").lower() in MONTHS or prev is not None and (prev.group(1).lower() in BEFORE_ORDINAL or not _named(word))
     return prev is not None and prev.group(1).lower() in BEFORE_ORDINAL
 
 
+# ---- the transducer
+
+#: A state: that of the layout, the position up to which text has been passed over, whether a sentence's own text begins there, and
+#: where the sentence does (-1: at that position if it begins, else the same place as in the state before).
+START = ("F", 0, True, -1)
+
+
+def _events(chunk: Chunk, body: int, hi: int) -> list[tuple[int, int, int]]:
+    """Start, end and kind (0 end marks, 1 an opening mark, 2 a gap of Thai) of what may matter in a unit, up to the chunk's end."""
+    t, stop = chunk.t, min(hi, chunk.b)
+    out = [(m.start(), m.end(), 0 if t[m.start()] in _ENDS else 1) for m in _compiled()["mark"].finditer(t, body, hi) if m.start() < stop]
+    if chunk.thai:
+        gaps = [(m.start(), m.end(), 2) for m in _compiled()["thai"].finditer(t, body, hi) if m.start() < stop]
+        if gaps:
+            out = sorted(out + gaps)
+    return out
+
+
+class Unit:
+    """The decisions of a unit, each taken once at most."""
+
+    def __init__(self, chunk: Chunk, lo: int, body: int, hi: int):
+        self.t, self.hi, self.lo, self.body = chunk.t, hi, lo, body
+        self.events = _events(chunk, body, hi)
+        self.matches: dict[int, int] | None = None
+
+    def decide(self, i: int, fresh: bool) -> tuple[int, int]:
+        """Where to go on after an event, and the end of the sentence if it ends one, else -1."""
+        start, end, kind = self.events[i]
+        if kind == 0:
+            stop = _ends(self.t, start, end, fresh, self.hi)
+            return (stop, stop) if stop else (end, -1)
+        if kind == 2:
+            return end, start
+        if self.matches is None:
+            self.matches = _matches(self.t, self.body, self.hi)
+        go, ended = _pair(self.t, start, fresh, self.hi, self.matches)
+        return go, go if ended else -1
+
+
+def read(chunk: Chunk, state: tuple[str, int, bool, int]) -> list[tuple[int, int]]:
+    """The sentences that end in a chunk entered in state."""
+    layout, at, begins, began = state
+    t, off, b = chunk.t, chunk.off, chunk.b
+    units, _ = chunk.units(layout)
+    out: list[tuple[int, int]] = []
+
+    def put(lo: int, hi: int) -> None:
+        while lo < hi and lo >= 0 and t[lo].isspace():
+            lo += 1
+        while hi > lo and hi > 0 and t[hi - 1].isspace():
+            hi -= 1
+        if hi > lo:
+            out.append((lo + off, hi + off))
+
+    open_before = layout != "F" or chunk.mid
+    for i, (lo, body, hi, single, more) in enumerate(units):
+        start, pos = lo, body
+        first = -1
+        if i == 0 and open_before:
+            pos = max(body, at - off)
+            start = pos if begins and began < 0 else began - off
+            first = pos if begins else -1
+        if single:
+            if not more:
+                put(start, hi)
+            continue
+        unit = Unit(chunk, lo, body, hi)
+        events = unit.events
+        if first < 0 and not (i == 0 and open_before):
+            first = _skip(t, body, hi)
+        for k in range(len(events)):
+            e = events[k][0]
+            if e < pos:
+                continue
+            pos, ended = unit.decide(k, e <= first)
+            if ended >= 0:
+                put(start, ended)
+                start = first = _skip(t, max(ended, pos), hi)
+        if not more and start < hi:
+            put(start, hi)
+    return out
+
+
+def table(chunk: Chunk) -> dict:
+    """The transition function of a chunk over all states, as a table.
+
+    by: classes of layout states with their row; rows: the layout's exit state (= the same as entered), and either the exit (at, begins,
+    began) whatever the state of the sentence is (x), or for each position up to which text may have been passed over the exits if a
+    sentence doesn't begin there and if it does (at, to). end: where the chunk ends.
+    """
+    classes = ["F", "T", "L", "N", "A"]
+    for _, _, kind, value, _, _ in chunk.lines:
+        if kind in (NUMBER, LETTER):
+            classes.append(f"{'N' if kind == NUMBER else 'A'}{value - 1}")
+    by, rows, known = {}, [], {}
+    for c in dict.fromkeys(classes):
+        units, left = chunk.units(c)
+        last = units[-1] if units else None
+        key = (left if left != c else "=", last, len(units) == 1)
+        if key not in known:
+            known[key] = len(rows)
+            rows.append({"l": key[0], **_exits(chunk, last, c != "F" or chunk.mid, len(units))})
+        by[c] = known[key]
+    return {"end": chunk.off + chunk.b, "by": by, "rows": rows}
+
+
+def _exits(chunk: Chunk, last: tuple[int, int, int, bool, bool] | None, entered: bool, n: int) -> dict:
+    off, b, t = chunk.off, chunk.b, chunk.t
+    end = off + b
+    if last is None or not last[4]:
+        return {"x": [end, True, -1]}
+    lo, body, hi, single, _ = last
+    inherits = n == 1 and entered  # the unit was open before the chunk
+    if single:
+        return {"at": [end], "to": [[[end, False, -1]] * 2]} if inherits else {"x": [end, False, off + lo]}
+    unit = Unit(chunk, lo, body, hi)
+    starts = [e[0] for e in unit.events]
+    m = len(starts)
+    to: list = [None] * m + [[[end, False, -1]] * 2]  # nothing more: the sentence goes on
+
+    def begun(at: int) -> list:
+        """The exit of a sentence that begins behind at."""
+        at = _skip(t, at, hi)
+        if at >= b:
+            return [off + at, True, -1]
+        k = bisect_left(starts, at)
+        pos, begins, began = to[k][k < m and starts[k] == at]
+        return [pos, begins, began if began >= 0 or begins else off + at]
+
+    for i in range(m - 1, -1, -1):
+        both = []
+        for fresh in (False, True):
+            go, ended = unit.decide(i, fresh)
+            if ended >= 0:
+                both.append(begun(max(go, ended)))
+            elif go >= b:
+                both.append([off + go, False, -1])
+            else:
+                both.append(to[bisect_left(starts, go)][0])
+        to[i] = both
+    if not inherits:
+        at = _skip(t, body, hi)
+        if at >= b:
+            return {"x": [off + at, True, off + lo]}
+        k = bisect_left(starts, at)
+        pos, begins, began = to[k][k < m and starts[k] == at]
+        return {"x": [pos, begins, began if began >= 0 or begins else off + lo]}
+    return {"at": [off + e for e in starts] + [end - 1], "to": to}
+
+
+def _row(table: dict, layout: str) -> dict:
+    by = table["by"]
+    return table["rows"][by[layout] if layout in by else by[layout[0]]]
+
+
+def apply(table: dict, state: tuple[str, int, bool, int]) -> tuple[str, int, bool, int]:
+    """The exit state of a chunk, or of neighbouring ones, entered in state."""
+    layout, at, begins, began = state
+    row = _row(table, layout)
+    left = layout if row["l"] == "=" else row["l"]
+    if "x" in row:
+        return (left, *row["x"])
+    if at >= table["end"]:
+        return left, at, begins, began
+    k = bisect_left(row["at"], at)
+    pos, to_begin, place = row["to"][k][begins and row["at"][k] == at]
+    return left, pos, to_begin, place if place >= 0 or to_begin else began if began >= 0 or not begins else at
+
+
+def compose(a: dict, b: dict) -> dict:
+    """The table of two neighbours; associative."""
+    by, rows = {}, []
+    through = [c for c in b["by"] if len(c) > 1 and a["rows"][a["by"][c[0]]]["l"] == "="]
+    for c in dict.fromkeys([*a["by"], *through]):
+        row = _row(a, c)
+        mid = c if row["l"] == "=" else row["l"]
+        then = _row(b, mid)
+        left = row["l"] if then["l"] == "=" else then["l"]
+        if "x" in then:
+            new = {"l": left, "x": then["x"]}
+        elif "x" in row:
+            new = {"l": left, "x": list(apply(b, (mid, *row["x"]))[1:])}
+        else:
+            new = {"l": left, "at": row["at"] + then["at"], "to": [[list(apply(b, (mid, *e))[1:]) for e in both] for both in row["to"]] + then["to"]}
+        by[c] = len(rows)
+        rows.append(new)
+    return {"end": b["end"], "by": by, "rows": rows}
+
+
 # ---- documents
 
 
-def _functions(text: str) -> tuple[list[int], list[int]]:
-    """For each entry state of the line automaton: the exit state, and where the first block ends within text (-1: nowhere)."""
-    exits, cuts = [], []
-    for state in (CLOSED, CONTENT, BLANK):
-        cut = -1
-        for m in _compiled()["line"].finditer(text):
-            if m.start() == m.end():
+def cut(text: str, chunk: int = CHUNK) -> list[tuple[int, int, bool, bool, bool]]:
+    """Chunks of text: start, end, whether it begins within a line, and whether the lines cut at its start and end are one unit.
+
+    Chunks end at line ends; a line that goes on too far is cut between letters or blanks.
+    """
+    c, out, at, mid, solid, line = _compiled(), [], 0, False, False, 0
+    n = len(text)
+    while n - at > chunk:
+        end = at + chunk
+        m = c["break"].search(text, end, min(n, end + chunk))
+        stop = -1
+        if m:
+            end = m.end()
+        else:
+            if n - end <= chunk:
                 break
-            line = m.group()
-            broken = line[-1] in "\n\r\x0b\x0c\x85\u2028\u2029"
-            if not line.isspace() or (line.strip("\n\r\x0b\x0c\x85\u2028\u2029") and not line.isspace()):
-                state = BLANK if broken else CONTENT
-            elif broken:
-                if state == BLANK:
-                    state = CLOSED
-                elif state == CONTENT:
-                    state = BLANK
-            if state == CLOSED and cut < 0:
-                cut = m.end()
-        exits.append(state)
-        cuts.append(cut)
-    return exits, cuts
+            end += chunk
+            while end < n and (text[end - 1] in _UNCUT or text[end] in _UNCUT):
+                end += 1
+            stop = end if text[end - 1] not in _BREAKS else -1
+        if text[end - 1] == "\r" and text[end : end + 1] == "\n":
+            end += 1
+        if end >= n:
+            break
+        if stop < 0:
+            out.append((at, end, mid, solid, False))
+            at, mid, solid, line = end, False, False, end
+            continue
+        begin = max(line, max(text.rfind(x, at, end) for x in _BREAKS) + 1)
+        if begin != line or not (mid and solid):
+            m = c["break"].search(text, end)
+            own = text[begin : m.end() if m else n]
+            gap = text[len(text[:begin].rstrip()) : begin]
+            alone = begin == len(gap) or sum(1 for _ in c["break"].finditer(gap)) > 1
+            if alone and m and m.end() < n:
+                after = c["break"].search(text, m.end())
+                alone = text[m.end() : after.end() if after else n].isspace()
+            cls = c["class"].match(own)
+            whole = bool(cls and cls["h"]) or (alone and _one_unit(own))
+        else:
+            whole = solid
+        out.append((at, end, mid, solid, whole))
+        at, mid, solid, line = end, True, whole, begin
+    out.append((at, n, mid, solid, False))
+    return out
+
+
+_BREAKS = "\n\r\x0b\x0c\x85\u2028\u2029"
+_UNCUT = frozenset(_ENDS) | _CLOSERS | set(_OPEN) | _QUOTES
+
+
+def view(text: str, span: tuple[int, int, bool, bool, bool]) -> tuple[str, int, int, int, bool, bool, bool, bool]:
+    """The arguments of Chunk for a span of text: with its context, which ends with something else than white space."""
+    lo, hi, mid, solid, tail = span
+    left = max(0, len(text[:lo].rstrip()) - SIDE) if lo else 0
+    right = hi
+    n = len(text)
+    while right < n and text[right].isspace():
+        right += 1
+    right = min(n, right + SIDE)
+    while right < n and text[right - 1].isspace():
+        right += 1
+    return text[left:right], left, lo - left, hi - left, right == n, mid, solid, tail
+
+
+_CHUNK = "t string, off int, a int, b int, last boolean, mid boolean, solid boolean, tail boolean"
+_FIELDS = ["t", "off", "a", "b", "last", "mid", "solid", "tail"]
+
+
+def _chunk(*row) -> Chunk:
+    t, off, a, b, last, mid, solid, tail = row
+    return Chunk(t, int(off), int(a), int(b), bool(last), bool(mid), bool(solid), bool(tail))
 
 
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """key, start_pos, end_pos: one row for each sentence of each row's text, positions in code points; key must be unique.
 
-    Null, empty and blank texts have no rows. Texts of any length are read whole.
+    Null, empty and blank texts have no rows. Texts of any length are read whole: every text's first chunk from the start state, its
+    further chunks from the states that the scan gives them.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") > 0)
     kind = dict(rows.dtypes)["k"]
+    schema = f"k {kind}, start_pos int, end_pos int"
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            spans = [(k, base + a, base + b) for k, base, t in zip(pdf["k"], pdf["base"], pdf["t"]) for a, b in segment(t)]
+            spans = []
+            for k, t in zip(pdf["k"], pdf["t"]):
+                c = _chunk(*view(t, cut(t, chunk)[0])) if len(t) > chunk else Chunk(t, 0, 0, len(t), True)
+                spans += [(k, a, b) for a, b in read(c, START)]
             yield pd.DataFrame(spans, columns=["k", "start_pos", "end_pos"])
 
-    schema = f"k {kind}, start_pos int, end_pos int"
-    whole = rows.filter(F.length("t") <= chunk).withColumn("base", F.lit(0)).mapInPandas(cut, schema)
-    if rows.filter(F.length("t") > chunk).isEmpty():  # one scan, and no branch over nothing
-        return whole.select(F.col("k").alias(key), "start_pos", "end_pos")
-    chunks = rows.filter(F.length("t") > chunk).select("k", "t", F.posexplode(F.sequence(F.lit(0), F.length("t") - 1, F.lit(chunk))).alias("part", "base"))
-    # a line break of two characters stays in one chunk
-    chunks = chunks.select("k", "part", F.expr(f"CASE WHEN base > 0 AND substring(t, base, 2) = '\\r\\n' THEN base + 1 ELSE base END").alias("base"), F.expr(f"CASE WHEN substring(t, base + {chunk}, 2) = '\\r\\n' THEN base + {chunk} + 1 ELSE base + {chunk} END").alias("stop"), "t")
-    chunks = chunks.select("k", "part", "base", F.expr("substring(t, base + 1, stop - base)").alias("t")).repartition("k", "part")
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, t in zip(pdf["k"], pdf["t"]):
+                spans = cut(t, chunk)
+                if len(spans) > 1:
+                    yield pd.DataFrame([(k, i, *view(t, s)) for i, s in enumerate(spans)], columns=["k", "part", *_FIELDS])
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [json.dumps(table(_chunk(*row))) for row in zip(*[pdf[c] for c in _FIELDS])]
+            yield pd.DataFrame({"k": pdf["k"], "part": pdf["part"], "f": pd.Series(found, dtype=object)})
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            spans = [(k, a, b) for k, state, *row in zip(pdf["k"], pdf["entry"], *[pdf[c] for c in _FIELDS]) for a, b in read(_chunk(*row), tuple(json.loads(state)))]
+            yield pd.DataFrame(spans, columns=["k", "start_pos", "end_pos"])
+
+    heads = rows.mapInPandas(first, schema)
+    chunks = rows.filter(F.length("t") > chunk).mapInPandas(split, f"k {kind}, part int, {_CHUNK}").repartition("k", "part")
+    entries = scanned(chunks.mapInPandas(tables, f"k {kind}, part int, f string"), kind)
+    rest = chunks.filter("part > 0").join(entries, ["k", "part"]).select("k", "entry", *_FIELDS).mapInPandas(emit, schema)
+    return heads.unionByName(rest).select(F.col("k").alias(key), "start_pos", "end_pos")
+
+
+def scanned(tables: DataFrame, kind: str) -> DataFrame:
+    """k, part, entry: the state that each part of k but the first is entered in, of k, part and the table f of each part.
+
+    A blocked prefix scan: blocks of FAN parts are composed, then the blocks of a text give each block its state, then each block its
+    parts. No task holds more than FAN tables at a time.
+    """
+    of = F.array_sort(F.collect_list(F.struct("part", "f")))
+    blocks = tables.groupBy("k", F.expr(f"part DIV {FAN}").cast("int").alias("block")).agg(of.alias("fs"))
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [json.dumps(functools.reduce(compose, [json.loads(f["f"]) for f in fs])) for fs in pdf["fs"]]
+            yield pd.DataFrame({"k": pdf["k"], "part": pdf["block"], "f": pd.Series(found, dtype=object)})
+
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            both = [_functions(t) for t in pdf["t"]]
-            pdf["exits"], pdf["cuts"] = [b[0] for b in both], [b[1] for b in both]
-            yield pdf
-
-    marked = chunks.mapInPandas(mark, f"k {kind}, part int, base int, t string, exits array<int>, cuts array<int>")
-    by = Window.partitionBy("k").orderBy("part")
-    before = F.collect_list("exits").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    entered = marked.withColumn("entry", F.aggregate(before, F.lit(CLOSED), lambda s, f: F.get(f, s)))
-    at = entered.withColumn("cut", F.when(F.col("part") == 0, 0).otherwise(F.nullif(F.get("cuts", F.col("entry")), F.lit(-1))))
-    # the text before a chunk's first block end belongs to the piece of the chunks before it
-    own = F.struct(F.col("part"), F.coalesce("cut", F.lit(0)).alias("cut"), "base", "t")
-    opened = F.sum(F.col("cut").isNotNull().cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    placed = at.withColumn("piece", opened)
-    bits = placed.select("k", F.explode(F.expr("array(named_struct('piece', CASE WHEN cut IS NULL OR part = 0 THEN piece ELSE piece - 1 END, 'lo', 0, 'hi', CASE WHEN cut IS NULL OR part = 0 THEN length(t) ELSE cut END), named_struct('piece', piece, 'lo', coalesce(cut, 0), 'hi', CASE WHEN cut IS NULL OR part = 0 THEN 0 ELSE length(t) END))")).alias("b"), "part", "base", "t")
-    bits = bits.filter("b.hi > b.lo").select("k", "b.piece", (F.col("base") + F.col("b.lo")).alias("base"), F.expr("substring(t, b.lo + 1, b.hi - b.lo)").alias("t"))
-    pieces = bits.groupBy("k", "piece").agg(F.min("base").alias("base"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("base", "t"))), lambda x: x["t"]), "").alias("t"))
-    long = pieces.select("k", "t", "base").mapInPandas(cut, schema)
-    return whole.unionByName(long).select(F.col("k").alias(key), "start_pos", "end_pos")
+            out = []
+            for k, start, fs in zip(pdf["k"], pdf["start"], pdf["fs"]):
+                state = tuple(json.loads(start)) if start is not None else START
+                for f in fs:
+                    out.append((k, int(f["part"]), json.dumps(state)))
+                    state = apply(json.loads(f["f"]), state)
+            yield pd.DataFrame(out, columns=["k", "part", "entry"])
+
+    schema = f"k {kind}, part int, entry string"
+    tops = blocks.mapInPandas(total, f"k {kind}, part int, f string").groupBy("k").agg(of.alias("fs")).filter(F.size("fs") > 1)
+    starts = tops.withColumn("start", F.lit(None).cast("string")).mapInPandas(states, schema).select("k", F.col("part").alias("block"), F.col("entry").alias("start"))
+    # a text of one block is entered in the start state
+    return blocks.join(starts, ["k", "block"], "left").select("k", "start", "fs").mapInPandas(states, schema).filter("part > 0")

@@ -1,6 +1,8 @@
+import json
 import random
 import re
 import string
+import time
 from datetime import datetime
 
 import numpy as np
@@ -311,6 +313,42 @@ def test_sentences(spark):
     texts = [*TEXTS, None, "", " \n\t ", "no end", "\n\n".join(TEXTS) * 3, "a.\r\n\r\nb.\r\r" * 40]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id bigint, text string, start_pos int")
     want = {(i, a, b) for i, t in enumerate(texts) if t for a, b in sentences.segment(t)}
-    for chunk in (65536, 100, 9):
+    for chunk in (sentences.CHUNK, 100, 9):
         assert {tuple(r) for r in sentences.sentences(df, chunk=chunk).collect()} == want
     assert sentences.sentences(df.limit(0)).count() == 0
+
+
+PIECES = ["Mr. ", "e.g. ", "word ", "Word ", ". ", "? ", "。", "「", "」", "(", ")", '"', "“", "”", "«", "»", "\n", "\n\n", " \n", "\r\n\r\n", "- item ", "1. ", "2. ", "a) ", "b) ", "# Head ", "error: x", "so: \n", "P. M. ", "x=1;\n", "กข ", "漢字", "„", "…", "\u2028"]
+
+
+def test_transducer_of_chunks_against_the_whole_text():
+    rng = random.Random(7)
+    for _ in range(1500):
+        t = "".join(rng.choice(PIECES) for _ in range(rng.randint(1, 60)))
+        want = sentences.segment(t)
+        for size in (3, 10, 40):
+            chunks = [sentences._chunk(*sentences.view(t, x)) for x in sentences.cut(t, size)]
+            tables = [json.loads(json.dumps(sentences.table(c))) for c in chunks]
+            states = [sentences.START]
+            for f in tables:
+                states.append(sentences.apply(f, states[-1]))
+            assert [x for c, s in zip(chunks, states) for x in sentences.read(c, s)] == want
+            if len(tables) > 2:
+                a, b, c = tables[:3]
+                left, right = sentences.compose(sentences.compose(a, b), c), sentences.compose(a, sentences.compose(b, c))
+                assert sentences.apply(left, sentences.START) == sentences.apply(right, sentences.START) == states[3]
+
+
+def test_scan_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "FAN", 3)
+    text = "It is so. (Is it? Yes.) " * 40 + "\n- one. two\n- three " * 9
+    df = spark.createDataFrame([(1, text), (2, "Short. Text.")], "doc_id bigint, text string")
+    got = {tuple(r) for r in sentences.sentences(df, chunk=50).collect()}
+    assert got == {(i, a, b) for i, t in ((1, text), (2, "Short. Text.")) for a, b in sentences.segment(t)}
+
+
+def test_sentences_take_time_in_proportion():
+    for t in ("«" * 48_000, "(" * 24_000, "(a " * 20_000, '"' * 50_000, "A. " * 20_000, "漢字。" * 20_000):
+        began = time.time()
+        sentences.segment(t)
+        assert time.time() - began < 5
