@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keelson.session import shipped
 
+#: Bytes below which a table is left as it is, however few its splits are.
+SMALL = 1 << 18
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     shipped(spark)
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return spread(spark.read.parquet(f"{directory}/{name}.parquet"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """scan over all cores where its files give fewer splits than there are cores; a table of many splits is not shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    run = scan._jdf.queryExecution()
+    if int(str(run.optimizedPlan().stats().sizeInBytes())) < SMALL or run.toRdd().getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
