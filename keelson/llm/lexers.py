@@ -145,10 +145,10 @@ def summary(tokens: list[tuple[str, str]]) -> tuple[str, str, bool]:
     return "".join(closing), "".join(opened), False
 
 
-def chunk_map(lang: str, text: str) -> dict[str, list]:
-    """entry state to [exit state, closing, opening, mismatched]."""
+def chunk_map(lang: str, text: str, entries: tuple[str, ...] | None = None) -> dict[str, list]:
+    """entry state, each of the language or of entries, to [exit state, closing, opening, mismatched]."""
     out = {}
-    for state in STATES[lang]:
+    for state in entries or STATES[lang]:
         tokens, left = lex(lang, text, state)
         out[state] = [left, *summary(tokens)]
     return out

@@ -1,15 +1,17 @@
 """Source files that don't parse, and their rates for each target and language.
 
-A file longer than a chunk is cut at line starts into chunks, each a row of its own. A chunk gives its lexer-state map with bracket
-summaries; the maps of a file are composed associatively. That already rejects a file that ends within a comment or string or, where
-no preprocessor chooses between branches, has unbalanced brackets. From the composed maps each chunk learns the state it begins in and
-is lexed on its own, and the file's token stream is checked by the local grammars. Python and JSON are read by the interpreter's parsers.
+A file of C, C++, Java or Go is cut at line starts into chunks. A chunk is represented by its lexer-state map, what it does to each state
+it may be entered in, with bracket summaries. Maps compose associatively. A file's composed map rejects it if it ends within a comment or
+string or, where no preprocessor chooses between branches, has unbalanced brackets; what is balanced is parsed by the local grammars.
+
+A file of one chunk is decided where it is read: it is entered in code, so its map is that of code alone. The chunks of other files are
+rows of their own. Their maps are reduced in blocks of FAN, then the blocks; each chunk learns the state it begins in, is lexed on its
+own from there, and the file's token stream goes to the grammars. Python and JSON are read by the interpreter's parsers.
 """
 
 from __future__ import annotations
 
 import json
-
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from keelson.llm import grammars, lexers
 
-#: Bytes above which a file of C, C++, Java or Go is cut into chunks of about that size.
-CHUNK = 1 << 18
+#: Bytes of a chunk, which goes on to the end of its line.
+CHUNK = 1 << 12
+#: Chunks whose maps are composed in one step; with two levels a file has up to FAN * FAN chunks.
+FAN = 512
 
 
 def language(path: Column) -> Column:
@@ -56,20 +60,10 @@ def verdicts(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     A null content is an empty file. A null path has no language and so no row.
     """
     rows = files.select("file_id", "target_id", language(F.col("path")).alias("lang"), F.coalesce("content", F.lit(b"")).alias("content")).filter("lang IS NOT NULL")
-    kinds = dict(rows.dtypes)
-    big = (F.length("content") > chunk) & ~F.col("lang").isin("python", "json")
-    schema = f"file_id {kinds['file_id']}, target_id string, lang string, rejected boolean"
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _deep()
-        for pdf in batches:
-            bad = [not grammars.accepts(lang, bytes(c)) for lang, c in zip(pdf["lang"], pdf["content"])]
-            yield pd.DataFrame({"file_id": pdf["file_id"], "target_id": pdf["target_id"], "lang": pdf["lang"], "rejected": pd.Series(bad, dtype=bool, index=pdf.index)})
-
-    small = rows.filter(~big).mapInPandas(whole, schema)
-    if rows.filter(big).isEmpty():  # one scan, and no branch over nothing
-        return small
-    return small.unionByName(_in_chunks(rows.filter(big), chunk, schema, kinds["file_id"], whole))
+    kind = dict(rows.dtypes)["file_id"]
+    schema = f"file_id {kind}, target_id string, lang string, rejected boolean"
+    parts = (F.length("content") > chunk) & ~F.col("lang").isin("python", "json")
+    return rows.filter(~parts).mapInPandas(_one_chunk, schema).unionByName(_in_chunks(rows.filter(parts), chunk, schema, kind))
 
 
 def _deep() -> None:
@@ -78,49 +72,76 @@ def _deep() -> None:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 4000))
 
 
-def _in_chunks(rows: DataFrame, chunk: int, schema: str, kind: str, whole) -> DataFrame:
+def decided(lang: str, left: str | None, closing: str, opening: str, wrong: bool) -> str:
+    """What a file's composed map, entered in code, says: reject, parse, or unknown if a raw string goes over a chunk's end."""
+    if left is None:
+        return "unknown"
+    return "reject" if left != "code" or (lang in ("java", "go") and (wrong or closing or opening)) else "parse"
+
+
+def _rejects(lang: str, content: bytes) -> bool:
+    """Whether a file of one chunk is rejected: by its map of the state code, else by the grammar."""
+    if lang in ("python", "json"):
+        return not grammars.accepts(lang, content)
+    text = grammars.decoded(lang, content)
+    if text is None:
+        return True
+    tokens, left = lexers.lex(lang, text)
+    return decided(lang, left, *lexers.summary(tokens)) == "reject" or not grammars.accepts_tokens(lang, tokens)
+
+
+def _one_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    _deep()
+    for pdf in batches:
+        bad = [_rejects(lang, bytes(c)) for lang, c in zip(pdf["lang"], pdf["content"])]
+        yield pd.DataFrame({"file_id": pdf["file_id"], "target_id": pdf["target_id"], "lang": pdf["lang"], "rejected": pd.Series(bad, dtype=bool, index=pdf.index)})
+
+
+def _in_chunks(rows: DataFrame, chunk: int, schema: str, kind: str) -> DataFrame:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for f, t, lang, c in zip(pdf["file_id"], pdf["target_id"], pdf["lang"], pdf["content"]):
-                parts = cut(bytes(c), chunk)
-                yield pd.DataFrame({"file_id": f, "target_id": t, "lang": lang, "part": range(len(parts)), "content": parts})
+            out = [(f, t, lang, i, c) for f, t, lang, content in zip(pdf["file_id"], pdf["target_id"], pdf["lang"], pdf["content"]) for i, c in enumerate(cut(bytes(content), chunk))]
+            yield pd.DataFrame(out, columns=["file_id", "target_id", "lang", "part", "content"])
 
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [grammars.decoded(lang, c) if p == 0 else _decoded_rest(lang, c) for lang, c, p in zip(pdf["lang"], map(bytes, pdf["content"]), pdf["part"])]
-            pdf["map"] = ["null" if t is None else json.dumps(lexers.chunk_map(lang, t)) for lang, t in zip(pdf["lang"], texts)]
-            yield pdf
+            out = []
+            for lang, c, p in zip(pdf["lang"], pdf["content"], pdf["part"]):
+                text = grammars.decoded(lang, bytes(c)) if p == 0 else _decoded_rest(lang, bytes(c))
+                out.append("null" if text is None else json.dumps(lexers.chunk_map(lang, text, ("code",) if p == 0 else None)))
+            yield pd.DataFrame({"file_id": pdf["file_id"], "lang": pdf["lang"], "part": pdf["part"], "map": pd.Series(out, dtype=object)})
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [json.dumps(None if "null" in [m["map"] for m in ms] else reduce(lexers.compose, [json.loads(m["map"]) for m in ms])) for ms in pdf["maps"]]
+            yield pd.DataFrame({"file_id": pdf["file_id"], "lang": pdf["lang"], "part": pdf["block"], "map": pd.Series(out, dtype=object)})
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each file: what is known without parsing, and the state each chunk begins in."""
+    def outcome(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each file what its map says, and the state each of its blocks begins in."""
         for pdf in batches:
             known, states = [], []
-            for lang, own in zip(pdf["lang"], pdf["maps"]):
-                own = [json.loads(m) for m in own]
-                if any(m is None for m in own):
+            for lang, ms in zip(pdf["lang"], pdf["maps"]):
+                own = [json.loads(m["map"]) for m in ms]
+                if None in own:
                     known.append("reject")
                     states.append([])
                     continue
-                left, closing, opening, wrong = reduce(lexers.compose, own)["code"]
-                at: list[str | None] = ["code"]
-                for m in own[:-1]:
-                    at.append(m[at[-1]][0] if at[-1] in m else None)
-                if left is None or any(a is None or a not in m for a, m in zip(at, own)):
-                    known.append("whole")  # a raw string of C++ goes over a chunk's end
-                elif left != "code" or (lang in ("java", "go") and (wrong or closing or opening)):
-                    known.append("reject")
-                else:
-                    known.append("parse")
-                states.append(at)
+                known.append(decided(lang, *reduce(lexers.compose, own)["code"]))
+                states.append(_entries(own, "code"))
             yield pd.DataFrame({"file_id": pdf["file_id"], "known": known, "states": states})
 
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(f, m["part"], s) for f, ms, start in zip(pdf["file_id"], pdf["maps"], pdf["start"]) for m, s in zip(ms, _entries([json.loads(m["map"]) for m in ms], start))]
+            yield pd.DataFrame(out, columns=["file_id", "part", "state"])
+
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for lang, c, p, s in zip(pdf["lang"], map(bytes, pdf["content"]), pdf["part"], pdf["states"]):
-                text = grammars.decoded(lang, c) if p == 0 else _decoded_rest(lang, c)
-                out.append(json.dumps(lexers.lex(lang, text, s[p])[0]))
-            yield pd.DataFrame({"file_id": pdf["file_id"], "target_id": pdf["target_id"], "lang": pdf["lang"], "part": pdf["part"], "tokens": out})
+            for lang, c, p, s in zip(pdf["lang"], pdf["content"], pdf["part"], pdf["state"]):
+                text = grammars.decoded(lang, bytes(c)) if p == 0 else _decoded_rest(lang, bytes(c))
+                out.append(json.dumps(lexers.lex(lang, text, s)[0]))
+            yield pd.DataFrame({"file_id": pdf["file_id"], "target_id": pdf["target_id"], "lang": pdf["lang"], "part": pdf["part"], "tokens": pd.Series(out, dtype=object)})
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _deep()
@@ -128,18 +149,28 @@ def _in_chunks(rows: DataFrame, chunk: int, schema: str, kind: str, whole) -> Da
             bad = [not grammars.accepts_tokens(lang, [(k, t) for p in parts for k, t in json.loads(p)]) for lang, parts in zip(pdf["lang"], pdf["parts"])]
             yield pd.DataFrame({"file_id": pdf["file_id"], "target_id": pdf["target_id"], "lang": pdf["lang"], "rejected": pd.Series(bad, dtype=bool, index=pdf.index)})
 
-    base = f"file_id {kind}, target_id string, lang string, part int, content binary"
-    chunks = rows.mapInPandas(split, base).repartition("file_id", "part")
-    mapped = chunks.mapInPandas(maps, f"{base}, map string")
-    gathered = mapped.groupBy("file_id", "lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "map"))), lambda x: x["map"]).alias("maps"))
-    known = gathered.mapInPandas(entries, f"file_id {kind}, known string, states array<string>")
-    placed = chunks.join(known, "file_id")
-    lexed = placed.filter("known = 'parse'").select("file_id", "target_id", "lang", "part", "content", "states").mapInPandas(tokens, f"file_id {kind}, target_id string, lang string, part int, tokens string")
+    chunks = rows.mapInPandas(split, f"file_id {kind}, target_id string, lang string, part int, content binary").repartition("file_id", "part")
+    of = F.array_sort(F.collect_list(F.struct("part", "map"))).alias("maps")
+    blocks = chunks.mapInPandas(maps, f"file_id {kind}, lang string, part int, map string").groupBy("file_id", "lang", F.expr(f"part DIV {FAN}").cast("int").alias("block")).agg(of)
+    tops = blocks.mapInPandas(total, f"file_id {kind}, lang string, part int, map string").groupBy("file_id", "lang").agg(of)
+    known = tops.mapInPandas(outcome, f"file_id {kind}, known string, states array<string>")
+    started = blocks.join(known.filter("known = 'parse'").select("file_id", F.posexplode("states").alias("block", "start")), ["file_id", "block"])
+    placed = chunks.join(started.select("file_id", "start", "maps").mapInPandas(entries, f"file_id {kind}, part int, state string"), ["file_id", "part"])
+    lexed = placed.mapInPandas(tokens, f"file_id {kind}, target_id string, lang string, part int, tokens string")
     streams = lexed.groupBy("file_id", "target_id", "lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "tokens"))), lambda x: x["tokens"]).alias("parts"))
-    parsed = streams.mapInPandas(parse, schema)
-    rejected = placed.filter("known = 'reject' AND part = 0").select("file_id", "target_id", "lang", F.lit(True).alias("rejected"))
-    rest = rows.join(known.filter("known = 'whole'").select("file_id"), "file_id", "left_semi").mapInPandas(whole, schema)
-    return parsed.unionByName(rejected).unionByName(rest)
+    heads = chunks.filter("part = 0").select("file_id", "target_id", "lang").join(known.filter("known = 'reject'").select("file_id"), "file_id", "left_semi")
+    rest = rows.join(known.filter("known = 'unknown'").select("file_id"), "file_id", "left_semi").mapInPandas(_one_chunk, schema)
+    return streams.mapInPandas(parse, schema).unionByName(heads.select("file_id", "target_id", "lang", F.lit(True).alias("rejected"))).unionByName(rest)
+
+
+def _entries(maps: list[dict], start: str) -> list[str | None]:
+    """The state that each of neighbouring chunks is entered in."""
+    out: list[str | None] = []
+    state: str | None = start
+    for m in maps:
+        out.append(state)
+        state = m[state][0] if state in m else None
+    return out
 
 
 def _decoded_rest(lang: str, content: bytes) -> str | None:
