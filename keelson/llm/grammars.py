@@ -452,8 +452,7 @@ class C(Reader):
                 if self.tok == "(":
                     self.balanced()
                 continue
-            if self.tok == "i" and self.ahead() in ("{", ";", "=", "i", "const"):  # override, final
-                self.i += 1
+            if self.take("override"):
                 continue
             if self.take("->"):
                 self.type_name()
@@ -477,6 +476,7 @@ class C(Reader):
             count += 1
             if not (bits and self.tok == ":"):
                 function = self.declarator()
+                self.attributes()
             if bits and self.take(":"):
                 self.conditional()
                 function = False
@@ -530,6 +530,13 @@ class C(Reader):
     def expression(self) -> None:
         self.assignment()
         while self.take(","):
+            if self.cpp and self.tok == "...":  # a fold over commas
+                self.i += 1
+                if self.take(","):
+                    self.unary()
+                if self.tok != ")":
+                    raise Bad
+                return
             self.assignment()
 
     def assignment(self) -> None:
@@ -568,8 +575,13 @@ class C(Reader):
             own = _BINARY.get(op, 0)
             if own < level or (angle and op in (">", ">>")) or (not self.cpp and op in (".*", "->*", "<=>")) or self.i >= self.n:
                 return unary
-            if self.cpp and self.ahead() == "...":  # a fold
+            if self.cpp and self.ahead() == "...":  # a fold, which goes on behind the dots or ends with its bracket
                 self.i += 2
+                if self.tok in _BINARY:
+                    self.i += 1
+                    self.unary()
+                if self.tok != ")":
+                    raise Bad
                 return False
             self.i += 1
             self.binary(own + 1, angle)
@@ -692,7 +704,7 @@ class C(Reader):
                 self.block()
             elif self.cpp and self.tok == "...":
                 self.i += 1
-                if self.tok not in _BINARY:
+                if self.tok not in _BINARY and self.tok != ",":
                     raise Bad
                 self.i += 1
                 self.unary()
@@ -1004,8 +1016,11 @@ class C(Reader):
             if t == "namespace":
                 self.i += 1
                 self.attributes()
-                if self.tok == "i":
-                    self.name()
+                if self.take("i"):
+                    while self.take("::"):
+                        self.take("inline")
+                        self.need("i")
+                    self.attributes()
                     if self.take("="):
                         self.name()
                         return self.need(";")
@@ -1348,17 +1363,58 @@ def _pasted(tokens: list[tuple[str, str]]) -> list[tuple[str, str]]:
 def _classes(tokens: list[tuple[str, str]], words: set[str]) -> list[str]:
     """The class of each token; a token that fits nothing makes the file bad."""
     out = [t if kind == "o" or (kind == "i" and t in words) else _CLASS[kind] for kind, t in tokens]
-    if "" in out:
+    if "" in out or any(kind == "n" and t[0] == "0" and _NOT_OCTAL(t) for kind, t in tokens):
         raise Bad
     return out
 
 
+#: A whole number with a leading 0 and a digit that octal numbers don't have.
+_NOT_OCTAL = re.compile(r"0[\d_']*[89][\d_']*[uUlLzZ]*$").match
+
+
 _CLASS = {"i": "i", "n": "0", "s": "s", "h": "c", "x": "", "d": "", "l": ""}
 
 
 def _c_family(lang: str, tokens: list[tuple[str, str]]) -> None:
-    words = _C_WORDS | (_CPP_ONLY if lang == "cpp" else set())
-    (Cpp if lang == "cpp" else C)(_classes(preprocessed(lang, tokens), words)).unit()
+    left = preprocessed(lang, tokens)
+    if lang == "c":
+        return C(_classes(left, _C_WORDS)).unit()
+    left = _contextual(left)
+    Cpp(_classes(left, _C_WORDS | _CPP_ONLY | {"override"})).unit()
+
+
+#: What may stand before override and final behind a function's parameters, and after them.
+_BEFORE_OVERRIDE, _AFTER_OVERRIDE = set(") const volatile noexcept & && > override final".split()), set("{ ; = override final".split())
+
+
+def _contextual(tokens: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Tokens of C++ without what modules add, and with override and final as one word where they are specifiers, else as names.
+
+    Lines of modules stand where a declaration begins. A group of exported declarations is read like a namespace.
+    """
+    words = {t for kind, t in tokens if kind == "i"}
+    if not words & {"override", "final", "module", "import", "export"}:
+        return tokens
+    out: list[tuple[str, str]] = []
+    i, n = 0, len(tokens)
+    text = lambda k: tokens[k][1] if k < n else ""
+    while i < n:
+        kind, t = tokens[i]
+        begins = not out or out[-1][1] in (";", "{", "}")
+        if kind == "i" and t in ("override", "final"):
+            special = out and out[-1][1] in _BEFORE_OVERRIDE and text(i + 1) in _AFTER_OVERRIDE
+            out.append(("i", "override" if special else f"{t}_"))
+        elif kind == "i" and begins and t == "export" and text(i + 1) == "{":
+            out.append(("i", "namespace"))
+        elif kind == "i" and begins and t == "export":
+            pass
+        elif kind == "i" and begins and ((t == "module" and (text(i + 1) in (";", ":") or tokens[i + 1][0] == "i")) or (t == "import" and i + 1 < n and (tokens[i + 1][0] in "is" or text(i + 1) in "<:"))):
+            while i < n and text(i) != ";":
+                i += 1
+        else:
+            out.append((kind, t))
+        i += 1
+    return out
 
 
 # ---------------------------------------------------------------- Java
@@ -1414,6 +1470,45 @@ class Java(Reader):
             if not self.type_declaration():
                 raise Bad
 
+    def module(self, tokens: list[tuple[str, str]]) -> None:
+        """A file that declares a module: imports, annotations, and directives, whose words mean something here alone."""
+        at = next(k for k, (_, t) in enumerate(tokens) if t == "module")
+        while self.i < at:
+            if self.take("import"):
+                self.take("static")
+                self.qualified()
+                if self.take("."):
+                    self.need("*")
+                self.need(";")
+            elif self.tok == "@":
+                self.annotation()
+            elif not self.take(";"):
+                if self.i != at - 1 or tokens[self.i][1] != "open":
+                    raise Bad
+                self.i += 1
+        self.i = at + 1
+        self.qualified()
+        self.need("{")
+        while not self.take("}"):
+            word = tokens[self.i][1] if self.i < self.n else ""
+            if word not in ("requires", "exports", "opens", "uses", "provides"):
+                raise Bad
+            self.i += 1
+            if word == "requires":
+                while self.tok == "static" or (self.i < self.n and tokens[self.i][1] == "transitive" and self.ahead() == "i"):
+                    self.i += 1
+            self.qualified()
+            joint = {"exports": "to", "opens": "to", "provides": "with"}.get(word)
+            if joint and self.i < self.n and tokens[self.i][1] == joint:
+                self.i += 1
+                self.qualified()
+                while self.take(","):
+                    self.qualified()
+            elif word == "provides":
+                raise Bad
+            self.need(";")
+        self.done()
+
     def annotation(self) -> None:
         self.need("@")
         self.qualified()
@@ -2181,7 +2276,13 @@ class Java(Reader):
 
 
 def _java(tokens: list[tuple[str, str]]) -> None:
-    Java(_classes(tokens, _JAVA_WORDS | _JAVA_SOFT)).unit()
+    reader = Java(_classes(tokens, _JAVA_WORDS | _JAVA_SOFT))
+    words = [t for _, t in tokens]
+    if "module" in words:
+        at = words.index("module")
+        if tokens[at][0] == "i" and tokens[at + 1 : at + 2] and tokens[at + 1][0] == "i" and not {"class", "interface", "enum", "record"} & set(words[:at]) and "(" not in words[at : at + 3]:
+            return reader.module(tokens)
+    reader.unit()
 
 
 # ---------------------------------------------------------------- Go
@@ -2762,7 +2863,7 @@ def _go(tokens: list[tuple[str, str]]) -> None:
             last = t
         elif kind == "i":
             last = t if t in _GO_WORDS else "i"
-        elif kind == "x":
+        elif kind == "x" or (kind == "n" and t[0] == "0" and _NOT_OCTAL(t)):
             raise Bad
         else:
             last = _CLASS[kind]

@@ -158,6 +158,45 @@ BAD = {
 }
 
 
+LATER_GOOD = [
+    ('cpp', 'template<class... T> void f(T... ts) { (g(ts), ...); }'),
+    ('cpp', 'template<class... T> auto s(T... t) { return (t + ...); }'),
+    ('cpp', 'template<class... T> bool a(T... t) { return (... && t); }'),
+    ('cpp', 'template<class... T> int b(T... t) { return (0 + ... + t); }'),
+    ('cpp', 'namespace a::b::inline c { int x; }'),
+    ('cpp', 'export module m;\nexport int f();'),
+    ('cpp', 'module;\n#include <x>\nexport module m.n;\nimport std;\nimport <vector>;\nexport { int g(); }\nexport namespace q { int z; }'),
+    ('java', 'module a.b { requires transitive c.d; exports x.y to z; opens p.q; uses r.S; provides r.S with t.U; }'),
+    ('java', 'import a.B;\n@Deprecated open module a { }'),
+    ('c', 'int f(void) __attribute__((noreturn));'),
+    ('c', 'void f(void) __asm__("g");'),
+    ('cpp', 'void f() __attribute__((noreturn));'),
+    ('c', 'int f(int a) __attribute__((unused)), g(void);'),
+    ('c', 'extern int x __asm__("y") __attribute__((weak));'),
+    ('c', 'int x __attribute__((aligned(8)));'),
+    ('cpp', 'struct A { int f() const noexcept override final; void g() && = delete; auto h() -> int; };'),
+    ('cpp', 'void A::f() const & noexcept {}'),
+    ('java', 'class A { int a = 0, b = 00, c = 07, d = 0x8, e = 0L; double f = 09.5, g = 08e1, h = 09f; }'),
+    ('c', 'int x = 07; double y = 08.5;'),
+    ('c', 'static inline __attribute__((always_inline)) int f(int a) { return a; }'),
+    ('cpp', 'int f() try { return 1; } catch (...) { return 0; }'),
+    ('cpp', 'class A final : public B { void f() override; void g() const final { } int final = 0; };'),
+]
+LATER_BAD = [
+    ('java', 'class A { int x = 08; }'),
+    ('c', 'int x = 08;'),
+    ('cpp', 'int x = 09u;'),
+    ('cpp', 'void f() const const2 { }'),
+    ('cpp', 'void A::f() const const2 { }'),
+    ('cpp', 'struct A { void f() const const2 { } };'),
+    ('go', 'package a\nvar x = 08\n'),
+    ('cpp', 'struct A { void f() const const2; };'),
+    ('cpp', 'int f() { return (g(a), ... b); }'),
+    ('java', 'module a { exports; }'),
+    ('java', 'module a { uses b }'),
+]
+
+
 @pytest.mark.parametrize("lang", sorted(GOOD))
 def test_grammars(lang):
     for s in GOOD[lang]:
@@ -166,6 +205,13 @@ def test_grammars(lang):
         assert not grammars.accepts(lang, s.encode("latin-1")), s
 
 
+def test_grammars_of_later_standards():
+    for lang, t in LATER_GOOD:
+        assert grammars.accepts(lang, t.encode()), t
+    for lang, t in LATER_BAD:
+        assert not grammars.accepts(lang, t.encode()), t
+
+
 def test_files(spark):
     suffix = {"c": ".C", "cpp": ".hh", "java": ".java", "go": ".go", "python": ".PY", "json": ".json"}
     rows, want, i = [], set(), 0
