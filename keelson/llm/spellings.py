@@ -1,13 +1,16 @@
 """Free-entered values mapped to a canonical list, by a pigeonhole join in SQL.
 
 The reference strings are spellings of the entries: each combination of family word, size, mode and curve that an entry of the
-list has, fully or in part, in each usual order. A value is cleaned to the same form: look-alike letters, case, separators, notes
-around the name and filling words go. Values are matched once each, however many rows hold them.
+list has, fully or in part, in each usual order. A value is cleaned to the same form: look-alike letters, case, separators and words of
+interfaces go. Values are matched once each, however many rows hold them.
 
 Join: a reference string of length n is cut into K + 1 segments. If a value is within K edits, one segment occurs in it unchanged
 and shifted by at most K. So the segments, with n and the digits, are equality keys for the value's substrings at those positions.
-Candidates are verified by the built-in levenshtein: one edit, or a swap of neighbours. Digits must agree, for another number is
-another algorithm. Values that no reference string takes are found by an anti-join.
+Candidates are verified by the built-in levenshtein. Digits must agree, for another number is another algorithm.
+
+A value that no reference string is near to as a whole is matched by windows of its tokens, whatever the words around them are: all
+tokens that have a digit or are a reference string themselves must be in the window, and what is left out must not be joined to it by a
+hyphen or the like, for that would be a part of the name. Values that have no window either are found by an anti-join.
 """
 
 from __future__ import annotations
@@ -17,8 +20,12 @@ from pyspark.sql import functions as F
 
 from keelson.session import materialised
 
-#: Edits that the join finds; a swap of neighbouring letters is two.
+#: Edits within which a spelling is near, K if it has 4 * K letters or more, else as many fewer; a swap of neighbours is one edit here.
 K = 2
+#: Tokens of a window at most; no reference string has more.
+WINDOW = 8
+#: Letters that a window with edits must have; shorter ones must be right.
+LEAST = 5
 #: Parts of one value in the join back to the rows, so that a value which many rows hold is spread over tasks.
 SALT = 16
 
@@ -35,14 +42,12 @@ FAMILY_WORDS = {
     "3des": ("tdes", "desede3", "3tdea", "des3"), "dh": ("dhe", "edh"), "ecdh": ("ecdhe", "ellipticcurvediffiehellman"), "slhdsa": ("sphincs",), "chacha20poly1305": ("chachapoly", "chachapoly1305", "chacha20poly"),
     "chacha20": ("chacha",), "md5": ("messagedigest5",), "sha1": ("securehashalgorithm1",), "rc4": ("rivestcipher4",), "rsa": ("rivestshamiradleman",),
 }
-#: Words that say nothing about the algorithm.
+#: Words of interfaces and of the trade that are joined to names and say nothing about the algorithm.
 FILLERS = (
-    "a an the our your my their this that uses use used using still on in at of for by to from with without and or is was be via it its "
-    "mostly legacy old new current prod production test staging dev says said say team algo algorithm alg name type value owner unsure sure see ticket "
-    "replace replaced confirmed verified checked transit rest encryption encrypted encrypt decryption key keys keyed bit bits byte bytes size length len modulus mode modes "
+    "a an the our your my their this that of for by to in with and or algo algorithm alg name type value encryption encrypted encrypt decryption key keys keyed bit bits byte bytes size length len modulus mode modes "
     "curve curves cipher ciphers digest hash hashing function signature signatures sign signing agreement exchange evp crypto cryptography messagedigest message "
     "openssl mbedtls libsodium wolfssl bouncycastle jca jce java go id oid nid nist fips nopadding padding pkcs5padding pkcs7padding pkcs1padding pkcs1 generate gen getinstance get new init "
-    "aead stream block suite standard std approx probably maybe likely default stock plain single crystals group groups pair keypair keypairs public private"
+    "aead stream block suite standard std crystals group groups pair keypair keypairs public private"
 ).split()
 #: Phrases, and what they are short for.
 PHRASES = (
@@ -61,13 +66,20 @@ def _text(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}") + "'"
 
 
-def _bare(x: str) -> str:
-    """The expression for a cleaned value."""
+def _plain(x: str) -> str:
+    """The expression for a value in lower case, without look-alikes and with phrases short."""
     e = f"lower(translate(translate({x}, {_text(_WIDE[0])}, {_text(_WIDE[1])}), {_text(LOOK_ALIKE[0])}, {_text(LOOK_ALIKE[1])}))"
     for pattern, to in PHRASES:
         e = f"regexp_replace({e}, {_text(pattern)}, {_text(to)})"
-    fillers = ", ".join(map(_text, FILLERS))
-    return f"array_join(filter(split({e}, '[^a-z0-9]+'), t -> t <> '' AND NOT array_contains(array({fillers}), t)), '')"
+    return e
+
+
+_FILLERS = f"array({', '.join(map(_text, FILLERS))})"
+
+
+def _bare(x: str) -> str:
+    """The expression for a cleaned value."""
+    return f"array_join(filter(split({_plain(x)}, '[^a-z0-9]+'), t -> t <> '' AND NOT array_contains({_FILLERS}, t)), '')"
 
 
 def _real(x: str) -> str:
@@ -135,7 +147,7 @@ def reference_strings(spark: SparkSession, algorithms: DataFrame, aliases: DataF
 def match_values(spark: SparkSession, values: DataFrame, references: DataFrame) -> DataFrame:
     """kind, bare, spelling, distance: each distinct (kind, bare) of values with the reference strings nearest to it.
 
-    distance is 0 for the same string, 1 for an edit or a swap. Values without a near string have no row.
+    distance is the number of edits, of which a swap of neighbours is one. Values without a near string have no row.
     """
     segments = spark.sql(
         f"""
@@ -151,16 +163,16 @@ def match_values(spark: SparkSession, values: DataFrame, references: DataFrame)
           SELECT DISTINCT kind, bare, n, i, substr(bare, start, len) AS segment, digits FROM (
             SELECT kind, bare, n, i, digits, 1 + i * n DIV {K + 1} + shift AS start, (i + 1) * n DIV {K + 1} - i * n DIV {K + 1} AS len
             FROM (SELECT DISTINCT kind, bare, regexp_replace(bare, '[^0-9]', '') AS digits FROM {{values}} WHERE bare <> '')
-            LATERAL VIEW explode(sequence(greatest(1, length(bare) - {K - 1}), length(bare) + {K - 1})) a AS n
+            LATERAL VIEW explode(sequence(greatest(1, length(bare) - {K}), length(bare) + {K})) a AS n
             LATERAL VIEW explode(sequence(0, {K})) b AS i LATERAL VIEW explode(sequence(-{K}, {K})) c AS shift)
           WHERE start >= 1 AND start + len - 1 <= length(bare)),
         candidate AS (
           SELECT DISTINCT p.kind, p.bare, s.spelling FROM probe p JOIN {{segments}} s ON p.kind = s.kind AND p.n = s.n AND p.i = s.i AND p.segment = s.segment AND p.digits = s.digits),
         verified AS (
           SELECT kind, bare, spelling, levenshtein(bare, spelling) AS edits FROM candidate WHERE levenshtein(bare, spelling, {K}) >= 0),
-        near AS (
-          SELECT kind, bare, spelling, least(edits, 1) AS distance FROM verified
-          WHERE edits <= 1 OR length(bare) = length(spelling) AND exists(sequence(1, length(bare) - 1), j -> concat(left(bare, j - 1), substr(bare, j + 1, 1), substr(bare, j, 1), substr(bare, j + 2)) = spelling))
+        swapped AS (
+          SELECT kind, bare, spelling, IF(edits = 2 AND length(bare) = length(spelling) AND exists(sequence(1, length(bare) - 1), j -> concat(left(bare, j - 1), substr(bare, j + 1, 1), substr(bare, j, 1), substr(bare, j + 2)) = spelling), 1, edits) AS distance FROM verified),
+        near AS (SELECT * FROM swapped WHERE distance <= 1 OR length(spelling) >= 4 * distance)
         SELECT kind, bare, spelling, distance FROM (SELECT *, min(distance) OVER (PARTITION BY kind, bare) AS least FROM near) WHERE distance = least
         """,
         values=values,
@@ -168,6 +180,51 @@ def match_values(spark: SparkSession, values: DataFrame, references: DataFrame)
     )
 
 
+def windows(spark: SparkSession, values: DataFrame, references: DataFrame) -> DataFrame:
+    """id, bare, coded of the best window of each of values (id, kind, plain): of those within an edit the longest, else the longest within K.
+
+    coded: a word without vowels, as modes are, is left out. A value without a window has no row.
+    """
+    tokens = spark.sql(
+        f"""
+        WITH token AS (
+          SELECT id, kind, pos, regexp_extract(piece, '^[a-z0-9]+', 0) AS t, piece RLIKE '[a-z0-9][-_/.]$' AS joined
+          FROM {{values}} LATERAL VIEW posexplode(regexp_extract_all(plain, '([a-z0-9]+[^a-z0-9]*)', 1)) x AS pos, piece),
+        known AS (SELECT DISTINCT kind, spelling FROM {{references}} UNION SELECT DISTINCT 'algorithm', mode FROM {{references}} WHERE mode IS NOT NULL UNION SELECT DISTINCT 'algorithm', spelling FROM {{references}} WHERE kind = 'curve'),
+        marked AS (
+          SELECT id, t.kind, pos, t, joined, array_contains({_FILLERS}, t) AS filler, t RLIKE '[0-9]' OR k.spelling IS NOT NULL AS hard, t RLIKE '^[b-df-hj-np-tv-xz]{{{{2,4}}}}$' AND k.spelling IS NULL AS code
+          FROM token t LEFT JOIN known k ON t.kind = k.kind AND t.t = k.spelling)
+        SELECT id, kind, ts, size(ts) AS n, array_min(transform(filter(ts, x -> x.hard AND NOT x.filler), x -> x.pos)) AS lo, array_max(transform(filter(ts, x -> x.hard AND NOT x.filler), x -> x.pos)) AS hi, size(filter(ts, x -> x.code)) AS codes
+        FROM (SELECT id, kind, array_sort(collect_list(struct(pos, t, joined, filler, hard, code))) AS ts FROM marked GROUP BY id, kind)
+        """,
+        values=values,
+        references=references,
+    )
+    tried = spark.sql(
+        f"""
+        WITH span AS (
+          SELECT * FROM (
+            SELECT id, kind, ts, codes, i, j FROM {{tokens}} LATERAL VIEW explode(sequence(greatest(0, coalesce(hi - {WINDOW - 1}, 0)), coalesce(lo, n - 1))) a AS i
+              LATERAL VIEW explode(sequence(greatest(i, coalesce(hi, i)), least(i + {WINDOW - 1}, n - 1))) b AS j WHERE hi - lo < {WINDOW} OR lo IS NULL)
+          WHERE NOT ts[i].filler AND NOT ts[j].filler AND (i = 0 OR NOT ts[i - 1].joined OR ts[i - 1].filler) AND (j = size(ts) - 1 OR NOT ts[j].joined OR ts[j + 1].filler)),
+        word AS (SELECT id, kind, i, codes, filter(slice(ts, i + 1, j - i + 1), x -> NOT x.filler) AS w FROM span),
+        form AS (
+          SELECT id, kind, i, codes, explode(array_distinct(array(w, filter(w, (x, k) -> x.hard OR x.joined OR (k > 0 AND w[k - 1].joined))))) AS w FROM word)
+        SELECT id, kind, i, array_join(transform(w, x -> x.t), '') AS bare, codes > size(filter(w, x -> x.code)) AS coded FROM form WHERE size(w) > 0
+        """,
+        tokens=tokens,
+    )
+    tried = materialised(tried)
+    return spark.sql(
+        f"""
+        SELECT id, min_by(bare, o) AS bare, min_by(coded, o) AS coded FROM (
+          SELECT t.id, t.bare, t.coded, struct(n.distance > 1, -length(t.bare), n.distance, t.i) AS o FROM {{tried}} t JOIN {{near}} n ON t.kind = n.kind AND t.bare = n.bare WHERE n.distance = 0 OR length(t.bare) >= {LEAST}) GROUP BY id
+        """,
+        tried=tried,
+        near=match_values(spark, tried.select("kind", "bare").distinct(), references),
+    )
+
+
 def map_values(spark: SparkSession, rows: DataFrame, algorithms: DataFrame, aliases: DataFrame) -> DataFrame:
     """The distinct (kind, value, key_size, mode, curve, primitive) of rows with entry_id and distance; -1 where none is meant.
 
@@ -185,7 +242,13 @@ def map_values(spark: SparkSession, rows: DataFrame, algorithms: DataFrame, alia
     )
     combos = materialised(combos)  # one row for each distinct value, used three times
     wanted = spark.sql("SELECT kind, bare FROM {combos} UNION SELECT 'curve', bare_curve FROM {combos} WHERE kind = 'algorithm' AND bare_curve <> ''", combos=combos)
-    near = materialised(match_values(spark, wanted, references))
+    near = materialised(match_values(spark, wanted, references).filter("distance <= 1"))
+    missed = spark.sql(f"SELECT id, kind, {_plain('value')} AS plain FROM {{combos}} c LEFT ANTI JOIN {{near}} n ON c.kind = n.kind AND c.bare = n.bare", combos=combos, near=near)
+    found = materialised(windows(spark, missed, references))
+    combos = materialised(spark.sql("SELECT c.id, kind, value, key_size, mode, curve, primitive, coalesce(w.bare, c.bare) AS bare, bare_curve, coalesce(coded, false) AS coded FROM {combos} c LEFT JOIN {found} w ON c.id = w.id", combos=combos, found=found))
+    again = spark.sql("SELECT DISTINCT c.kind, c.bare FROM {found} w JOIN {combos} c ON w.id = c.id", combos=combos, found=found)
+    # aggregated first: of a checkpoint, a union can't carry over the constraints on columns that it no longer has
+    near = materialised(near.distinct().unionByName(match_values(spark, again, references)).distinct())
     matched = spark.sql(
         """
         WITH curves AS (
@@ -196,13 +259,13 @@ def map_values(spark: SparkSession, rows: DataFrame, algorithms: DataFrame, alia
           UNION ALL SELECT entry_id, NULL, NULL, NULL, name FROM {algorithms} WHERE entry_kind = 'curve'),
         families AS (SELECT word, count(size) > 0 AS has_size, count(mode) > 0 AS has_mode, count(curve) > 0 AS has_curve, collect_list(struct(size, mode, curve, entry_id)) AS entries FROM spec GROUP BY word),
         read AS (
-          SELECT c.id, c.primitive, c.key_size, c.mode, k.curve AS own_curve, n.distance, r.size AS r_size, r.mode AS r_mode, r.curve AS r_curve, r.primitive AS r_primitive, d.entries,
+          SELECT c.id, c.primitive, c.key_size, c.mode, c.coded AND d.has_mode AS other_mode, k.curve AS own_curve, n.distance, r.size AS r_size, r.mode AS r_mode, r.curve AS r_curve, r.primitive AS r_primitive, d.entries,
             coalesce(r.size, IF(d.has_size, nullif(c.key_size, ''), NULL)) AS f_size, coalesce(r.mode, IF(d.has_mode, c.mode, NULL)) AS f_mode, coalesce(r.curve, IF(d.has_curve AND c.kind = 'algorithm', k.curve, NULL)) AS f_curve
           FROM {combos} c JOIN {near} n ON c.kind = n.kind AND c.bare = n.bare JOIN {references} r ON r.kind = n.kind AND r.spelling = n.spelling
             JOIN families d ON r.word <=> d.word LEFT JOIN curves k ON c.bare_curve = k.bare),
         hit AS (
           SELECT *, e.entry_id, IF(e.size <=> f_size AND e.mode <=> f_mode AND e.curve <=> f_curve, 0, 1) AS less FROM read LATERAL VIEW explode(entries) x AS e
-          WHERE (e.size <=> f_size OR e.size <=> r_size) AND (e.mode <=> f_mode OR e.mode <=> r_mode) AND (e.curve <=> f_curve OR e.curve <=> r_curve))
+          WHERE NOT other_mode AND (e.size <=> f_size OR e.size <=> r_size) AND (e.mode <=> f_mode OR e.mode <=> r_mode) AND (e.curve <=> f_curve OR e.curve <=> r_curve))
         SELECT id, min(distance) AS distance,
           min_by(entry_id, struct(less, IF(primitive = r_primitive, 0, 1), IF(nullif(key_size, '') = r_size, 0, 1) + IF(mode = r_mode, 0, 1) + IF(own_curve = r_curve, 0, 1), entry_id)) AS entry_id
         FROM hit GROUP BY id

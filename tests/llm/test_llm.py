@@ -105,6 +105,24 @@ def test_spellings(spark):
     assert spellings.mapped(spark, f.limit(0), rules.limit(0), a, b).count() == 0
 
 
+WRAPPED = [
+    ("we rely on AES-256-GCM", 3), ("AES-256-GCM (per audit)", 3), ("RSA-2048 cert", 11), ("firmware uses RSA 2048", 11), ("Ed25519 host keys", 12), ("SHA256 fingerprint", 14), ("ML-KEM-768 hybrid", 15), ("ECDH over P-256", 5),
+    ("ChaCha20 vpn", 16), ("AEX-256-GCN", 3), ("AES-256-QRX", -1), ("backup AES 256 QRX", -1), ("tunnel AES 512", -1), ("RSA with SHA256", -1), ("firmware uses GCMM AES 256", 3), ("rely on Rijndael for the tunnel", 1), ("notes only", -1), ("word " * 3000 + "AES-256", 2),
+]
+
+
+def test_words_around_a_name_do_not_matter(spark):
+    a, b = listed(spark)
+    more = [(11, "algorithm", "RSA-2048", "RSA", "pke", 2048, None, None), (12, "algorithm", "EdDSA-Ed25519", "EdDSA", "signature", None, "Ed25519", None), (13, "curve", "Ed25519", None, None, None, "Ed25519", None),
+            (14, "algorithm", "SHA-256", "SHA", "hash", 256, None, None), (15, "algorithm", "ML-KEM-768", "ML-KEM", "kem", 768, None, None), (16, "algorithm", "ChaCha20", "ChaCha20", "stream-cipher", None, None, None)]
+    a = a.unionByName(spark.createDataFrame(more, a.schema))
+    b = b.unionByName(spark.createDataFrame([("ed25519", "algorithm", "EdDSA-Ed25519")], b.schema))
+    f = spark.createDataFrame([(i, "algorithm", v, {}, None) for i, (v, _) in enumerate(WRAPPED)], "seq bigint, asset_kind string, name string, parameters map<string,string>, primitive string")
+    rules = spark.createDataFrame([], "rule_id bigint, algorithm string, parameters map<string,string>")
+    got = {r["row_key"]: r["entry_id"] for r in spellings.mapped(spark, f, rules, a, b).collect()}
+    assert {WRAPPED[i][0][-30:]: e for i, e in got.items()} == {v[-30:]: e for v, e in WRAPPED}
+
+
 def test_spellings_of_rows_without_a_key(spark):
     a, b = listed(spark)
     f = spark.createDataFrame([(None, "algorithm", "aes_256_gcm", {}, None), (-1, "algorithm", "aes_256_gcm", {}, None)], "seq bigint, asset_kind string, name string, parameters map<string,string>, primitive string")
@@ -134,8 +152,9 @@ def test_pigeonhole_join_against_all_pairs(spark):
             if re.sub(r"\D", "", v) == re.sub(r"\D", "", r):
                 d = distance(v, r)
                 swap = len(v) == len(r) and any(v[: i] + v[i + 1] + v[i] + v[i + 2 :] == r for i in range(len(v) - 1))
-                if d <= 1 or swap:
-                    near.append((r, min(d, 1)))
+                d = 1 if swap and d == 2 else d
+                if d <= 1 or (d <= spellings.K and len(r) >= 4 * d):
+                    near.append((r, d))
         want |= {(v, r, d) for r, d in near if d == min(x for _, x in near)}
     assert got == want
 
