@@ -19,7 +19,11 @@ ASSET = ("run_id", "bom_ref")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return hotkeys.hot_keys(table(spark, d, "findings"), ["name", "target_id"], ASSET, "observed_at")
+    return hotkeys.hot_keys(table(spark, d, "findings"), ["name", "target_id"])
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    return hotkeys.key_counts(table(spark, d, "findings"), ["name", "target_id"])
 
 
 def p3_key_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +43,7 @@ def str_arrivals(spark: SparkSession, d: str) -> DataFrame:
     return confidence.arrivals(table(spark, d, "events"))
 
 
-QUERIES: dict[str, Query] = {"str_arrivals": str_arrivals, "p3_found": p3_found, "p3_key_totals": p3_key_totals, "p5_found": p5_found, "p5_changes": p5_changes, **inventory.QUERIES}
+QUERIES: dict[str, Query] = {"str_arrivals": str_arrivals, "p3_found": p3_found, "p3_counts": p3_counts, "p3_key_totals": p3_key_totals, "p5_found": p5_found, "p5_changes": p5_changes, **inventory.QUERIES}
 
 _KEYED = """SELECT 'name' AS field, name AS key_value, run_id, bom_ref, observed_at FROM findings WHERE name IS NOT NULL
 UNION ALL SELECT 'target_id', target_id, run_id, bom_ref, observed_at FROM findings WHERE target_id IS NOT NULL"""
@@ -63,6 +67,7 @@ _DIFFERS = " OR ".join(f"(n.{c} IS DISTINCT FROM o.{c})" for c in ("confidence",
 ORACLE: dict[str, str] = {
     **inventory.ORACLE,
     "p3_found": f"SELECT field, key_value FROM ({_KEYED}) GROUP BY ALL HAVING count(*) * 100 >= 4 * (SELECT count(*) FROM findings)",
+    "p3_counts": f"SELECT field, key_value, count(*) AS sightings FROM ({_KEYED}) GROUP BY field, key_value",
     "p3_key_totals": f"SELECT field, key_value, count(*) AS sightings, count(DISTINCT (run_id, bom_ref)) FILTER (WHERE bom_ref IS NOT NULL) AS assets, max(observed_at) AS latest FROM ({_KEYED}) GROUP BY field, key_value",
     "p5_found": f"{_SNAPSHOTS} SELECT snapshot_no, bom_ref, change_kind FROM j WHERE change_kind <> 'changed' OR {_DIFFERS}",
     "p5_changes": f"{_SNAPSHOTS} " + " UNION ALL ".join(f"SELECT snapshot_no, bom_ref, change_kind, '{c.replace('_', '-')}' AS property, o.{c} AS before_value, n.{c} AS after_value FROM j WHERE n.{c} IS DISTINCT FROM o.{c}" for c in ("confidence", "surfaces", "collectors", "quantum_status", "classical_status", "corroborated")),

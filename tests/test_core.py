@@ -83,7 +83,12 @@ def test_hot_keys(spark):
     df = spark.createDataFrame(rows, "name string, run_id string, bom_ref string, t long").withColumn("at", F.timestamp_micros("t")).withColumns({"key": F.lit("clash"), "field": F.lit(1), "p": F.lit(2)})
     got = {r["key_value"]: (r["sightings"], r["assets"], r["latest"]) for r in hotkeys.key_totals(df, ["name"], ["run_id", "bom_ref"], "at").collect()}
     assert got["hot"][:2] == (900, 7) and got["hot"][2].microsecond == 899 and got["k3"] == (1, 0, None) and len(got) == 100
-    assert [tuple(r) for r in hotkeys.hot_keys(df, ["name"], ["run_id", "bom_ref"], "at").collect()] == [("name", "hot")]
+    assert [tuple(r) for r in hotkeys.hot_keys(df, ["name"]).collect()] == [("name", "hot")]
+    for blocks in (None, 1, 500):
+        assert {tuple(r) for r in hotkeys.key_counts(df.repartition(7), ["name"], blocks).collect()} == {("name", "hot", 900), *(("name", f"k{i}", 1) for i in range(99))}
+    assert hotkeys.key_counts(df.limit(0), ["name"]).count() == 0 == hotkeys.hot_keys(df.limit(0), ["name"]).count()
+    many = spark.range(60_000).selectExpr("CAST(id % 20000 AS STRING) AS name")
+    assert hotkeys._n_blocks(many, ["name"]) >= 8 and hotkeys.key_counts(many, ["name"]).filter("sightings = 3").count() == 20_000
     assert hotkeys.key_totals(df.limit(0), ["name"], ["run_id", "bom_ref"], "at").count() == 0
 
 
