@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Code points of a chunk, and of the overlap on its left.
-CHUNK, OVERLAP = 32_768, 2_048
+#: Code points of a chunk, and of the overlap on its left. A text of one chunk has nothing to be stitched.
+CHUNK, OVERLAP = 8_192, 512
 #: Fixed value: where vocabulary files of public tokenizers are.
 FOLDER = "/opt/tokenizers"
 #: Fixed value: the pre-tokeniser's pattern that goes with the byte-level vocabularies.
