@@ -76,6 +76,41 @@ REPLACEMENTS = {
     "X25519": {"key-agree": "ML-KEM-768"}, "DH": {"key-agree": "ML-KEM-768"}, "AES": {"block-cipher": "AES-256"}, "3DES": {"block-cipher": "AES-256"}, "DES": {"block-cipher": "AES-256"}, "RC4": {"stream-cipher": "ChaCha20"},
     "Blowfish": {"block-cipher": "AES-256"}, "MD5": {"hash": "SHA-256"}, "SHA-1": {"hash": "SHA-256"},
 }
+# Of each replacement by family and role the standard, the hybrid, the alternative and the rationale.
+REPLACEMENT_DETAILS = {
+    "RSA|signature": ("FIPS 204", None, None, "Lattice signature at NIST level 3; the general-purpose replacement."),
+    "RSA|key-agree": ("FIPS 203", "X25519MLKEM768", None, "ML-KEM-768 at NIST level 3; deploy hybrid first per RFC 10024 so a lattice break does not regress security."),
+    "RSA|pke": ("FIPS 203", "X25519MLKEM768", None, "RSA key transport has no direct PQ analogue; restructure to a KEM."),
+    "ECDSA|signature": ("FIPS 204", None, "SLH-DSA-128s", "Prefer SLH-DSA for firmware and root-of-trust signing: conservative hash-based security, tiny public key, at the cost of a 7856 B signature."),
+    "EdDSA|signature": ("FIPS 204", None, "SLH-DSA-128s", None),
+    "DSA|signature": ("FIPS 204", None, None, "DSA is already deprecated classically; migrate directly to ML-DSA."),
+    "ECDH|key-agree": ("FIPS 203", "X25519MLKEM768", None, None),
+    "X25519|key-agree": ("FIPS 203", "X25519MLKEM768", None, None),
+    "DH|key-agree": ("FIPS 203", "X25519MLKEM768", None, None),
+    "AES|block-cipher": ("FIPS 197", None, None, "Grover halves the effective key length. AES-128 drops to 64-bit quantum security; AES-256 retains 128."),
+    "3DES|block-cipher": ("FIPS 197", None, None, "Already disallowed by NIST SP 800-131A Rev.2 after 2023, quantum considerations aside."),
+    "DES|block-cipher": ("FIPS 197", None, None, None),
+    "RC4|stream-cipher": (None, None, None, "RC4 is prohibited in TLS by RFC 7465."),
+    "Blowfish|block-cipher": ("FIPS 197", None, None, None),
+    "MD5|hash": ("FIPS 180-4", None, None, "Classically broken; not a quantum issue."),
+    "SHA-1|hash": ("FIPS 180-4", None, None, "Classically broken; not a quantum issue."),
+}
+# What replacements cost in time.
+LATENCY = {
+    "ML-KEM-768": "Keygen and encapsulation are faster than X25519 in most software stacks; the cost is bytes on the wire, not CPU.",
+    "ML-DSA-65": "Signing and verification are competitive with ECDSA; the cost is the 3309 B signature.",
+    "SLH-DSA-128s": "Signing is orders of magnitude slower than ECDSA. Acceptable for firmware signed once, not for per-connection use.",
+    "X25519MLKEM768": "Adds roughly 1.1 kB to the TLS ClientHello and the same to the server response, which can push the ClientHello past a single MTU.",
+}
+# Why families are unsound classically.
+CLASSICAL_NOTES = {
+    "3DES": "Disallowed by NIST SP 800-131A Rev.2 after 2023; 64-bit block invites Sweet32.",
+    "DES": "56-bit key, exhaustively searchable.",
+    "RC4": "Prohibited in TLS by RFC 7465.",
+    "Blowfish": "64-bit block, Sweet32-vulnerable.",
+    "MD5": "Practical collisions since 2004.",
+    "SHA-1": "SHAttered collision, 2017; disallowed by NIST after 2030.",
+}
 # Bytes of public key, private key, signature, ciphertext.
 SIZES = {
     "RSA-2048": (256, 1190, 256, None), "RSA-3072": (384, 1770, 384, None), "RSA-4096": (512, 2350, 512, None), "ECDSA-P256": (64, 32, 64, None), "ECDSA-P384": (96, 48, 96, None), "ECDSA-P521": (132, 66, 132, None),

@@ -67,3 +67,23 @@ def canonicalised(df: DataFrame, name: str = "name", parameters: str = "paramete
             "standard": dims.lookup(dims.of("standard"), fam),
         }
     )
+
+
+def registry(algorithms: DataFrame, aliases: DataFrame) -> DataFrame:
+    """key, registry_family: an operator's registry by squashed spelling; a family's own name goes before an entry's, that before an alias.
+
+    Of equals the first family in order is taken. The tables are lists of names, whose size is that of the standards.
+    """
+    entries = algorithms.filter("entry_kind = 'algorithm'")
+    named = entries.select("family", F.explode(F.array("family", "name")).alias("canonical")).distinct()
+    spelled = (
+        entries.select(squash(F.col("family")).alias("key"), "family", F.lit(0).alias("o"))
+        .unionByName(entries.select(squash(F.col("name")).alias("key"), "family", F.lit(1).alias("o")))
+        .unionByName(aliases.filter("entry_kind = 'algorithm'").join(named, "canonical").select(squash(F.col("alias")).alias("key"), "family", F.lit(2).alias("o")))
+    )
+    return spelled.filter("key <> ''").groupBy("key").agg(F.min_by("family", F.struct("o", "family")).alias("registry_family"))
+
+
+def resolved(df: DataFrame, own: DataFrame, name: str = "name") -> DataFrame:
+    """df with registry_family by the spelling of the whole name in own; null if it has none."""
+    return df.withColumn("key", squash(F.col(name))).join(own, "key", "left").drop("key")

@@ -5,28 +5,115 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Call (receiver.call in Java and Go): algorithm, parameters.
-CALLS = {
-    "c": {
-        "EVP_aes_128_cbc": ("AES", "128", "cbc"), "EVP_aes_192_cbc": ("AES", "192", "cbc"), "EVP_aes_256_cbc": ("AES", "256", "cbc"), "EVP_aes_128_gcm": ("AES", "128", "gcm"), "EVP_aes_256_gcm": ("AES", "256", "gcm"),
-        "EVP_aes_256_ctr": ("AES", "256", "ctr"), "EVP_des_ede3_cbc": ("3DES", None, "cbc"), "EVP_des_cbc": ("DES", None, "cbc"), "EVP_rc4": ("RC4", None, None), "EVP_chacha20_poly1305": ("ChaCha20", None, None),
-        "EVP_md5": ("MD5", None, None), "EVP_sha1": ("SHA-1", None, None), "EVP_sha256": ("SHA-2", "256", None), "EVP_sha384": ("SHA-2", "384", None), "EVP_sha512": ("SHA-2", "512", None),
-        "RSA_generate_key_ex": ("RSA", "@1", None), "RSA_generate_key": ("RSA", "@0", None), "EVP_PKEY_CTX_set_rsa_keygen_bits": ("RSA", "@1", None), "EC_KEY_new_by_curve_name": ("ECDSA", None, None),
-        "ECDSA_do_sign": ("ECDSA", None, None), "ECDH_compute_key": ("ECDH", None, None), "DH_generate_key": ("DH", None, None), "SHA256_Init": ("SHA-2", "256", None), "SHA1_Init": ("SHA-1", None, None), "MD5_Init": ("MD5", None, None),
-        "AES_set_encrypt_key": ("AES", "@1", None), "DES_set_key": ("DES", None, None), "PKCS5_PBKDF2_HMAC": ("PBKDF2", None, None), "HMAC": ("HMAC", None, None), "mbedtls_aes_setkey_enc": ("AES", "@2", None),
-        "mbedtls_aes_setkey_dec": ("AES", "@2", None), "mbedtls_rsa_gen_key": ("RSA", "@3", None), "mbedtls_sha256_starts": ("SHA-2", "256", None), "mbedtls_sha1_starts": ("SHA-1", None, None), "mbedtls_md5_starts": ("MD5", None, None),
-        "mbedtls_ecdsa_genkey": ("ECDSA", None, None), "crypto_sign_detached": ("EdDSA", None, None), "crypto_sign_keypair": ("EdDSA", None, None), "crypto_box_easy": ("X25519", None, None), "crypto_scalarmult": ("X25519", None, None),
-        "crypto_aead_aes256gcm_encrypt": ("AES", "256", "gcm"),
-    },
-    "java": {f"{c}.getInstance": ("@0", None, None) for c in ("Cipher", "MessageDigest", "Signature", "KeyPairGenerator", "KeyGenerator", "Mac", "SecretKeyFactory", "KeyAgreement", "KeyStore")},
-    "go": {
-        "aes.NewCipher": ("AES", None, None), "des.NewCipher": ("DES", None, None), "des.NewTripleDESCipher": ("3DES", None, None), "rc4.NewCipher": ("RC4", None, None), "rsa.GenerateKey": ("RSA", "@1", None),
-        "ecdsa.GenerateKey": ("ECDSA", None, None), "ed25519.GenerateKey": ("EdDSA", None, None), "elliptic.P256": ("ECDSA", None, None), "elliptic.P384": ("ECDSA", None, None), "elliptic.P521": ("ECDSA", None, None),
-        "md5.New": ("MD5", None, None), "sha1.New": ("SHA-1", None, None), "sha256.New": ("SHA-2", "256", None), "sha512.New": ("SHA-2", "512", None), "hmac.New": ("HMAC", None, None), "sha256.Sum256": ("SHA-2", "256", None),
-        "sha256.Sum224": ("SHA-2", "224", None), "sha512.Sum512": ("SHA-2", "512", None), "sha1.Sum": ("SHA-1", None, None), "md5.Sum": ("MD5", None, None), "ed25519.Sign": ("EdDSA", None, None),
-        "rsa.SignPKCS1v15": ("RSA", None, None), "rsa.EncryptOAEP": ("RSA", None, None), "ecdsa.SignASN1": ("ECDSA", None, None),
-    },
-}
+# The call rules: id | call with its receiver | algorithm | parameters | functions | library | argument that says more, and its place.
+RULES = {
+    "c": """
+openssl.evp.aes_128_cbc | EVP_aes_128_cbc | AES | key_size=128 mode=cbc | encrypt decrypt | openssl |
+openssl.evp.aes_192_cbc | EVP_aes_192_cbc | AES | key_size=192 mode=cbc | encrypt decrypt | openssl |
+openssl.evp.aes_256_cbc | EVP_aes_256_cbc | AES | key_size=256 mode=cbc | encrypt decrypt | openssl |
+openssl.evp.aes_128_gcm | EVP_aes_128_gcm | AES | key_size=128 mode=gcm | encrypt decrypt | openssl |
+openssl.evp.aes_256_gcm | EVP_aes_256_gcm | AES | key_size=256 mode=gcm | encrypt decrypt | openssl |
+openssl.evp.aes_256_ctr | EVP_aes_256_ctr | AES | key_size=256 mode=ctr | encrypt decrypt | openssl |
+openssl.evp.des_ede3_cbc | EVP_des_ede3_cbc | 3DES | mode=cbc | encrypt decrypt | openssl |
+openssl.evp.des_cbc | EVP_des_cbc | DES | mode=cbc | encrypt decrypt | openssl |
+openssl.evp.rc4 | EVP_rc4 | RC4 |  | encrypt decrypt | openssl |
+openssl.evp.chacha20 | EVP_chacha20_poly1305 | ChaCha20 |  | encrypt decrypt | openssl |
+openssl.evp.md5 | EVP_md5 | MD5 |  | digest | openssl |
+openssl.evp.sha1 | EVP_sha1 | SHA-1 |  | digest | openssl |
+openssl.evp.sha256 | EVP_sha256 | SHA-2 | key_size=256 | digest | openssl |
+openssl.evp.sha384 | EVP_sha384 | SHA-2 | key_size=384 | digest | openssl |
+openssl.evp.sha512 | EVP_sha512 | SHA-2 | key_size=512 | digest | openssl |
+openssl.rsa.generate_key_ex | RSA_generate_key_ex | RSA |  | keygen | openssl | key_size 1
+openssl.rsa.generate_key | RSA_generate_key | RSA |  | keygen | openssl | key_size 0
+openssl.evp.rsa_keygen_bits | EVP_PKEY_CTX_set_rsa_keygen_bits | RSA |  | keygen | openssl | key_size 1
+openssl.ec.new_by_curve_name | EC_KEY_new_by_curve_name | ECDSA |  | keygen | openssl | curve_nid 0
+openssl.ecdsa.sign | ECDSA_do_sign | ECDSA |  | sign | openssl |
+openssl.ecdh.compute_key | ECDH_compute_key | ECDH |  | keyderive | openssl |
+openssl.dh.generate_key | DH_generate_key | DH |  | keygen | openssl |
+openssl.sha256.init | SHA256_Init | SHA-2 | key_size=256 | digest | openssl |
+openssl.sha1.init | SHA1_Init | SHA-1 |  | digest | openssl |
+openssl.md5.init | MD5_Init | MD5 |  | digest | openssl |
+openssl.aes.set_encrypt_key | AES_set_encrypt_key | AES |  | encrypt | openssl | key_size 1
+openssl.des.set_key | DES_set_key | DES |  | encrypt | openssl |
+openssl.pbkdf2 | PKCS5_PBKDF2_HMAC | PBKDF2 |  | keyderive | openssl |
+openssl.hmac | HMAC | HMAC |  | tag | openssl |
+mbedtls.aes.setkey_enc | mbedtls_aes_setkey_enc | AES |  | encrypt | mbedtls | key_size 2
+mbedtls.aes.setkey_dec | mbedtls_aes_setkey_dec | AES |  | decrypt | mbedtls | key_size 2
+mbedtls.rsa.gen_key | mbedtls_rsa_gen_key | RSA |  | keygen | mbedtls | key_size 3
+mbedtls.sha256.starts | mbedtls_sha256_starts | SHA-2 | key_size=256 | digest | mbedtls |
+mbedtls.sha1.starts | mbedtls_sha1_starts | SHA-1 |  | digest | mbedtls |
+mbedtls.md5.starts | mbedtls_md5_starts | MD5 |  | digest | mbedtls |
+mbedtls.ecdsa.genkey | mbedtls_ecdsa_genkey | ECDSA |  | keygen | mbedtls |
+sodium.sign.detached | crypto_sign_detached | EdDSA | curve=Ed25519 | sign | libsodium |
+sodium.sign.keypair | crypto_sign_keypair | EdDSA | curve=Ed25519 | keygen | libsodium |
+sodium.box.easy | crypto_box_easy | X25519 |  | encrypt | libsodium |
+sodium.scalarmult | crypto_scalarmult | X25519 |  | keyderive | libsodium |
+sodium.aead.aes256gcm | crypto_aead_aes256gcm_encrypt | AES | key_size=256 mode=gcm | encrypt | libsodium |
+""",
+    "java": """
+jca.cipher.getinstance | Cipher.getInstance |  |  | encrypt decrypt | jca | jca_spec 0
+jca.messagedigest.getinstance | MessageDigest.getInstance |  |  | digest | jca | algorithm 0
+jca.signature.getinstance | Signature.getInstance |  |  | sign verify | jca | algorithm 0
+jca.keypairgenerator.getinstance | KeyPairGenerator.getInstance |  |  | keygen | jca | algorithm 0
+jca.keygenerator.getinstance | KeyGenerator.getInstance |  |  | keygen | jca | algorithm 0
+jca.mac.getinstance | Mac.getInstance |  |  | tag | jca | algorithm 0
+jca.secretkeyfactory.getinstance | SecretKeyFactory.getInstance |  |  | keyderive | jca | algorithm 0
+jca.keyagreement.getinstance | KeyAgreement.getInstance |  |  | keyderive | jca | algorithm 0
+jca.keystore.getinstance | KeyStore.getInstance |  |  | other | jca | algorithm 0 skip
+""",
+    "go": """
+go.aes.newcipher | aes.NewCipher | AES |  | encrypt decrypt | crypto/aes |
+go.des.newcipher | des.NewCipher | DES |  | encrypt decrypt | crypto/des |
+go.des.newtripledescipher | des.NewTripleDESCipher | 3DES |  | encrypt decrypt | crypto/des |
+go.rc4.newcipher | rc4.NewCipher | RC4 |  | encrypt decrypt | crypto/rc4 |
+go.rsa.generatekey | rsa.GenerateKey | RSA |  | keygen | crypto/rsa | key_size 1
+go.ecdsa.generatekey | ecdsa.GenerateKey | ECDSA |  | keygen | crypto/ecdsa |
+go.ed25519.generatekey | ed25519.GenerateKey | EdDSA | curve=Ed25519 | keygen | crypto/ed25519 |
+go.elliptic.p256 | elliptic.P256 | ECDSA | curve=P-256 | keygen | crypto/elliptic |
+go.elliptic.p384 | elliptic.P384 | ECDSA | curve=P-384 | keygen | crypto/elliptic |
+go.elliptic.p521 | elliptic.P521 | ECDSA | curve=P-521 | keygen | crypto/elliptic |
+go.md5.new | md5.New | MD5 |  | digest | crypto/md5 |
+go.sha1.new | sha1.New | SHA-1 |  | digest | crypto/sha1 |
+go.sha256.new | sha256.New | SHA-2 | key_size=256 | digest | crypto/sha256 |
+go.sha512.new | sha512.New | SHA-2 | key_size=512 | digest | crypto/sha512 |
+go.hmac.new | hmac.New | HMAC |  | tag | crypto/hmac |
+go.sha256.sum256 | sha256.Sum256 | SHA-2 | key_size=256 | digest | crypto/sha256 |
+go.sha256.sum224 | sha256.Sum224 | SHA-2 | key_size=224 | digest | crypto/sha256 |
+go.sha512.sum512 | sha512.Sum512 | SHA-2 | key_size=512 | digest | crypto/sha512 |
+go.sha1.sum | sha1.Sum | SHA-1 |  | digest | crypto/sha1 |
+go.md5.sum | md5.Sum | MD5 |  | digest | crypto/md5 |
+go.ed25519.sign | ed25519.Sign | EdDSA | curve=Ed25519 | sign | crypto/ed25519 |
+go.rsa.signpkcs1v15 | rsa.SignPKCS1v15 | RSA | padding=pkcs1v15 | sign | crypto/rsa |
+go.rsa.encryptoaep | rsa.EncryptOAEP | RSA | padding=oaep | encrypt | crypto/rsa |
+go.ecdsa.sign | ecdsa.SignASN1 | ECDSA |  | sign | crypto/ecdsa |
+""",
+}
+# Curves by their numeric identifiers' names.
+CURVE_NIDS = {"NID_X9_62_prime256v1": "P-256", "NID_secp256r1": "P-256", "NID_secp384r1": "P-384", "NID_secp521r1": "P-521", "NID_secp224r1": "P-224", "NID_secp256k1": "secp256k1", "NID_X25519": "X25519", "NID_X448": "X448"}
+
+
+def rule_rows() -> list[tuple]:
+    """lang, ord, id, call_name, receiver, algorithm, parameters, functions, library, arg_kind, arg_index, skip_unresolved of the call rules."""
+    out = []
+    for lang, text in RULES.items():
+        for n, line in enumerate(text.strip().splitlines()):
+            rule, call, algorithm, parameters, functions, library, arg = (x.strip() or None for x in (line + " ").split("|"))
+            receiver, _, name = call.rpartition(".")
+            kind, place, *skip = (arg or "").split() or (None, None)
+            out.append((lang, n, rule, name, receiver or None, algorithm, dict(p.split("=") for p in (parameters or "").split()), (functions or "").split(), library, kind, None if place is None else int(place), bool(skip)))
+    return out
+
+
+def _known_calls() -> dict[str, dict[str, tuple]]:
+    out: dict[str, dict[str, tuple]] = {lang: {} for lang in RULES}
+    for lang, _, _, name, receiver, algorithm, parameters, _, _, kind, place, _ in rule_rows():
+        size = parameters.get("key_size") or (f"@{place}" if kind == "key_size" else None)
+        out[lang][f"{receiver}.{name}" if receiver else name] = (algorithm or f"@{place}", size, parameters.get("mode"))
+    return out
+
+
+#: call (receiver.call in Java and Go): algorithm, key size, mode; @n is what argument n says.
+CALLS = _known_calls()
 # What an include or import says about libraries, in order.
 INCLUDES = {
     "openssl/evp.h": "openssl", "openssl/rsa.h": "openssl", "openssl/ec.h": "openssl", "openssl/aes.h": "openssl", "openssl/sha.h": "openssl", "openssl/ssl.h": "openssl", "sodium.h": "libsodium", "mbedtls/aes.h": "mbedtls",

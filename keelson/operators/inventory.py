@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +36,60 @@ def components(assets: DataFrame, include_low: bool = False, brief: bool = False
     return df.select("run_id", F.col("asset_ref").alias("bom_ref"), kind.alias("type"), "name", F.col("primary_location").alias("description"), entries.alias("properties"))
 
 
+# The vocabularies of a component's properties, and how names of protocols begin.
+PRIMITIVES = ("drbg", "mac", "block-cipher", "stream-cipher", "signature", "hash", "pke", "xof", "kdf", "key-agree", "kem", "ae", "combiner", "key-wrap", "other", "unknown")
+MODES = ("cbc", "ecb", "ccm", "gcm", "cfb", "ofb", "ctr", "other", "unknown")
+PADDINGS = ("pkcs5", "pkcs7", "pkcs1v15", "oaep", "raw", "other", "unknown")
+FUNCTIONS = ("generate", "keygen", "encrypt", "decrypt", "digest", "tag", "keyderive", "sign", "verify", "encapsulate", "decapsulate", "other", "unknown")
+MATERIALS = ("private-key", "public-key", "secret-key", "key", "ciphertext", "signature", "digest", "initialization-vector", "nonce", "seed", "salt", "shared-secret", "tag", "additional-data", "password", "credential", "token", "other", "unknown")
+PROTOCOLS = ("TLS", "SSH", "IPSEC", "IKE", "QUIC", "DTLS")
+
+
+def crypto_properties(assets: DataFrame) -> DataFrame:
+    """run_id, bom_ref and the typed properties of the assets that are no library; what a vocabulary lacks is null.
+
+    asset_type; of algorithms primitive, parameter_set, curve, mode, padding, crypto_functions, classical_level and nist_level; of protocols
+    protocol_type and protocol_version; of material material_type and material_size; oid.
+    """
+    df = canonical.canonicalised(assets.filter("asset_kind <> 'library'"))
+    given = lambda k: F.try_element_at("parameters", F.lit(k))
+    known = lambda c, words: F.when(F.lower(c).isin(*words), F.lower(c))
+    kind = F.col("asset_kind")
+    algorithm, protocol, material = kind == "algorithm", kind == "protocol", kind == "related-crypto-material"
+    said = F.upper(F.coalesce(F.nullif(given("protocol"), F.lit("")), F.col("name")))
+    protocol_type = F.coalesce(*[F.when(said.startswith(p), p.lower()) for p in PROTOCOLS], F.lit("other"))
+    functions = F.array_join(F.filter(F.split("functions", ","), lambda f: f.isin(*FUNCTIONS)), ",")
+    return df.select(
+        "run_id", F.col("asset_ref").alias("bom_ref"), kind.alias("asset_type"), F.when(algorithm, known(F.col("primitive"), PRIMITIVES)).alias("primitive"), F.when(algorithm, given("key_size")).alias("parameter_set"), F.when(algorithm, given("curve")).alias("curve"),
+        F.when(algorithm, known(given("mode"), MODES)).alias("mode"), F.when(algorithm, known(given("padding"), PADDINGS)).alias("padding"), F.when(algorithm, functions).alias("crypto_functions"), F.when(algorithm, F.col("security_bits")).alias("classical_level"), F.when(algorithm, F.col("nist_level")).alias("nist_level"),
+        F.when(protocol, protocol_type).alias("protocol_type"), F.when(protocol, F.coalesce(given("version"), F.lit(""))).alias("protocol_version"),
+        F.when(material, F.coalesce(known(given("material_type"), MATERIALS), F.lit("key"))).alias("material_type"), F.when(material, given("key_size").try_cast("int")).alias("material_size"), "oid",
+    )
+
+
 def serial(comps: DataFrame) -> DataFrame:
-    """run_id, serial: a version-4 shaped identifier of each run's references, the same whenever they are.
+    """run_id, serial: a version-4 shaped identifier of each run's references in order, the same whenever they are.
 
-    The references are hashed in 4096 blocks by their first digits, and the blocks' digests together, so no task holds all of a run.
+    The references are sorted by Spark, which spills, and hashed as they stream by; no task holds a run's.
     """
-    blocks = comps.select("run_id", "bom_ref").groupBy("run_id", F.substring("bom_ref", 1, 3).alias("block")).agg(F.sha2(F.array_join(F.array_sort(F.collect_set("bom_ref")), ""), 256).alias("h"))
-    h = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda b: b["h"]), ""), 256)
-    whole = blocks.groupBy("run_id").agg(h.alias("h"))
-    return whole.select("run_id", F.concat(F.lit("urn:uuid:"), F.substring("h", 1, 8), F.lit("-"), F.substring("h", 9, 4), F.lit("-4"), F.substring("h", 14, 3), F.lit("-a"), F.substring("h", 18, 3), F.lit("-"), F.substring("h", 21, 12)).alias("serial"))
+    kinds = dict(comps.dtypes)
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, h = None, None
+        for pdf in batches:
+            for own, refs in pdf.groupby("run_id", sort=False, dropna=False)["bom_ref"]:
+                own = None if pd.isna(own) else own
+                if h is None or own != run:
+                    if h is not None:
+                        yield pd.DataFrame({"run_id": [run], "serial": [_urn(h)]})
+                    run, h = own, hashlib.sha256()
+                h.update("".join(refs).encode())
+        if h is not None:
+            yield pd.DataFrame({"run_id": [run], "serial": [_urn(h)]})
+
+    refs = comps.select("run_id", "bom_ref").repartition("run_id").sortWithinPartitions("run_id", "bom_ref")
+    return refs.mapInPandas(hashed, f"run_id {kinds['run_id']}, serial string")
+
+
+def _urn(h) -> str:
+    return uuid.UUID(bytes=h.digest()[:16], version=4).urn

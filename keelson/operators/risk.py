@@ -42,17 +42,63 @@ def assessed(assets: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     return df.withColumn("tier", tier)
 
 
-def replacement() -> Column:
-    """What an assessed asset's family is replaced by in the first of its roles that the table has, else in the table's first."""
-    by_role = {f"{f}|{r}": t for f, e in dims.REPLACEMENTS.items() for r, t in e.items()}
-    first = {f: next(iter(e.values())) for f, e in dims.REPLACEMENTS.items()}
+def entry() -> Column:
+    """family|role of the replacement of an assessed asset: of the first of its roles that the table has, else the family's first."""
+    keys = {f"{f}|{r}": f"{f}|{r}" for f, e in dims.REPLACEMENTS.items() for r in e}
+    first = {f: f"{f}|{next(iter(e))}" for f, e in dims.REPLACEMENTS.items()}
     roles = F.flatten(F.transform(F.split("functions", ","), lambda f: F.split(F.coalesce(dims.lookup({k: ",".join(v) for k, v in dims.ROLES.items()}, f), F.lit("")), ",")))
-    fitting = F.filter(F.transform(roles, lambda r: dims.lookup(by_role, F.concat_ws("|", F.col("family"), r))), lambda t: t.isNotNull())
-    target = F.coalesce(F.get(fitting, F.lit(0)), dims.lookup(first, F.col("family")))
+    fitting = F.filter(F.transform(roles, lambda r: dims.lookup(keys, F.concat_ws("|", F.col("family"), r))), lambda t: t.isNotNull())
+    return F.coalesce(F.get(fitting, F.lit(0)), dims.lookup(first, F.col("family")))
+
+
+def replacement() -> Column:
+    """What an assessed asset is replaced by; null if it is safe or already that."""
+    target = dims.lookup({f"{f}|{r}": t for f, e in dims.REPLACEMENTS.items() for r, t in e.items()}, entry())
     safe = (F.col("quantum_status") == "safe") & ~F.col("classical_status").isin("broken", "disallowed", "deprecated")
     return F.when(~safe & (canonical.squash(target) != canonical.squash(F.col("canonical_name"))), target)
 
 
+def detailed(queue: DataFrame) -> DataFrame:
+    """queue with standard, hybrid, alternative, rationale and latency of what is recommended, and what it costs: deltas and headline.
+
+    deltas has field, before, after, delta and ratio of the sizes that both have, in the order of SIZE_FIELDS; headline is the one of
+    the field that matters most to a migration: signature, ciphertext, public key, private key.
+    """
+    df = queue.withColumn("__entry", F.when(F.col("recommended").isNotNull(), entry()))
+    part = lambda i: dims.lookup({k: v[i] for k, v in dims.REPLACEMENT_DETAILS.items() if v[i] is not None}, F.col("__entry"))
+    now, then = canonical.squash(F.col("canonical_name")), canonical.squash(F.col("recommended"))
+
+    def size(field: str) -> Column:
+        i = dims.SIZE_FIELDS.index(field)
+        a, b = dims.lookup(dims.size_table(i), now), dims.lookup(dims.size_table(i), then)
+        ratio = F.when(a > 0, F.round(b / a, 1))
+        return F.when(a.isNotNull() & b.isNotNull(), F.struct(F.lit(field).alias("field"), a.cast("int").alias("before"), b.cast("int").alias("after"), (b - a).cast("int").alias("delta"), ratio.alias("ratio")))
+
+    df = df.withColumns({"standard": part(0), "hybrid": part(1), "alternative": part(2), "rationale": part(3), "latency_note": dims.lookup(dims.LATENCY, F.col("recommended")), "deltas": F.array_compact(F.array(*[size(f) for f in dims.SIZE_FIELDS]))})
+    at = lambda f: F.get(F.filter("deltas", lambda d: d["field"] == f), F.lit(0))
+    return df.withColumn("headline", F.coalesce(*[at(f) for f in ("signature", "ciphertext", "public_key", "private_key")])).drop("__entry")
+
+
+def described(delta: Column) -> Column:
+    """A delta in words."""
+    sizes = F.concat(delta["field"], F.lit(" "), delta["before"].cast("string"), F.lit(" B -> "), delta["after"].cast("string"), F.lit(" B"))
+    return F.when(delta["ratio"].isNull(), sizes).otherwise(F.concat(sizes, F.lit(" ("), F.when(delta["delta"] >= 0, "+").otherwise(""), delta["delta"].cast("string"), F.lit(" B, "), F.format_string("%.1f", delta["ratio"]), F.lit("x)")))
+
+
+def reason() -> Column:
+    """Why an assessed asset has its tier."""
+    n = F.lit(str(len(dims.SCENARIOS)))
+    count = lambda text: F.concat(F.lit(text), F.col("tripped").cast("string"), F.lit(" of "), n, F.lit(")."))
+    return (
+        F.when(F.col("classical_status").isin("broken", "disallowed"), F.coalesce(dims.lookup(dims.CLASSICAL_NOTES, F.col("family")), F.lit("Already unsound under classical cryptanalysis.")))
+        .when(F.col("quantum_status") == "unknown", "Algorithm not in the registry; classify manually before dismissing.").when(F.col("quantum_status") == "safe", "Not quantum-vulnerable at current understanding.")
+        .when(F.col("tripped").isNull(), "Quantum-vulnerable but no migration window computed.")
+        .when(F.col("tripped") == len(dims.SCENARIOS), F.concat(F.lit("Mosca's inequality trips under all "), n, F.lit(" scenarios (X="), F.col("effort").cast("string"), F.lit("y + Y="), F.col("shelf_life").cast("string"), F.lit("y).")))
+        .when(F.contains("trips", F.lit("median")), count("Mosca's inequality trips under the median scenario (")).when(F.col("tripped") > 0, count("Mosca's inequality trips only under the pessimistic scenario ("))
+        .when(F.col("quantum_status") == "weakened", "Grover halves the effective key length but the margin still holds.").otherwise("Quantum-vulnerable but the migration window is not yet closing.")
+    )
+
+
 def queue(assessments: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """assessments with recommended, byte deltas by field, cost_bytes and targets, the reach of the name.
 

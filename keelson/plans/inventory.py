@@ -104,8 +104,9 @@ def lim_top40(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_cost_summary(spark: SparkSession, d: str) -> DataFrame:
+    """By what is recommended; the row without a name has the totals."""
     q = _queue(spark, d).filter("recommended IS NOT NULL")
-    return q.groupBy("target_id").agg(F.count(F.lit(1)).alias("actionable"), F.sum("cost_bytes").alias("cost_bytes"))
+    return q.rollup("recommended").agg(F.count(F.lit(1)).alias("actionable"), F.coalesce(F.sum("cost_bytes"), F.lit(0)).alias("cost_bytes"))
 
 
 def flt_confidence_floor(spark: SparkSession, d: str) -> DataFrame:
@@ -328,14 +329,14 @@ ORACLE = {
     "srt_queue": f"WITH {_Q} SELECT {_queue_cols} FROM q {_ORDER}",
     "win_queue_rank": f"WITH {_Q} SELECT row_number() OVER ({_ORDER}) AS rank, run_id, asset_ref FROM q",
     "lim_top40": f"WITH {_Q} SELECT {_queue_cols} FROM q {_ORDER} LIMIT 40",
-    "agg_cost_summary": f"WITH {_Q} SELECT target_id, count(*) AS actionable, CAST(sum(cost_bytes) AS BIGINT) AS cost_bytes FROM q WHERE recommended IS NOT NULL GROUP BY target_id",
+    "agg_cost_summary": f"WITH {_Q} SELECT recommended, count(*) AS actionable, CAST(coalesce(sum(cost_bytes), 0) AS BIGINT) AS cost_bytes FROM q WHERE recommended IS NOT NULL GROUP BY ROLLUP (recommended)",
     "flt_confidence_floor": f"WITH {_M} SELECT run_id, asset_ref, confidence FROM m WHERE confidence >= {dims.FLOOR}",
     "cbom_properties": f"WITH {_M}, {_COMP} " + " UNION ALL ".join(f"SELECT run_id, asset_ref AS bom_ref, type, name, '{dims.PREFIX}{k}' AS property, {v} AS value FROM cc WHERE ({v}) IS NOT NULL" for k, v in _BAG.items()),
     "cbom_bag": f"WITH {_M}, {_COMP}, {_WHOLE} " + " UNION ALL ".join(f"SELECT run_id, asset_ref AS bom_ref, type, name, '{dims.PREFIX}{k}' AS property, {v} AS value FROM cc WHERE ({v}) IS NOT NULL" for k, v in _BAG.items() if k != "location.0")
     + f""" UNION ALL SELECT run_id, asset_ref, type, name, '{dims.PREFIX}matchers', coalesce(matchers, '') FROM cc LEFT JOIN mt USING (run_id, asset_ref)
  UNION ALL SELECT run_id, asset_ref, type, name, '{dims.PREFIX}location.' || n, place FROM cc JOIN l USING (run_id, asset_ref)""",
-    "cbom_serial": f"""WITH {_M}, {_COMP}, bl AS (SELECT run_id, substr(asset_ref, 1, 3) AS block, sha256(array_to_string(list_sort(list(DISTINCT asset_ref)), '')) AS h FROM cc GROUP BY ALL), w AS (SELECT run_id, sha256(string_agg(h, '' ORDER BY block)) AS h FROM bl GROUP BY run_id)
-SELECT run_id, 'urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS serial FROM w""",
+    "cbom_serial": f"""WITH {_M}, {_COMP}, w AS (SELECT run_id, sha256(string_agg(asset_ref, '' ORDER BY asset_ref)) AS h FROM cc GROUP BY run_id)
+SELECT run_id, 'urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS serial FROM w""",
     "set_common": f"WITH {_REFS} SELECT snapshot_no, bom_ref FROM r INTERSECT SELECT snapshot_no + 1, bom_ref FROM r",
     "agg_run_counters": """WITH f AS (SELECT target_id, count(*) AS findings, count(*) FILTER (WHERE asset_kind = 'library') AS libraries FROM findings GROUP BY 1), e AS (SELECT target_id, count(*) AS errors FROM errors GROUP BY 1)
 SELECT coalesce(f.target_id, e.target_id) AS target_id, coalesce(findings, 0) AS findings, coalesce(libraries, 0) AS libraries, coalesce(errors, 0) AS errors, CASE WHEN coalesce(errors, 0) > 0 THEN 'error' ELSE 'complete' END AS status FROM f FULL JOIN e ON f.target_id IS NOT DISTINCT FROM e.target_id""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions import dims
 from keelson.operators import hotkeys, snapshots
-from keelson.plans import inventory
+from keelson.plans import analysis, inventory
 from keelson.sources import table
 from keelson.streaming import confidence
 
@@ -43,7 +43,7 @@ def str_arrivals(spark: SparkSession, d: str) -> DataFrame:
     return confidence.arrivals(table(spark, d, "events"))
 
 
-QUERIES: dict[str, Query] = {"str_arrivals": str_arrivals, "p3_found": p3_found, "p3_counts": p3_counts, "p3_key_totals": p3_key_totals, "p5_found": p5_found, "p5_changes": p5_changes, **inventory.QUERIES}
+QUERIES: dict[str, Query] = {"str_arrivals": str_arrivals, "p3_found": p3_found, "p3_counts": p3_counts, "p3_key_totals": p3_key_totals, "p5_found": p5_found, "p5_changes": p5_changes, **inventory.QUERIES, **analysis.QUERIES}
 
 _KEYED = """SELECT 'name' AS field, name AS key_value, run_id, bom_ref, observed_at FROM findings WHERE name IS NOT NULL
 UNION ALL SELECT 'target_id', target_id, run_id, bom_ref, observed_at FROM findings WHERE target_id IS NOT NULL"""
@@ -66,6 +66,7 @@ _DIFFERS = " OR ".join(f"(n.{c} IS DISTINCT FROM o.{c})" for c in ("confidence",
 
 ORACLE: dict[str, str] = {
     **inventory.ORACLE,
+    **analysis.ORACLE,
     "p3_found": f"SELECT field, key_value FROM ({_KEYED}) GROUP BY ALL HAVING count(*) * 100 >= 4 * (SELECT count(*) FROM findings)",
     "p3_counts": f"SELECT field, key_value, count(*) AS sightings FROM ({_KEYED}) GROUP BY field, key_value",
     "p3_key_totals": f"SELECT field, key_value, count(*) AS sightings, count(DISTINCT (run_id, bom_ref)) FILTER (WHERE bom_ref IS NOT NULL) AS assets, max(observed_at) AS latest FROM ({_KEYED}) GROUP BY field, key_value",
