@@ -5,8 +5,7 @@ it may be entered in, with bracket summaries. Maps compose associatively. A file
 string or, where no preprocessor chooses between branches, has unbalanced brackets; what is balanced is parsed by the local grammars.
 
 A file of one chunk is decided where it is read: it is entered in code, so its map is that of code alone. The chunks of other files are
-rows of their own. Their maps are reduced in blocks of FAN, then the blocks; each chunk learns the state it begins in, is lexed on its
-own from there, and the file's token stream goes to the grammars. Python and JSON are read by the interpreter's parsers.
+rows of their own, and their maps are reduced in blocks of FAN, then the blocks. Python and JSON are read by the interpreter's parsers.
 """
 
 from __future__ import annotations
@@ -72,36 +71,40 @@ def _deep() -> None:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 4000))
 
 
-def decided(lang: str, left: str | None, closing: str, opening: str, wrong: bool) -> str:
-    """What a file's composed map, entered in code, says: reject, parse, or unknown if a raw string goes over a chunk's end."""
-    if left is None:
-        return "unknown"
-    return "reject" if left != "code" or (lang in ("java", "go") and (wrong or closing or opening)) else "parse"
+def balanced(lang: str, left: str | None, closing: str, opening: str, wrong: bool) -> bool:
+    """Whether a file's composed map, entered in code, leaves its grammar something to decide.
+
+    No exit state is known of a file in which a raw string of C++ goes over a chunk's end.
+    """
+    return left is None or (left == "code" and (lang in ("c", "cpp") or not (wrong or closing or opening)))
 
 
 def _rejects(lang: str, content: bytes) -> bool:
-    """Whether a file of one chunk is rejected: by its map of the state code, else by the grammar."""
+    """Whether a file is rejected: by the map of the state code, else by the grammar."""
     if lang in ("python", "json"):
         return not grammars.accepts(lang, content)
     text = grammars.decoded(lang, content)
     if text is None:
         return True
     tokens, left = lexers.lex(lang, text)
-    return decided(lang, left, *lexers.summary(tokens)) == "reject" or not grammars.accepts_tokens(lang, tokens)
+    if left != "code" or (lang in ("java", "go") and not balanced(lang, left, *lexers.summary(tokens))):
+        return True
+    return not grammars.accepts_tokens(lang, tokens)
 
 
 def _one_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     _deep()
     for pdf in batches:
-        bad = [_rejects(lang, bytes(c)) for lang, c in zip(pdf["lang"], pdf["content"])]
+        open_ = pdf["open"] if "open" in pdf else [True] * len(pdf)
+        bad = [not o or _rejects(lang, bytes(c)) for lang, c, o in zip(pdf["lang"], pdf["content"], open_)]
         yield pd.DataFrame({"file_id": pdf["file_id"], "target_id": pdf["target_id"], "lang": pdf["lang"], "rejected": pd.Series(bad, dtype=bool, index=pdf.index)})
 
 
 def _in_chunks(rows: DataFrame, chunk: int, schema: str, kind: str) -> DataFrame:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(f, t, lang, i, c) for f, t, lang, content in zip(pdf["file_id"], pdf["target_id"], pdf["lang"], pdf["content"]) for i, c in enumerate(cut(bytes(content), chunk))]
-            yield pd.DataFrame(out, columns=["file_id", "target_id", "lang", "part", "content"])
+            out = [(f, lang, i, c) for f, lang, content in zip(pdf["file_id"], pdf["lang"], pdf["content"]) for i, c in enumerate(cut(bytes(content), chunk))]
+            yield pd.DataFrame(out, columns=["file_id", "lang", "part", "content"])
 
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -111,66 +114,26 @@ def _in_chunks(rows: DataFrame, chunk: int, schema: str, kind: str) -> DataFrame
                 out.append("null" if text is None else json.dumps(lexers.chunk_map(lang, text, ("code",) if p == 0 else None)))
             yield pd.DataFrame({"file_id": pdf["file_id"], "lang": pdf["lang"], "part": pdf["part"], "map": pd.Series(out, dtype=object)})
 
+    def composed(ms) -> dict | None:
+        """The map of neighbouring chunks; None if one is no text of the language."""
+        own = [json.loads(m["map"]) for m in ms]
+        return None if None in own else reduce(lexers.compose, own)
+
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [json.dumps(None if "null" in [m["map"] for m in ms] else reduce(lexers.compose, [json.loads(m["map"]) for m in ms])) for ms in pdf["maps"]]
-            yield pd.DataFrame({"file_id": pdf["file_id"], "lang": pdf["lang"], "part": pdf["block"], "map": pd.Series(out, dtype=object)})
+            yield pd.DataFrame({"file_id": pdf["file_id"], "lang": pdf["lang"], "part": pdf["block"], "map": pd.Series([json.dumps(composed(ms)) for ms in pdf["maps"]], dtype=object)})
 
     def outcome(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each file what its map says, and the state each of its blocks begins in."""
-        for pdf in batches:
-            known, states = [], []
-            for lang, ms in zip(pdf["lang"], pdf["maps"]):
-                own = [json.loads(m["map"]) for m in ms]
-                if None in own:
-                    known.append("reject")
-                    states.append([])
-                    continue
-                known.append(decided(lang, *reduce(lexers.compose, own)["code"]))
-                states.append(_entries(own, "code"))
-            yield pd.DataFrame({"file_id": pdf["file_id"], "known": known, "states": states})
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(f, m["part"], s) for f, ms, start in zip(pdf["file_id"], pdf["maps"], pdf["start"]) for m, s in zip(ms, _entries([json.loads(m["map"]) for m in ms], start))]
-            yield pd.DataFrame(out, columns=["file_id", "part", "state"])
-
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for lang, c, p, s in zip(pdf["lang"], pdf["content"], pdf["part"], pdf["state"]):
-                text = grammars.decoded(lang, bytes(c)) if p == 0 else _decoded_rest(lang, bytes(c))
-                out.append(json.dumps(lexers.lex(lang, text, s)[0]))
-            yield pd.DataFrame({"file_id": pdf["file_id"], "target_id": pdf["target_id"], "lang": pdf["lang"], "part": pdf["part"], "tokens": pd.Series(out, dtype=object)})
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _deep()
         for pdf in batches:
-            bad = [not grammars.accepts_tokens(lang, [(k, t) for p in parts for k, t in json.loads(p)]) for lang, parts in zip(pdf["lang"], pdf["parts"])]
-            yield pd.DataFrame({"file_id": pdf["file_id"], "target_id": pdf["target_id"], "lang": pdf["lang"], "rejected": pd.Series(bad, dtype=bool, index=pdf.index)})
+            own = [composed(ms) for ms in pdf["maps"]]
+            yield pd.DataFrame({"file_id": pdf["file_id"], "open": pd.Series([m is not None and balanced(lang, *m["code"]) for lang, m in zip(pdf["lang"], own)], dtype=bool)})
 
-    chunks = rows.mapInPandas(split, f"file_id {kind}, target_id string, lang string, part int, content binary").repartition("file_id", "part")
+    chunks = rows.mapInPandas(split, f"file_id {kind}, lang string, part int, content binary").repartition("file_id", "part")
     of = F.array_sort(F.collect_list(F.struct("part", "map"))).alias("maps")
-    blocks = chunks.mapInPandas(maps, f"file_id {kind}, lang string, part int, map string").groupBy("file_id", "lang", F.expr(f"part DIV {FAN}").cast("int").alias("block")).agg(of)
-    tops = blocks.mapInPandas(total, f"file_id {kind}, lang string, part int, map string").groupBy("file_id", "lang").agg(of)
-    known = tops.mapInPandas(outcome, f"file_id {kind}, known string, states array<string>")
-    started = blocks.join(known.filter("known = 'parse'").select("file_id", F.posexplode("states").alias("block", "start")), ["file_id", "block"])
-    placed = chunks.join(started.select("file_id", "start", "maps").mapInPandas(entries, f"file_id {kind}, part int, state string"), ["file_id", "part"])
-    lexed = placed.mapInPandas(tokens, f"file_id {kind}, target_id string, lang string, part int, tokens string")
-    streams = lexed.groupBy("file_id", "target_id", "lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "tokens"))), lambda x: x["tokens"]).alias("parts"))
-    heads = chunks.filter("part = 0").select("file_id", "target_id", "lang").join(known.filter("known = 'reject'").select("file_id"), "file_id", "left_semi")
-    rest = rows.join(known.filter("known = 'unknown'").select("file_id"), "file_id", "left_semi").mapInPandas(_one_chunk, schema)
-    return streams.mapInPandas(parse, schema).unionByName(heads.select("file_id", "target_id", "lang", F.lit(True).alias("rejected"))).unionByName(rest)
-
-
-def _entries(maps: list[dict], start: str) -> list[str | None]:
-    """The state that each of neighbouring chunks is entered in."""
-    out: list[str | None] = []
-    state: str | None = start
-    for m in maps:
-        out.append(state)
-        state = m[state][0] if state in m else None
-    return out
+    step = f"file_id {kind}, lang string, part int, map string"
+    blocks = chunks.mapInPandas(maps, step).groupBy("file_id", "lang", F.expr(f"part DIV {FAN}").cast("int").alias("block")).agg(of)
+    known = blocks.mapInPandas(total, step).groupBy("file_id", "lang").agg(of).mapInPandas(outcome, f"file_id {kind}, open boolean")
+    return rows.join(known, "file_id").mapInPandas(_one_chunk, schema)
 
 
 def _decoded_rest(lang: str, content: bytes) -> str | None:
