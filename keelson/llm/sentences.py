@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -71,9 +72,8 @@ def _compiled():
         "line": c(r"[^\n\r\x0b\x0c\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]|\Z)"),
         "break": c(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"),
         "class": c(r"[^\S\n\r]*+(?:(?P<h>#{1,6}[^\S\n\r]+\S)|(?P<b>[-*+•‣◦▪·○●–—☐☑✓✔])[^\S\n\r]+(?=\S)|\(?(?P<n>\d++)[.)][^\S\n\r]+(?=\S)|\(?(?P<l>[A-Za-z])\)[^\S\n\r]+(?=\S))"),
-        "mark": c(r"[" + regex.escape(_ENDS) + r"]+|[(\[{（［「『【《〈«»“„‹\"]"),
+        "mark": c(r"(?!\.[\p{L}\p{N}])[" + regex.escape(_ENDS) + r"]+|[(\[{（［「『【《〈«»“„‹\"]"),
         "pairs": c(r"[()\[\]{}（）［］「」『』【】《》〈〉«»“”„‹›]"),
-        "word": c(r"(?<![\p{L}\p{M}\p{N}.'’°º-])[\p{L}\p{M}\p{N}.'’°º-]*+$"),
         "next": c(r"[^\S]*[\"'“„«‹‘(\[「『《（¿¡]*\s*(\S\S{0,40})"),
         "thai": c(r"(?:(?<=\p{Thai})|(?<=\p{Thai}\s?[\p{Extended_Pictographic}\p{Emoji_Modifier}\u200d\ufe0f\U0001F1E6-\U0001F1FF\u2640\u2642]{1,12}))\s+(?=\p{Thai})"),
         "any thai": c(r"\p{Thai}"),
@@ -342,11 +342,22 @@ def _cjk_goes_on(text: str, at: int, hi: int, lead: str) -> bool:
     return bool(c["zh says"].match(rest))
 
 
+def _word(text: str, end: int) -> str:
+    """The word, of letters, digits and what joins them, that ends at end; of a long one the last 40 code points."""
+    at, least = end, max(0, end - 40)
+    while at > least:
+        ch = text[at - 1]
+        if not (ch.isalnum() or ch in ".'’°º-" or (ch > "\x7f" and unicodedata.category(ch)[0] == "M")):
+            break
+        at -= 1
+    return text[at:end]
+
+
 def _abbreviated(inner: str) -> bool:
     """Whether the full stop at the end of inner is that of an abbreviation."""
     if inner[-1] != ".":
         return False
-    word = _compiled()["word"].search(inner[-41:-1]).group().lower()
+    word = _word(inner, len(inner) - 1).lower()
     return word in ALWAYS or word in SOMETIMES
 
 
@@ -354,8 +365,6 @@ def _ends(text: str, start: int, end: int, fresh: bool, hi: int) -> int:
     """The end of the sentence if the marks at start end one, else 0; fresh: a sentence has just begun."""
     c = _compiled()
     marks, stop = text[start:end], end
-    if marks == "." and end < hi and text[end].isalnum():
-        return 0
     if fresh and not any(x in _STRONG for x in marks):
         return 0
     end = _closed(text, end, hi)
@@ -395,7 +404,7 @@ def _ends(text: str, start: int, end: int, fresh: bool, hi: int) -> int:
         return 0 if word[0].islower() and not _named(word) else end
     if word[0] in ",;:—–،؛)":
         return 0
-    before = c["word"].search(text[max(0, start - 40) : start]).group()
+    before = _word(text, start)
     bare = before.lower().lstrip("'’-")
     if end > stop and before.isdigit() and text[stop] == ")":
         near = max(0, start - GROUP)
@@ -443,7 +452,8 @@ def _spaced(text: str, at: int) -> str:
 
     A capital letter after a word it labels, as in plan B., is none of them.
     """
-    m = _compiled()["spaced"].search(text[max(0, at - 16) : at])
+    near = text[max(0, at - 16) : at]
+    m = _compiled()["spaced"].search(near) if "." in near else None
     if not m:
         return ""
     letters = m.group(1).split()
@@ -771,7 +781,7 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", chunk: int
     heads = rows.mapInPandas(first, schema)
     chunks = rows.filter(F.length("t") > chunk).mapInPandas(split, f"k {kind}, part int, {_CHUNK}").repartition("k", "part")
     entries = scanned(chunks.mapInPandas(tables, f"k {kind}, part int, f string"), kind)
-    rest = chunks.filter("part > 0").join(entries, ["k", "part"]).select("k", "entry", *_FIELDS).mapInPandas(emit, schema)
+    rest = chunks.join(entries, ["k", "part"]).select("k", "entry", *_FIELDS).mapInPandas(emit, schema)
     return heads.unionByName(rest).select(F.col("k").alias(key), "start_pos", "end_pos")
 
 
@@ -795,7 +805,8 @@ def scanned(tables: DataFrame, kind: str) -> DataFrame:
             for k, start, fs in zip(pdf["k"], pdf["start"], pdf["fs"]):
                 state = tuple(json.loads(start)) if start is not None else START
                 for f in fs:
-                    out.append((k, int(f["part"]), json.dumps(state)))
+                    if state is not START:  # the first part is entered so, and only that
+                        out.append((k, int(f["part"]), json.dumps(state)))
                     state = apply(json.loads(f["f"]), state)
             yield pd.DataFrame(out, columns=["k", "part", "entry"])
 
@@ -803,4 +814,4 @@ def scanned(tables: DataFrame, kind: str) -> DataFrame:
     tops = blocks.mapInPandas(total, f"k {kind}, part int, f string").groupBy("k").agg(of.alias("fs")).filter(F.size("fs") > 1)
     starts = tops.withColumn("start", F.lit(None).cast("string")).mapInPandas(states, schema).select("k", F.col("part").alias("block"), F.col("entry").alias("start"))
     # a text of one block is entered in the start state
-    return blocks.join(starts, ["k", "block"], "left").select("k", "start", "fs").mapInPandas(states, schema).filter("part > 0")
+    return blocks.join(starts, ["k", "block"], "left").select("k", "start", "fs").mapInPandas(states, schema)
