@@ -77,8 +77,11 @@ def boundaries(text: str, lo: int, hi: int) -> list[int]:
 
     A chunk's neighbour may itself have begun within a pre-token, so that both agree is not enough.
     """
-    starts = [m.start() for m in _pattern().finditer(text)]
-    return [s for s in (starts[:-2]) if lo <= s < hi and (s == 0 or _certain().match(text, s))]
+    return _within(text, [m.start() for m in _pattern().finditer(text)], lo, hi)
+
+
+def _within(text: str, starts: list[int], lo: int, hi: int) -> list[int]:
+    return [s for s in starts[:-2] if lo <= s < hi and (s == 0 or _certain().match(text, s))]
 
 
 def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -104,8 +107,9 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", name: str =
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["head"] = [boundaries(t, 0 if p == 0 else 1, overlap) for t, p in zip(pdf["t"], pdf["part"])]
-            pdf["tail"] = [[b - step for b in boundaries(t, step, step + overlap)] for t in pdf["t"]]
+            starts = [[m.start() for m in _pattern().finditer(t)] for t in pdf["t"]]
+            pdf["head"] = [_within(t, s, 0 if p == 0 else 1, overlap) for t, s, p in zip(pdf["t"], starts, pdf["part"])]
+            pdf["tail"] = [[b - step for b in _within(t, s, step, step + overlap)] for t, s in zip(pdf["t"], starts)]
             yield pdf
 
     marked = cut.mapInPandas(mark, f"k {kind}, part int, t string, head array<int>, tail array<int>")
