@@ -71,8 +71,9 @@ def jn_recommend_detail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lim_headline(spark: SparkSession, d: str) -> DataFrame:
-    q = risk.detailed(inv._queue(spark, d)).filter("headline IS NOT NULL")
-    return q.select(*KEYS, "headline.field", "headline.delta", "headline.ratio")
+    # exploded, not filtered: a filter would be pushed down with all that headline is made of
+    q = risk.detailed(inv._queue(spark, d)).select(*KEYS, F.explode(F.array_compact(F.array("headline"))).alias("h"))
+    return q.select(*KEYS, "h.field", "h.delta", "h.ratio")
 
 
 def fn_tier_reason(spark: SparkSession, d: str) -> DataFrame:
@@ -205,11 +206,11 @@ SELECT target_id, sha256(string_agg(h, '' ORDER BY b)) AS content_hash FROM b GR
     "fn_snippets": "WITH x AS (SELECT seq, unnest(range(len(evidence))) AS n, unnest(evidence) AS e FROM findings), s AS (SELECT seq, CAST(n AS INT) AS n, regexp_replace(e.snippet, '^\\s+|\\s+$', '', 'g') AS s FROM x) SELECT seq, n, left(s, 120) AS short, left(s, 160) AS long FROM s",
     "fn_functions": f"SELECT seq, array_to_string(list_sort(list_distinct(list_filter(functions, lambda f: f IN {_list(sightings.FUNCTIONS)}))), ',') AS functions FROM findings",
     "fn_shorten": "SELECT seq, CASE WHEN length(location.path) > 44 THEN '...' || right(location.path, 41) ELSE location.path END AS path FROM findings",
-    "cbom_crypto": f"""WITH {_CN}, c AS (SELECT *, asset_kind = 'algorithm' AS alg, asset_kind = 'protocol' AS pro, asset_kind = 'related-crypto-material' AS mat FROM cn) SELECT run_id, asset_ref AS bom_ref, asset_kind AS asset_type, CASE WHEN alg AND lower(primitive) IN {_list(inventory.PRIMITIVES)} THEN lower(primitive) END AS primitive,
+    "cbom_crypto": f"""WITH {_CN}, cx AS (SELECT *, asset_kind = 'algorithm' AS alg, asset_kind = 'protocol' AS pro, asset_kind = 'related-crypto-material' AS mat FROM cn) SELECT run_id, asset_ref AS bom_ref, asset_kind AS asset_type, CASE WHEN alg AND lower(primitive) IN {_list(inventory.PRIMITIVES)} THEN lower(primitive) END AS primitive,
  CASE WHEN alg THEN parameters['key_size'] END AS parameter_set, CASE WHEN alg THEN parameters['curve'] END AS curve, CASE WHEN alg THEN {_word('mode', inventory.MODES)} END AS mode, CASE WHEN alg THEN {_word('padding', inventory.PADDINGS)} END AS padding,
  CASE WHEN alg THEN array_to_string(list_filter(string_split(functions, ','), lambda f: f IN {_list(inventory.FUNCTIONS)}), ',') END AS crypto_functions, CASE WHEN alg THEN security_bits END AS classical_level, CASE WHEN alg THEN nist_level END AS nist_level,
  CASE WHEN pro THEN CASE {' '.join(f"WHEN starts_with({_PROTOCOL}, '{p}') THEN '{p.lower()}'" for p in inventory.PROTOCOLS)} ELSE 'other' END END AS protocol_type, CASE WHEN pro THEN coalesce(parameters['version'], '') END AS protocol_version,
- CASE WHEN mat THEN coalesce({_word('material_type', inventory.MATERIALS)}, 'key') END AS material_type, CASE WHEN mat THEN try_cast(parameters['key_size'] AS INT) END AS material_size, oid FROM c""",
+ CASE WHEN mat THEN coalesce({_word('material_type', inventory.MATERIALS)}, 'key') END AS material_type, CASE WHEN mat THEN try_cast(parameters['key_size'] AS INT) END AS material_size, oid FROM cx""",
     "jn_registry_family": f"""WITH r AS (SELECT {inv._sq('family')} AS k, family, 0 AS o FROM algorithms WHERE entry_kind = 'algorithm' UNION ALL SELECT {inv._sq('name')}, family, 1 FROM algorithms WHERE entry_kind = 'algorithm'
  UNION ALL SELECT {inv._sq('alias')}, e.family, 2 FROM aliases a JOIN (SELECT DISTINCT family, unnest([family, name]) AS c FROM algorithms WHERE entry_kind = 'algorithm') e ON a.entry_kind = 'algorithm' AND a.canonical = e.c),
 u AS (SELECT k, arg_min(family, (o, family)) AS family FROM r WHERE k <> '' GROUP BY k) SELECT seq, u.family AS registry_family FROM findings f LEFT JOIN u ON {inv._sq('f.name')} = u.k""",
