@@ -143,9 +143,15 @@ def size_table(field: int) -> dict[str, int]:
     return {squashed(n): row[field] for n, row in SIZES.items() if row[field] is not None}
 
 
+def _literal(x: object) -> str:
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{x!r}D" if isinstance(x, float) else str(x)
+
+
 def lookup(table: dict, key: Column) -> Column:
     """The value of key in a small table that is a literal of the plan, or null."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return F.try_element_at(F.expr("map(" + ", ".join(_literal(x) for pair in table.items() for x in pair) + ")"), key)  # one call for all literals
 
 
 def sql_lookup(table: dict, key: str) -> str:

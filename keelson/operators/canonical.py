@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions import dims
+from keelson.session import materialised
 
 SEPARATORS = r"[-_/\s.\x{00A0}\x{2000}-\x{200A}\x{3000}]+"
 
@@ -69,6 +72,29 @@ def canonicalised(df: DataFrame, name: str = "name", parameters: str = "paramete
     )
 
 
+#: Distinct names up to which their resolutions are broadcast; more are joined by a shuffle, in which Spark splits hot names.
+FEW = 200_000
+COLUMNS = ("family", "parameter", "canonical_name", "security_bits", "quantum_bits", "quantum_status", "classical_status", "oid_registered", "nist_level", "standard")
+_SAID = ("key_size", "curve", "version", "mode")
+
+
+def canonicalised_once(df: DataFrame, name: str = "name", parameters: str = "parameters") -> DataFrame:
+    """The same as canonicalised, with each distinct name and its parameters resolved once and joined back.
+
+    df is evaluated twice: it should be a scan or materialised.
+    """
+    keys = {"__n": F.col(name), **{f"__{k}": F.try_element_at(parameters, F.lit(k)) for k in _SAID}}
+    given = F.map_filter(F.create_map(*[x for k in _SAID for x in (F.lit(k), F.col(f"__{k}"))]), lambda k, v: v.isNotNull())
+    once = canonicalised(df.select(*[c.alias(k) for k, c in keys.items()]).distinct().withColumn("__p", given), "__n", "__p").select(*[F.col(k).alias(f"r{k}") for k in keys], *[F.col(c).alias(f"r__{c}") for c in COLUMNS])
+    once = materialised(once)
+    if once.count() <= FEW:
+        once = F.broadcast(once)
+    rows = df.withColumns(keys)
+    on = [F.col(k).eqNullSafe(F.col(f"r{k}")) for k in keys]
+    kept = [F.col(c) for c in df.columns if c not in COLUMNS]
+    return rows.join(once, reduce(lambda a, b: a & b, on), "left").select(*kept, *[F.col(f"r__{c}").alias(c) for c in COLUMNS])
+
+
 def registry(algorithms: DataFrame, aliases: DataFrame) -> DataFrame:
     """key, registry_family: an operator's registry by squashed spelling; a family's own name goes before an entry's, that before an alias.
 

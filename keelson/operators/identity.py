@@ -26,20 +26,28 @@ def escaped(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, ""), ascii_only), "")
 
 
-def json_text(c: Column) -> Column:
-    """c as a JSON string; null is null. Hardly any value needs escapes, and only those that do pay for them."""
-    return F.when(c.isNull(), "null").otherwise(F.concat(F.lit('"'), F.when(c.rlike(r"[^ !#-\[\]-~]"), escaped(c)).otherwise(c), F.lit('"')))
+def json_text(c: Column, plain: bool = False) -> Column:
+    """c as a JSON string; null is null. plain: nothing in it needs escapes."""
+    return F.coalesce(F.concat(F.lit('"'), c if plain else escaped(c), F.lit('"')), F.lit("null"))
 
 
-def significant(parameters: Column) -> Column:
+def significant(parameters: Column, plain: bool = False) -> Column:
     """The parameters that enter identity as JSON pairs, by name, without those that are null."""
     values = [F.try_element_at(parameters, F.lit(k)) for k in dims.SIGNIFICANT]
-    return F.concat_ws(",", *[F.when(v.isNotNull(), F.concat(F.lit(f'["{k}",'), json_text(v), F.lit("]"))) for k, v in zip(dims.SIGNIFICANT, values)])
+    return F.concat_ws(",", *[F.concat(F.lit(f'["{k}","'), v if plain else escaped(v), F.lit('"]')) for k, v in zip(dims.SIGNIFICANT, values)])
 
 
 def canonical_key(target: Column, kind: Column, name: Column, parameters: Column) -> Column:
-    """The key as compact JSON: target, kind, name, and the significant parameters that aren't null, by name."""
-    return F.concat(F.lit("["), F.concat_ws(",", json_text(target), json_text(kind), json_text(name)), F.lit(",["), significant(parameters), F.lit("]]"))
+    """The key as compact JSON: target, kind, name, and the significant parameters that aren't null, by name.
+
+    Hardly any key needs escapes, and only those that do pay for them: one test tells, over all of the values.
+    """
+    said = F.concat_ws("", target, kind, name, *[F.try_element_at(parameters, F.lit(k)) for k in dims.SIGNIFICANT])
+
+    def key(plain: bool) -> Column:
+        return F.concat(F.lit("["), F.concat_ws(",", *[json_text(c, plain) for c in (target, kind, name)]), F.lit(",["), significant(parameters, plain), F.lit("]]"))
+
+    return F.when(said.rlike(r"[^ !#-\[\]-~]"), key(False)).otherwise(key(True))
 
 
 def bom_ref(target: Column, kind: Column, name: Column, parameters: Column) -> Column:

@@ -38,14 +38,14 @@ def prj_location(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jn_resolve_family(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "findings").select("seq", canonical.family(F.col("name")).alias("family"))
+    return canonical.canonicalised_once(table(spark, d, "findings").select("seq", "name", F.create_map().cast("map<string,string>").alias("parameters"))).select("seq", "family")
 
 
 CANONICAL = ["family", "parameter", "canonical_name", "security_bits", "quantum_bits", "quantum_status", "classical_status", "oid_registered", "nist_level", "standard"]
 
 
 def fn_canonicalise(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.canonicalised(table(spark, d, "findings").select("seq", "name", "parameters")).select("seq", *CANONICAL)
+    return canonical.canonicalised_once(table(spark, d, "findings").select("seq", "name", "parameters")).select("seq", *CANONICAL)
 
 
 def agg_noisy_or(spark: SparkSession, d: str) -> DataFrame:

@@ -49,10 +49,13 @@ def shipped(spark: SparkSession) -> None:
 def materialised(df: DataFrame) -> DataFrame:
     """df with its lineage cut, kept in the session's reliable checkpoint folder.
 
-    The folder is the cluster's (spark.checkpoint.dir); one of our own is set only where a session names none.
+    The folder is the cluster's (spark.checkpoint.dir); one of our own is set only where a session on one machine names none.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keelson-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="keelson-"))
     return df.checkpoint(eager=True)

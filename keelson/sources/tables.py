@@ -17,8 +17,11 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def spread(scan: DataFrame) -> DataFrame:
     """scan over all cores where its files give fewer splits than there are cores; a table of many splits is not shuffled."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    run = scan._jdf.queryExecution()
-    if int(str(run.optimizedPlan().stats().sizeInBytes())) < SMALL or run.toRdd().getNumPartitions() >= cores:
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size, files = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), len(scan.inputFiles())
+    if size < SMALL or files >= cores:
         return scan
-    return scan.repartition(cores)
+    most, least = (int(spark.conf.get(f"spark.sql.files.{k}").rstrip("b")) for k in ("maxPartitionBytes", "openCostInBytes"))
+    split = min(most, max(least, (size + files * least) // cores))
+    return scan if -(-size // split) >= cores else scan.repartition(cores)

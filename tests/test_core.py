@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.operators import assets, canonical, detection, hotkeys, identity, inventory, risk, snapshots
+from keelson.operators import assets, canonical, detection, hotkeys, identity, inventory, risk, sightings, snapshots
 from keelson.functions.dims import PREFIX as P
 from keelson.plans import outputs
 from keelson.sources import binaries, journal
@@ -252,3 +252,63 @@ def test_queries_equal_sql(spark):
         rows = sorted(map(str, want.fetchall()))
         got = sorted(str(tuple(r)) for r in registry.QUERIES[name](spark, str(d)).select(*cols).collect())
         assert got == rows, name
+
+
+SOURCES = {
+    "a.c": '#include <openssl/evp.h>\n#define M EVP_md5()\n// EVP_rc4()\nvoid HMAC(int a);\nint f(void) {\n  g("EVP_sha1()");\n  RSA_generate_key_ex(r, 2048u, e, 0);\n  RSA_generate_key_ex(r, bits, e, 0);\n  EC_KEY_new_by_curve_name(NID_secp384r1);\n  return EVP_aes_256_gcm (\n);\n}\n',
+    "B.java": 'import javax.crypto.Cipher;\nclass B { void f(String s) { javax.crypto.Cipher.getInstance("AES/GCM/NoPadding"); Cipher.getInstance(s); KeyStore.getInstance(s); Mac.getInstance("HmacSHA256"); other.getInstance("DES"); } }\n',
+    "c.go": 'package a\nimport (\n\t"crypto/rsa"\n\t"fmt"\n)\nfunc f() { rsa.GenerateKey(rand.Reader, 4096); x.GenerateKey(a, 1); elliptic.P256() }\n',
+    "d.txt": "EVP_md5()",
+    "e.cc": "auto x = my::seal(1);\n",
+}
+
+
+def test_sightings_of_sources(spark):
+    rows = [(i, "t", p, c.encode(), "clash") for i, (p, c) in enumerate(SOURCES.items())] + [(9, "t", "n.c", None, ""), (10, None, "x.go", b"\xff\xfe", ""), (11, "t", None, b"", "")]
+    files = spark.createDataFrame(rows, "file_id bigint, target_id string, path string, content binary, name string")
+    own = spark.createDataFrame([("cpp", 0, "own.seal", "seal", "my", "Kyber", {"key_size": "1024"}, ["encapsulate", "nonsense"], "mine", None, None, False), ("c", 1, "none", None, None, None, None, None, None, None, None, None)], sightings.RULE)
+    got = sightings.from_sources(files, sightings.rules(spark, own)).select("location.path", "location.line", "name", F.col("evidence")[0]["tier"], "parameters", "functions").collect()
+    assert sorted((p, n, name, tier) for p, n, name, tier, _, _ in got) == [
+        ("B.java", 1, "jca", "linked_library_unpinned"), ("B.java", 2, "AES-GCM", "direct_api_call"), ("B.java", 2, "HmacSHA256", "string_literal"), ("B.java", 2, "jca", "string_literal"),
+        ("a.c", 1, "openssl", "linked_library_unpinned"), ("a.c", 7, "RSA-2048", "direct_api_call"), ("a.c", 8, "RSA", "linked_library_pinned"), ("a.c", 9, "ECDSA-P-384", "direct_api_call"), ("a.c", 10, "AES-256-GCM", "direct_api_call"),
+        ("c.go", 3, "crypto/rsa", "linked_library_unpinned"), ("c.go", 6, "ECDSA-P-256", "direct_api_call"), ("c.go", 6, "RSA-4096", "direct_api_call"), ("e.cc", 1, "ML-KEM-1024", "direct_api_call"),
+    ]
+    assert [(p["key_size"], f) for _, _, n, _, p, f in got if n == "ML-KEM-1024"] == [("1024", ["encapsulate"])]
+    assert [tuple(r) for r in sightings.source_errors(files).collect()] == [("t", "source_ast", "read", "no content", "n.c")]
+    assert sightings.from_sources(files.limit(0)).count() == 0
+    merged = assets.merged(sightings.from_sources(files).withColumns({"seq": F.monotonically_increasing_id(), "run_id": F.lit("r"), "observed_at": F.lit(None).cast("timestamp")}))
+    assert {r["name"]: r["confidence"] for r in merged.collect()}["RSA-4096"] == 0.95
+
+
+def test_sightings_of_handshakes_packages_and_binaries(spark):
+    h = spark.createDataFrame([("t", "h:443", "TLSv1.3", "TLS_AES_256_GCM_SHA384"), ("t", "h:1", None, None)], "target_id string, endpoint string, version string, suite string")
+    got = {(r["asset_kind"], r["name"]) for r in sightings.from_handshakes(h).collect()}
+    assert got == {("protocol", "TLS1.3"), ("protocol", "TLSunknown"), ("algorithm", "AES"), ("algorithm", "SHA-384")} or ("algorithm", "AES-256") in got
+    p = spark.createDataFrame([("i", "openssl", "3.0", "sha256:a"), ("i", "libssl3", None, None)], "target_id string, package string, version string, layer_digest string")
+    assert [(r["name"], r["confidence"], r["location"]["path"]) for r in sightings.from_packages(p, F.lit("dpkg")).collect()] == [("openssl", 0.3, "dpkg package database"), ("libssl3", 0.3, "dpkg package database")]
+    facts = spark.createDataFrame([("t", "b", None, "needed", "libcrypto.so.3", "", 0, None), ("t", "b", None, "needed", "libc.so.6", "", 0, None), ("t", "b", None, "symbol", "EVP_sha256", "SHA-2", 0, None), ("t", "b", None, "constant", "const.aes.sbox", "AES", 4096, None), ("t", "b", None, None, None, None, None, "bad")], binaries._FACTS)
+    assert {(r["name"], r["confidence"], r["location"]["byte_offset"]) for r in sightings.from_binaries(facts).collect()} == {("openssl", 0.55, None), ("SHA-256", 0.8, None), ("AES", 0.7, 4096)}
+
+
+def test_serial_is_the_digest_of_all_references(spark):
+    import hashlib
+    import uuid
+
+    refs = [f"{i:016x}" for i in range(5000)]
+    comps = spark.createDataFrame([("a", r) for r in refs[::-1]] + [(None, "x"), ("b", "y")], "run_id string, bom_ref string").repartition(7)
+    want = lambda s: uuid.UUID(bytes=hashlib.sha256(s.encode()).digest()[:16], version=4).urn
+    assert {r["run_id"]: r["serial"] for r in inventory.serial(comps).collect()} == {"a": want("".join(refs)), None: want("x"), "b": want("y")}
+
+
+def test_names_resolved_once_are_the_same(spark):
+    df = spark.createDataFrame([(n, p, "clash") for n, p, _, _ in SPELLINGS] * 2 + [("RSA", None, "")], "name string, parameters map<string,string>, family string")
+    a, b = canonical.canonicalised(df).drop("parameters"), canonical.canonicalised_once(df).drop("parameters")
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+
+
+def test_recommendations_in_full(spark):
+    a = risk.assessed(assets.merged(frame(spark, [sighting(1, name="RSA-2048", functions=["sign"]), sighting(2, name="MD5", functions=["digest"]), sighting(3, name="SHA-256")])))
+    got = {r["name"]: r for r in risk.detailed(risk.queue(a)).withColumn("why", risk.reason()).collect()}
+    r = got["RSA-2048"]
+    assert (r["recommended"], r["standard"], r["headline"]["field"], r["headline"]["delta"], r["headline"]["ratio"]) == ("ML-DSA-65", "FIPS 204", "signature", 3053, 12.9)
+    assert got["MD5"]["standard"] == "FIPS 180-4" and got["SHA-256"]["standard"] is None and got["SHA-256"]["why"].startswith("Not quantum")
