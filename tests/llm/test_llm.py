@@ -4,12 +4,13 @@ import re
 import string
 import time
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import grammars, lexers, packing, sentences, spellings, survivors, syntax, tokens
+from keelson.llm import grammars, lexers, packing, registry, sentences, spellings, survivors, syntax, tokens
 
 LOC = "struct<surface:string,path:string,line:int,byte_offset:bigint,layer_digest:string,endpoint:string>"
 EV = "array<struct<tier:string,matcher_id:string,snippet:string,detail:map<string,string>>>"
@@ -417,3 +418,19 @@ def test_sentences_take_time_in_proportion():
         began = time.time()
         sentences.segment(t)
         assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("name", ["p1_found"])
+def test_queries_with_split_sizes_in_megabytes(spark, name):
+    d = Path("/root/testdata/sf0.01")
+    if not d.exists():
+        pytest.skip("no test tables")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    want = sorted(map(str, registry.QUERIES[name](spark, str(d)).collect()))
+    try:
+        spark.conf.set(key, "16m")
+        got = sorted(map(str, registry.QUERIES[name](spark, str(d)).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert got == want != []

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from keelson.operators import assets, canonical, detection, hotkeys, identity, inventory, risk, sightings, snapshots
 from keelson.functions.dims import PREFIX as P
 from keelson.plans import outputs
-from keelson.sources import binaries, journal
+from keelson.sources import binaries, journal, tables
 from keelson.streaming import confidence
 
 SPELLINGS = [
@@ -312,3 +312,21 @@ def test_recommendations_in_full(spark):
     r = got["RSA-2048"]
     assert (r["recommended"], r["standard"], r["headline"]["field"], r["headline"]["delta"], r["headline"]["ratio"]) == ("ML-DSA-65", "FIPS 204", "signature", 3053, 12.9)
     assert got["MD5"]["standard"] == "FIPS 180-4" and got["SHA-256"]["standard"] is None and got["SHA-256"]["why"].startswith("Not quantum")
+
+
+def test_split_sizes_in_any_unit(spark, tmp_path):
+    spark.range(200_000).select((F.rand(1) * 1e9).alias("x")).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        got = {}
+        for size in ("16m", "1g", "16777216b", "64k", "65536"):
+            spark.conf.set(key, size)
+            df = tables.table(spark, str(tmp_path), "t")
+            got[size] = df.rdd.getNumPartitions()
+            assert df.count() == 200_000
+    finally:
+        spark.conf.set(key, before)
+    # few splits are spread over the 8 cores; many are left as they are
+    assert got["16m"] == got["1g"] == got["16777216b"] == 8
+    assert got["64k"] == got["65536"] > 8
