@@ -420,7 +420,7 @@ def test_sentences_take_time_in_proportion():
         assert time.time() - began < 5
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p4_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p4_found"])
 def test_queries_with_split_sizes_in_megabytes(spark, name):
     d = Path("/root/testdata/sf0.01")
     if not d.exists():
