@@ -330,3 +330,22 @@ def test_split_sizes_in_any_unit(spark, tmp_path):
     # few splits are spread over the 8 cores; many are left as they are
     assert got["16m"] == got["1g"] == got["16777216b"] == 8
     assert got["64k"] == got["65536"] > 8
+
+
+def test_hot_keys_with_split_sizes_in_megabytes(spark):
+    from pathlib import Path
+
+    from keelson.plans import registry
+
+    d = Path("/root/testdata/sf0.01")
+    if not d.exists():
+        pytest.skip("no test tables")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    want = sorted(map(str, registry.QUERIES["p3_found"](spark, str(d)).collect()))
+    try:
+        spark.conf.set(key, "16m")
+        got = sorted(map(str, registry.QUERIES["p3_found"](spark, str(d)).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert got == want != []
